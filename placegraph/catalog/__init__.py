@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network",)
+MODULES = ("network", "spatial", "rollups")
 
 
 def _load():

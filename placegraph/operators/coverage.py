@@ -83,7 +83,7 @@ def parking_lots(pieces: DataFrame) -> DataFrame:
     """
     from placegraph.functions import geo
 
-    p = pieces.where(text.filled("name")).withColumn("_shape", F.xxhash64(F.to_json("ring")))
+    p = pieces.where(text.filled("name"))
     kinds = p.groupBy(F.trim("name").alias("name")).agg(
         F.array_join(F.array_sort(F.collect_set(text.blank_to_null("kind"))), ",").alias("kinds"))
     shapes = p.groupBy(F.trim("name").alias("name"), F.col("ring")).agg(F.min("ord").alias("ord"))
@@ -130,8 +130,10 @@ def type_moves(spaces: DataFrame) -> DataFrame:
 
 
 def map_features(spaces: DataFrame) -> DataFrame:
-    """Drawable features only: network and marker types out, an icon and a plain label added."""
-    kind = F.coalesce(text.blank_to_null("type"), F.lit("room"))
-    icons = F.create_map(*[F.lit(v) for v in ("stairs", "stairs", "elevator", "elevator", "washroom", "washroom")])
-    return spaces.where(~kind.isin("node", "path", "door", "entrance")).withColumn(
-        "label", text.bare_room("building", "room")).withColumn("icon", F.coalesce(F.element_at(icons, kind), F.element_at(icons, "amenity")))
+    """Drawable outlines only: network rows out, an icon and a plain room label added."""
+    kind = F.lower(F.coalesce("type", F.lit("")))
+    # The pictogram of a space type, or of what a room offers.
+    by_type = F.when(kind.isin("stairs", "elevator"), F.concat(F.lit("icon-"), kind))
+    by_amenity = F.when(F.lower("amenity") == "washroom", F.lit("icon-washroom"))
+    return spaces.where(~kind.isin("node", "path")).withColumn("icon", F.coalesce(by_type, by_amenity)).withColumn(
+        "label", F.nullif(text.bare_room("building", "room"), F.lit("")))
