@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network", "spatial", "rollups")
+MODULES = ("network", "spatial", "rollups", "lookups")
 
 
 def _load():

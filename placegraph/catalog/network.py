@@ -55,12 +55,12 @@ def tidy_links(spark, sf):
 
 @query("symmetrise", """
 WITH adj AS (SELECT DISTINCT a AS nid, b AS neighbour FROM links WHERE a <> b),
-back AS (SELECT neighbour AS nid, nid AS neighbour FROM adj WHERE neighbour IN (SELECT nid FROM adj))
+back AS (SELECT neighbour AS nid, nid AS neighbour FROM adj WHERE neighbour IN (SELECT nid FROM nodes))
 SELECT nid, neighbour, FALSE AS added FROM adj
-UNION ALL SELECT nid, neighbour, TRUE FROM (SELECT * FROM back EXCEPT SELECT * FROM adj)""", ("links",))
+UNION ALL SELECT nid, neighbour, TRUE FROM (SELECT * FROM back EXCEPT SELECT * FROM adj)""", ("links", "nodes"))
 def symmetrise(spark, sf):
     l = B.links(spark, sf).where("a <> b")
-    return N.symmetrise(l.select(F.col("a").alias("nid"), F.col("b").alias("neighbour")))
+    return N.symmetrise(l.select(F.col("a").alias("nid"), F.col("b").alias("neighbour")), B.nodes(spark, sf))
 
 
 @query("node_degrees", """

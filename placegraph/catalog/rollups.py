@@ -10,7 +10,7 @@ from placegraph.operators import coverage as C
 from placegraph.operators import network as N
 
 INDEX_CTE = """
-idx AS (SELECT building || '-' || room AS label, building, floor, room, NULLIF(TRIM(name), '') AS name, COALESCE(type, 'room') AS type, sheet AS source
+idx AS (SELECT building || '-' || room AS label, building, floor, room, NULLIF(TRIM(name), '') AS name, COALESCE(type, 'room') AS type, sheet AS source, ord
  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY building, floor, room ORDER BY sheet, ord) AS rn FROM spaces
        WHERE room IS NOT NULL AND COALESCE(type, 'room') = 'room') WHERE rn = 1)"""
 

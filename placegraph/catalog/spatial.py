@@ -181,29 +181,29 @@ def sheet_labels(spark, sf):
 
 
 @query("fit_box", f"""
-SELECT name, ROUND((MIN(x) + MAX(x)) / 2, 6) AS lng, ROUND((MIN(y) + MAX(y)) / 2, 6) AS lat,
+SELECT name, ROUND((MIN(x) + MAX(x)) / 2, 9) AS lng, ROUND((MIN(y) + MAX(y)) / 2, 9) AS lat,
  ROUND(GREATEST(20.0, (MAX(x) - MIN(x)) * COS(RADIANS((MIN(y) + MAX(y)) / 2)) * PI() * 6378137.0 / 180.0), 4) AS width_m
 FROM place_vertices WHERE kind = 'building' GROUP BY name""", ("place_vertices",))
 def fit_box(spark, sf):
     f = S.fit_box(B.outlines(spark, sf).where("kind = 'building'"), ["name"])
-    return f.select("name", r6("lng").alias("lng"), r6("lat").alias("lat"), r6("width_m", 4).alias("width_m"))
+    return f.select("name", r6("lng", 9).alias("lng"), r6("lat", 9).alias("lat"), r6("width_m", 4).alias("width_m"))
 
 
 @query("footprint_centres", """
-SELECT name AS code, ROUND(AVG(x), 6) AS lng, ROUND(AVG(y), 6) AS lat, CAST(COUNT(*) AS BIGINT) AS vertices
+SELECT name AS code, ROUND(AVG(x), 9) AS lng, ROUND(AVG(y), 9) AS lat, CAST(COUNT(*) AS BIGINT) AS vertices
 FROM (SELECT name, x, y FROM place_vertices UNION ALL SELECT name, x, y FROM place_vertices WHERE seq = 0) GROUP BY name""", ("place_vertices",))
 def footprint_centres(spark, sf):
     f = S.footprint_centres(B.outlines(spark, sf))
-    return f.select("code", r6("lng").alias("lng"), r6("lat").alias("lat"), "vertices")
+    return f.select("code", r6("lng", 9).alias("lng"), r6("lat", 9).alias("lat"), "vertices")
 
 
 @query("place_centres", """
 WITH v AS (SELECT name, display, x, y FROM place_vertices UNION ALL SELECT name, display, x, y FROM place_vertices WHERE seq = 0),
 k AS (SELECT name AS n, x, y FROM v UNION ALL SELECT display, x, y FROM v WHERE display IS NOT NULL)
-SELECT UPPER(n) AS label, MIN(n) AS name, ROUND(AVG(x), 6) AS lng, ROUND(AVG(y), 6) AS lat FROM k GROUP BY 1""", ("place_vertices",))
+SELECT UPPER(n) AS label, MIN(n) AS name, ROUND(AVG(x), 9) AS lng, ROUND(AVG(y), 9) AS lat FROM k GROUP BY 1""", ("place_vertices",))
 def place_centres(spark, sf):
     c = C.place_centres(B.outlines(spark, sf))
-    return c.select("label", "name", r6("lng").alias("lng"), r6("lat").alias("lat"))
+    return c.select("label", "name", r6("lng", 9).alias("lng"), r6("lat", 9).alias("lat"))
 
 
 @query("parking_lots", """

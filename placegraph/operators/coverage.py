@@ -21,10 +21,10 @@ def index_rooms(spaces: DataFrame) -> DataFrame:
     """
     rooms = spaces.where(text.filled("room") & (F.coalesce(text.blank_to_null("type"), F.lit("room")) == "room"))
     best = rooms.groupBy("building", "floor", "room").agg(
-        F.min_by(F.struct("name", "type", "sheet"), F.struct("sheet", "ord")).alias("r"))
+        F.min_by(F.struct("name", "type", "sheet", "ord"), F.struct("sheet", "ord")).alias("r"))
     name, label = text.blank_to_null("r.name"), text.index_label("building", "room")
     return best.select(label.alias("label"), "building", "floor", "room", name.alias("name"),
-                       F.coalesce("r.type", F.lit("room")).alias("type"), F.col("r.sheet").alias("source"),
+                       F.coalesce("r.type", F.lit("room")).alias("type"), F.col("r.sheet").alias("source"), F.col("r.ord").alias("ord"),
                        text.index_query(label, name).alias("query"))
 
 

@@ -170,18 +170,23 @@ def tidy_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("ord", "a", "b", "metres", reason.alias("reason"))
 
 
-def symmetrise(adjacency: DataFrame) -> DataFrame:
+def symmetrise(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
     """Directed neighbour rows made two-way. ``nid, neighbour`` in; ``added`` marks new rows.
 
-    A neighbour that is not a node of the table gets no reply.
+    A neighbour that is not in ``nodes`` gets no reply.
     """
     have = adjacency.select("nid", "neighbour").distinct()
     back = have.select(F.col("neighbour").alias("nid"), F.col("nid").alias("neighbour")).join(
-        adjacency.select("nid").distinct(), "nid", "left_semi")
+        nodes.select("nid").distinct(), "nid", "left_semi")
     both = have.withColumn("_have", F.lit(True)).unionByName(back.withColumn("_have", F.lit(False)))
     return both.groupBy("nid", "neighbour").agg((~F.max("_have")).alias("added"))
 
 
+def neighbours_of(nodes: DataFrame, column: str = "connections") -> DataFrame:
+    """Neighbour rows of a comma-separated connections column."""
+    return nodes.select("nid", F.explode(text.comma_list(column)).alias("neighbour"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Number of distinct neighbours of every node, 0 for isolates."""
     ends = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
