@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network", "spatial", "rollups", "lookups")
+MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing")
 
 
 def _load():

@@ -174,6 +174,30 @@ LEFT JOIN customer c ON c.c_custkey = p.campus * 1500 + ((p.k * 37) % 160) * 3
 LEFT JOIN customer d ON d.c_custkey = p.campus * 1500 + ((p.k * 53 + 11) % 160) * 3"""
 
 
+# Features of a network document, and the document after a round of edits.
+VIEWS["features_before"] = """
+SELECT ord, 'node' AS type, nid, CAST(NULL AS STRING) AS a, CAST(NULL AS STRING) AS b, building, floor, lng, lat, CAST(NULL AS DOUBLE) AS metres FROM nodes
+UNION ALL SELECT 1000000000000 + ord, 'path', CAST(NULL AS STRING), a, b, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), metres FROM links"""
+
+VIEWS["features_after"] = """
+SELECT ord, type, nid, a, b, building, floor, CASE WHEN type = 'node' AND ord % 10 = 1 THEN lng + 0.0001e0 ELSE lng END AS lng, lat,
+       CASE WHEN type = 'path' AND ord % 9 = 0 THEN 7.5e0 ELSE metres END AS metres
+FROM features_before WHERE NOT (type = 'node' AND ord % 10 = 0)
+UNION ALL SELECT 2000000000000 + k, 'node', 'm' || CAST(k AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
+       CAST(x0 - 123000000 AS DOUBLE) / 1e6, CAST(y0 + 20000000 AS DOUBLE) / 1e6, CAST(NULL AS DOUBLE) FROM space_base"""
+
+# Points of stored routes: one route per customer, one point per order (step is added by order).
+VIEWS["route_points_raw"] = f"""
+SELECT o_custkey AS query_id, o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'anchor' ELSE 'node' END AS kind,
+       CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 5 = 0 THEN NULL ELSE 'B' || CAST((o_custkey + CAST(FLOOR(o_orderkey / 4000) AS BIGINT)) % 3 AS STRING) END AS building,
+       CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN NULL ELSE CAST(1 + CAST(FLOOR(o_orderkey / 1000) AS BIGINT) % 2 AS STRING) END AS floor,
+       CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 4 < 3 THEN NULL ELSE CAST(100 + CAST(FLOOR(o_orderkey / 2000) AS BIGINT) AS STRING) END AS room,
+       CASE WHEN o_orderkey % 6 = 5 THEN 'Name ' || CAST(o_orderkey % 3 AS STRING) END AS name,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 8 = 3 THEN 'stairs' WHEN o_orderkey % 8 = 6 THEN 'elevator' ELSE 'hallway' END AS space,
+       {lng_sql("(o_orderkey * 7919) % 10007")} AS lng, {lat_sql("(o_orderkey * 104729) % 10007")} AS lat
+FROM orders"""
+
+
 def _needs(name: str, seen: list[str]) -> None:
     for word in sorted(set(re.findall(r"\b[a-z_]+\b", VIEWS[name]))):
         if word in VIEWS and word != name and word not in seen:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegraph.functions import text
-from placegraph.operators.common import running, top_k
+from placegraph.operators.common import chunk_for, running, top_k
 from placegraph.session import discard, materialise
 
 
@@ -95,8 +95,8 @@ def throttle(events: DataFrame, gap_us: int, key: str = "user_id", t: str = "t",
     event with one running pass, and chains are followed by doubling, so long
     chains of one key are spread over tasks and take log2(length) rounds.
     """
-    e = events.select(key, t).distinct()
-    chunk = chunk_us or gap_us * 16
+    e, _ = materialise(events.select(key, t).distinct())
+    chunk = chunk_us or (gap_us * 16 if chunk_for(e, [key]) else None)
     # Walking backwards in time, the last event seen is the first one after.
     back = e.select(key, (-F.col(t)).alias("p"), F.lit(0).alias("kind"), F.col(t).alias("v"), F.lit(None).cast("bigint").alias("src"))
     asks = e.select(key, (-(F.col(t) + gap_us)).alias("p"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("v"), F.col(t).alias("src"))
@@ -121,7 +121,7 @@ def throttle(events: DataFrame, gap_us: int, key: str = "user_id", t: str = "t",
     return passed
 
 
-def _crowded(e: DataFrame, key: str, t: str, gap_us: int, chunk: int) -> DataFrame:
+def _crowded(e: DataFrame, key: str, t: str, gap_us: int, chunk: int | None) -> DataFrame:
     """Events with another event of the key less than a gap before them."""
     shifted = e.select(key, (F.col(t) + 1).alias("p"), F.lit(0).alias("kind"), F.col(t).alias("v"))
     asks = e.select(key, F.col(t).alias("p"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("v"))

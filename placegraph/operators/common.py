@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+CHUNK = 65_536
+LARGEST_WINDOW = 1_000_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
@@ -27,66 +28,72 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 
+def chunk_for(df: DataFrame, keys: Sequence[str]) -> int | None:
+    """Whether windows over these keys need chunks: None when every key is proven small, else the chunk width."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return None if n <= LARGEST_WINDOW else CHUNK
+
+
 def running(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, Column] | None = None,
-            lasts: dict[str, Column] | None = None, tie: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+            lasts: dict[str, Column] | None = None, tie: Sequence[str] = (), chunk: int | None = CHUNK) -> DataFrame:
     """Running sums and last non-null values over (keys, order by seq), inclusive.
 
     ``seq`` is an integer. Rows are windowed in chunks of the sequence, so a key
     of any size is spread over tasks; only one summary row per chunk meets in the
-    second step. Equal ``seq`` values fall in one chunk.
+    second step. Equal ``seq`` values fall in one chunk. ``chunk=None`` is for
+    keys checked by :func:`chunk_for`: one plain window, one shuffle.
     """
     sums, lasts = sums or {}, lasts or {}
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(seq, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
+                         *[F.last(c, ignorenulls=True).over(w).alias(n) for n, c in lasts.items()])
     keyed = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)))
     for n, c in {**sums, **lasts}.items():
         keyed = keyed.withColumn(f"_v_{n}", c)
     part = [*keys, "_chunk"]
     local = Window.partitionBy(*part).orderBy(seq, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    for n in sums:
-        keyed = keyed.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(local))
-    for n in lasts:
-        keyed = keyed.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(local))
     order = F.struct(F.col(seq), *[F.col(t) for t in tie])
     summary = keyed.groupBy(*part).agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), order)).alias(f"_t_{n}") for n in lasts],
-        *([] if sums or lasts else [F.count(F.lit(1)).alias("_n")]))
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), order)).alias(f"_t_{n}") for n in lasts])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     for n in sums:
         summary = summary.withColumn(f"_t_{n}", F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)))
     for n in lasts:
         summary = summary.withColumn(f"_t_{n}", F.last(f"_t_{n}", ignorenulls=True).over(before))
-    cond = None
+    for n in sums:
+        keyed = keyed.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(local))
+    for n in lasts:
+        keyed = keyed.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(local))
     summary = summary.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)], *[f"_t_{n}" for n in {**sums, **lasts}])
+    cond = F.lit(True)
     for i, c in enumerate(part):
-        eq = F.col(c).eqNullSafe(F.col(f"_k{i}"))
-        cond = eq if cond is None else cond & eq
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     out = keyed.join(summary, cond)
-    for n in sums:
-        out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_t_{n}"))
-    for n in lasts:
-        out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.col(f"_t_{n}")))
-    return out.select(*df.columns, *sums, *lasts)
+    return out.select(*df.columns, *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_t_{n}")).alias(n) for n in sums],
+                      *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_t_{n}")).alias(n) for n in lasts])
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], seq: str, name: str = "n", tie: Sequence[str] = (),
-                chunk: int = CHUNK) -> DataFrame:
+                chunk: int | None = CHUNK) -> DataFrame:
     """1-based position of each row within its key, ordered by an integer column."""
     return running(df, keys, seq, sums={name: F.lit(1)}, tie=tie, chunk=chunk)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], prefix: str = "prev_",
-                  chunk: int = CHUNK) -> DataFrame:
+                  chunk: int | None = CHUNK) -> DataFrame:
     """Columns of the row one step back, for gap-free integer sequences.
 
     The last row of each chunk is copied into the next, so a long sequence is
     windowed in pieces and no piece waits for another.
     """
-    marked = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk))).withColumn("_copy", F.lit(False))
-    edge = marked.where(F.pmod(F.col(seq), F.lit(chunk)) == chunk - 1).withColumn(
-        "_chunk", F.col("_chunk") + 1).withColumn("_copy", F.lit(True))
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(seq)
+        return df.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in columns])
+    copies = F.when(F.pmod(F.col(seq), F.lit(chunk)) == chunk - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    marked = df.withColumn("_copy", F.explode(copies)).withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)) + F.col("_copy"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq)
-    out = marked.unionByName(edge)
-    out = out.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in columns], F.lag(seq).over(w).alias("_pseq"))
-    out = out.where(~F.col("_copy"))
+    out = marked.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in columns], F.lag(seq).over(w).alias("_pseq")).where("_copy = 0")
     near = F.col("_pseq") == F.col(seq) - 1
     return out.select(*df.columns, *[F.when(near, F.col(prefix + c)).alias(prefix + c) for c in columns])

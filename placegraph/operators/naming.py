@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placegraph.functions import text
 from placegraph.operators import spatial
-from placegraph.operators.common import number_rows, running
+from placegraph.operators.common import chunk_for, number_rows, running
 from placegraph.session import discard, materialise
 
 OUTDOOR_PREFIX = "OUT"
@@ -114,20 +114,44 @@ def stale_names(nodes: DataFrame, spaces: DataFrame) -> DataFrame:
     return n.select(*nodes.columns, F.coalesce(stale, F.lit(False)).alias("stale"))
 
 
-def _free_slots(todo: DataFrame, used: DataFrame) -> DataFrame:
+def _free_slots(todo: DataFrame, used: DataFrame, chunk: int | None) -> DataFrame:
     """The t-th row of a series takes its t-th unused number.
 
     ``todo``: ``series, t, ...``; ``used``: ``series, n`` distinct. The j-th used
     number moves every row with ``t > n - j`` one on, so one running count over
     both lists places all rows without listing candidates. ``n`` is added.
     """
-    u = number_rows(used.select("series", "n"), ["series"], "n", "j").select(
+    u = number_rows(used.select("series", "n"), ["series"], "n", "j", chunk=chunk).select(
         "series", (F.col("n") - F.col("j") + 1).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("nid"))
     both = u.unionByName(todo.select("series", "t", F.lit(1).alias("kind"), "nid"))
-    counted = running(both, ["series"], "t", sums={"skips": 1 - F.col("kind")}, tie=["kind", "nid"])
+    counted = running(both, ["series"], "t", sums={"skips": 1 - F.col("kind")}, tie=["kind", "nid"], chunk=chunk)
     return counted.where("kind = 1").select("nid", (F.col("t") + F.col("skips")).alias("n"))
 
 
+def _taken(names: DataFrame, series: DataFrame, spare: bool) -> DataFrame:
+    """The ``series, n`` slots that names stand for, of the series given (``series``).
+
+    A room's own name is number 1 of its series and ``-2`` to ``-99`` follow; a
+    counted name is its series and the digits after it.
+    """
+    if spare:
+        digits = F.regexp_extract("name", r"([0-9]+)$", 1)
+        split = names.where(digits != "").withColumn("_k", F.explode(F.sequence(F.lit(1), F.length(digits)))).select(
+            F.substr("name", F.lit(1), F.length("name") - F.col("_k")).alias("series"), F.right("name", F.col("_k")).alias("_d"))
+        split = split.where(~F.startswith("_d", F.lit("0")) & (F.length("_d") <= 18)).select("series", F.col("_d").cast("bigint").alias("n"))
+    else:
+        tail = r"^(.*)-([1-9][0-9]?)$"
+        split = names.select(F.col("name").alias("series"), F.lit(1).cast("bigint").alias("n")).unionByName(
+            names.where(F.col("name").rlike(tail)).select(F.regexp_extract("name", tail, 1).alias("series"),
+                                                         F.regexp_extract("name", tail, 2).cast("bigint").alias("n")).where("n >= 2"))
+    return split.join(series, "series", "left_semi").distinct()
+
+
+def _count_on(rows: DataFrame, taken: DataFrame, chunk: int | None) -> DataFrame:
+    ranked = number_rows(rows, ["series"], "ord", "t", tie=["nid"], chunk=chunk)
+    return ranked.join(_free_slots(ranked, taken, chunk), "nid")
+
+
 def assign_names(nodes: DataFrame, rename: bool = False) -> DataFrame:
     """A name of its own for every unnamed node; names already there are kept.
 
@@ -135,64 +159,49 @@ def assign_names(nodes: DataFrame, rename: bool = False) -> DataFrame:
     go first, in file order: ``PLACE-ROOM``, then ``-2`` to ``-99``, then a counted
     name; the rest are counted, ``PLACE-<floor>H<n>`` where the place has traced
     floors and ``PLACE-<n>`` elsewhere. Each series is numbered at once; when two
-    series meet on one name the later node moves on and only then is it repeated.
-    Returns ``nid, new_name``.
+    series of room nodes meet on one name the later node moves on, and only then
+    is that part repeated. Returns ``nid, new_name``.
     """
     kept = F.lit(False) if rename else text.filled("name")
-    used_names = nodes.where(kept).select("name").distinct()
     room, fl = F.trim("room"), F.coalesce("floor", F.lit(""))
     todo = nodes.where(~kept).select(
         "nid", "ord", F.when(text.filled("room"), F.concat_ws("-", "prefix", room)).alias("base"),
         F.when(F.col("marked"), F.concat(F.col("prefix"), F.lit("-"), fl, F.lit(MARK))).otherwise(F.concat(F.col("prefix"), F.lit("-"))).alias("spare"))
     todo, _ = materialise(todo)
-    blocked, _ = materialise(used_names)
-    # (series, n) a name stands for: a room's own name is number 1 of its series.
-    bases = todo.where("base IS NOT NULL").select(F.col("base").alias("series")).distinct()
+    used, _ = materialise(nodes.where(kept).select("name").distinct())
+    in_rooms = todo.where("base IS NOT NULL")
+    bases = in_rooms.select(F.col("base").alias("series")).distinct()
     spares = todo.select(F.col("spare").alias("series")).distinct()
+    taken_rooms, _ = materialise(_taken(used, bases, False))
+    taken_spare, _ = materialise(_taken(used, spares, True))
+    series = todo.select(F.explode(F.array("base", "spare")).alias("series")).unionByName(taken_rooms.select("series")).unionByName(taken_spare.select("series"))
+    chunk = chunk_for(series.where("series IS NOT NULL"), ["series"])
     losses = None
     while True:
-        names = blocked.select("name")
-        tail, count = r"^(.*)-([1-9][0-9]?)$", r"^(.*?)([1-9][0-9]*)$"
-        taken = names.select(F.col("name").alias("series"), F.lit(1).cast("bigint").alias("n")).unionByName(
-            names.where(F.col("name").rlike(tail)).select(F.regexp_extract("name", tail, 1).alias("series"),
-                                                         F.regexp_extract("name", tail, 2).cast("bigint").alias("n")).where("n >= 2"))
-        taken = taken.join(bases, "series", "left_semi").distinct()
-        # A counted name is its prefix and the digits after it; every split of the digits is tried.
-        digits = F.regexp_extract("name", r"([0-9]+)$", 1)
-        counted = names.where(digits != "").withColumn("_k", F.explode(F.sequence(F.lit(1), F.length(digits)))).select(
-            F.substr("name", F.lit(1), F.length("name") - F.col("_k")).alias("series"), F.right("name", F.col("_k")).alias("_d"))
-        counted = counted.where(~F.startswith("_d", F.lit("0")) & (F.length("_d") <= 18)).select("series", F.col("_d").cast("bigint").alias("n"))
-        counted = counted.join(spares, "series", "left_semi").distinct()
-        if losses is not None:
-            own = losses.select("series", "n", "pass")
-            taken = taken.unionByName(own.where("pass = 1").select("series", "n")).distinct()
-            counted = counted.unionByName(own.where("pass = 2").select("series", "n")).distinct()
-        ranked = number_rows(todo.where("base IS NOT NULL").select("nid", "ord", F.col("base").alias("series"), "spare"), ["series"], "ord", "t", tie=["nid"])
-        placed = ranked.join(_free_slots(ranked, taken), "nid")
-        fits = placed.where("n <= 99").select("nid", "ord", "series", "n", F.lit(1).alias("pass"),
-                                             F.when(F.col("n") == 1, F.col("series")).otherwise(F.concat_ws("-", "series", F.col("n").cast("string"))).alias("new_name"))
-        rest = placed.where("n > 99").select("nid", "ord", F.col("spare").alias("series"), F.lit(0).alias("late")).unionByName(
-            todo.where("base IS NULL").select("nid", "ord", F.col("spare").alias("series"), F.lit(1).alias("late")))
-        # Room nodes come first in a counted series: count them, then follow on.
-        early = rest.where("late = 0").groupBy("series").agg(F.count(F.lit(1)).alias("_first"))
-        rest = number_rows(rest, ["series", "late"], "ord", "t", tie=["nid"]).join(early, "series", "left").withColumn(
-            "t", F.col("t") + F.when(F.col("late") == 1, F.coalesce("_first", F.lit(0))).otherwise(0))
-        spare = rest.join(_free_slots(rest, counted), "nid").select(
-            "nid", "ord", "series", "n", F.lit(2).alias("pass"), F.concat("series", F.col("n").cast("string")).alias("new_name"))
-        # Overflow rows are still of the first pass when two rows want one name.
-        everyone = fits.withColumn("turn", F.lit(0)).unionByName(spare.join(rest.select("nid", F.col("late").alias("turn")), "nid"))
-        everyone, _ = materialise(everyone)
-        rivals = everyone.groupBy("new_name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("turn", "ord", "nid", "series")).alias("w")).where("c > 1")
-        lost = everyone.join(rivals, "new_name").where(F.col("nid") != F.col("w.nid"))
-        lost, n = materialise(lost.select("series", "n", "pass", "turn", "ord", "nid", F.col("w").alias("w")))
-        if not n["rows"]:
-            return everyone.select("nid", "new_name")
+        lost_in = lambda p: losses.where(F.col("pass") == p).select("series", "n")
+        t1 = taken_rooms if losses is None else taken_rooms.unionByName(lost_in(1)).distinct()
+        t2 = taken_spare if losses is None else taken_spare.unionByName(lost_in(2)).distinct()
+        placed = _count_on(in_rooms.select("nid", "ord", F.col("base").alias("series"), "spare"), t1, chunk)
+        n = F.col("n").cast("string")
+        fits = placed.where("n <= 99").select("nid", "ord", "series", "n", F.lit(1).alias("pass"), F.when(F.col("n") == 1, F.col("series")).otherwise(F.concat_ws("-", "series", n)).alias("new_name"))
+        over = _count_on(placed.where("n > 99").select("nid", "ord", F.col("spare").alias("series")), t2, chunk).select(
+            "nid", "ord", "series", "n", F.lit(2).alias("pass"), F.concat("series", n).alias("new_name"))
+        first, _ = materialise(fits.unionByName(over))
+        rivals = first.groupBy("new_name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "nid", "series")).alias("w")).where("c > 1")
+        lost, found = materialise(first.join(rivals, "new_name").where(F.col("nid") != F.col("w.nid")).select("series", "n", "pass", "ord", "nid", "w"))
+        if not found["rows"]:
+            break
         # A winner is final only when its own series loses nothing before it.
-        first_loss = lost.groupBy(F.col("series").alias("_s")).agg(F.min(F.struct("turn", "ord", "nid")).alias("_f"))
-        sure = lost.join(first_loss, F.col("w.series") == F.col("_s"), "left").where(
-            F.col("_f").isNull() | (F.struct(F.col("w.turn"), F.col("w.ord"), F.col("w.nid")) < F.col("_f"))).select("series", "n", "pass")
+        early = lost.groupBy(F.col("series").alias("_s")).agg(F.min(F.struct("ord", "nid")).alias("_f"))
+        sure = lost.join(early, F.col("w.series") == F.col("_s"), "left").where(
+            F.col("_f").isNull() | (F.struct(F.col("w.ord").alias("ord"), F.col("w.nid").alias("nid")) < F.col("_f"))).select("series", "n", "pass")
         losses, _ = materialise(sure if losses is None else losses.unionByName(sure).distinct())
-        discard(everyone)
+        discard(first)
+    # Counted names cannot meet each other, only names given before.
+    rest = todo.where("base IS NULL").select("nid", "ord", F.col("spare").alias("series"))
+    now = taken_spare.unionByName(_taken(first.select(F.col("new_name").alias("name")), spares, True)).distinct()
+    counted = _count_on(rest, now, chunk).select("nid", F.concat("series", F.col("n").cast("string")).alias("new_name"))
+    return first.select("nid", "new_name").unionByName(counted)
 
 
 def name_network(nodes: DataFrame, spaces: DataFrame, rename: bool = False) -> DataFrame:
