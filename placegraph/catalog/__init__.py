@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing")
+MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits")
 
 
 def _load():

@@ -198,6 +198,28 @@ SELECT o_custkey AS query_id, o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THE
 FROM orders"""
 
 
+# Ten by ten cell floors, three to a building, one cell per order.
+VIEWS["cells"] = """
+SELECT 'R' || CAST(CAST(FLOOR(o_orderkey / 300) AS BIGINT) AS STRING) AS building, CAST(1 + CAST(FLOOR(o_orderkey / 100) AS BIGINT) % 3 AS INT) AS floor,
+       CAST(FLOOR((o_orderkey % 100) / 10) AS INT) AS r, CAST(o_orderkey % 10 AS INT) AS c,
+       (o_orderkey * 7919 + CAST(FLOOR(o_orderkey / 100) AS BIGINT) * 31) % 11 < 3 AND o_orderkey % 100 NOT IN (22, 50, 59) AS blocked
+FROM orders"""
+
+VIEWS["cell_requests"] = """
+SELECT s_suppkey AS query_id, 'R' || CAST(CAST(FLOOR(s_suppkey / 2) AS BIGINT) AS STRING) AS building, CAST(1 + s_suppkey % 3 AS INT) AS floor,
+       CAST((s_suppkey * 3) % 10 AS INT) AS r, CAST((s_suppkey * 7) % 10 AS INT) AS c,
+       'R' || CAST(CAST(FLOOR(s_suppkey / 2) AS BIGINT) + CASE WHEN s_suppkey % 4 = 3 THEN 1 ELSE 0 END AS STRING) AS to_building, CAST(1 + (s_suppkey + 1) % 3 AS INT) AS to_floor,
+       CAST((s_suppkey * 5 + 4) % 10 AS INT) AS to_r, CAST((s_suppkey * 11 + 3) % 10 AS INT) AS to_c
+FROM supplier"""
+
+# Labels as read off a plan: numbers with look-alike letters, room words, shaft words.
+VIEWS["label_reads"] = """
+SELECT ord, building, floor, CASE ord % 9 WHEN 0 THEN 'STAIR ' WHEN 1 THEN 'ELEV ' WHEN 2 THEN 'SSIAIR ' ELSE '' END ||
+       CASE WHEN ord % 5 = 0 THEN REPLACE(n, '0', 'O') WHEN ord % 5 = 1 THEN REPLACE(n, '1', 'I') WHEN ord % 13 = 2 THEN SUBSTR(n, 2) WHEN ord % 13 = 3 THEN n || '7' WHEN ord % 17 = 4 THEN '5' || SUBSTR(n, 2) ELSE n END AS raw,
+       CASE ord % 9 WHEN 0 THEN 'stairs' WHEN 1 THEN 'elevator' ELSE 'room' END AS kind, ord % 3 <> 0 AS anchor, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area
+FROM (SELECT *, floor || CAST(10 + ord % 40 AS STRING) AS n FROM spaces)"""
+
+
 def _needs(name: str, seen: list[str]) -> None:
     for word in sorted(set(re.findall(r"\b[a-z_]+\b", VIEWS[name]))):
         if word in VIEWS and word != name and word not in seen:
