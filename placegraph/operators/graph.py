@@ -145,32 +145,3 @@ def walk_back(answers: DataFrame, state: DataFrame) -> DataFrame:
         jump, width = after, width * 2
     last = path.groupBy("query_id").agg(F.max("back").alias("_last"))
     return path.join(last, "query_id").select("query_id", (F.col("_last") - F.col("back")).alias("step"), F.col("node").alias("nid"))
-
-
-def join_pieces(nodes: DataFrame, edges: DataFrame, candidates) -> DataFrame:
-    """Links that join the pieces of a network into one, the best pair first.
-
-    ``candidates(labelled)`` takes ``nid, component, ...`` and returns the best
-    outgoing pair of each component as ``component, a, b, blocked, metres``.
-    Taking every component's best pair at once (Boruvka) gives the same tree as
-    growing the main piece one pair at a time, as the order of pairs is strict.
-    """
-    added = None
-    current = edges.select("a", "b")
-    while True:
-        comps, _ = materialise(components(nodes, current))
-        picks = candidates(nodes.join(comps.select("nid", "component"), "nid"))
-        pairs = picks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "blocked", "metres").distinct()
-        pairs, got = materialise(pairs)
-        if not got["rows"]:
-            break
-        added = pairs if added is None else added.unionByName(pairs)
-        current = current.unionByName(pairs.select("a", "b"))
-    if added is None:
-        added = edges.where(F.lit(False)).select("a", "b", F.lit(False).alias("blocked"), F.lit(0.0).alias("metres"))
-    return added
-
-
-def unit_cost(arcs: DataFrame) -> DataFrame:
-    """Arcs ``a, b`` as arcs of weight one with nothing to enter."""
-    return arcs.select("a", "b", F.lit(1.0).alias("w"), F.lit(0.0).alias("entry"), F.lit(None).cast("string").alias("b_room"))
