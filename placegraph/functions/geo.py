@@ -145,29 +145,28 @@ def distance_to_shape(edge_array, x, y) -> Column:
     return F.when(inside_edges(edge_array, x, y), F.lit(0.0)).otherwise(edge_distance(edge_array, x, y))
 
 
-def intersection_area(ring_a, ring_b) -> Column:
-    """Exact common area of two simple polygons, as one expression.
-
-    A polygon is the signed sum of the strips under its edges, so the common
-    area is the signed sum over edge pairs of the area under both edges.
-    """
-    a, b = _c(ring_a), _c(ring_b)
-    ox = F.element_at(a, 1)["x"]
-    base = F.least(F.array_min(ys(a)), F.array_min(ys(b)))
-    shift = lambda r: F.transform(r, lambda p: F.struct((p["x"] - ox).alias("x"), (p["y"] - base).alias("y")))
-
+def strips(ring) -> Column:
+    """A polygon as signed strips under its edges: what :func:`common_area` reads. Prepare it once per shape."""
     def strip(e):
         left = e["ax"] <= e["bx"]
         pick = lambda u, v: F.when(left, u).otherwise(v)
-        return F.struct(
-            pick(e["ax"], e["bx"]).alias("l"), pick(e["ay"], e["by"]).alias("hl"),
-            pick(e["bx"], e["ax"]).alias("r"), pick(e["by"], e["ay"]).alias("hr"),
-            F.when(left, F.lit(1.0)).otherwise(-1.0).alias("s"))
+        return F.struct(pick(e["ax"], e["bx"]).alias("l"), pick(e["ay"], e["by"]).alias("hl"), pick(e["bx"], e["ax"]).alias("r"),
+                        pick(e["by"], e["ay"]).alias("hr"), F.when(left, F.lit(1.0)).otherwise(-1.0).alias("s"))
 
-    strips = lambda r: F.filter(F.transform(edges(shift(r)), strip), lambda t: t["l"] < t["r"])
+    return F.transform(F.filter(edges(ring), lambda e: e["ax"] != e["bx"]), strip)
+
+
+def common_area(strips_a, strips_b, base) -> Column:
+    """Exact common area of two simple polygons from their strips.
+
+    A polygon is the signed sum of the strips under its edges, so the common
+    area is the signed sum over edge pairs of the area under both edges, above
+    ``base``, a height at or below both shapes.
+    """
+    base = _c(base)
 
     def height(t, x):
-        return t["hl"] + (t["hr"] - t["hl"]) * (x - t["l"]) / (t["r"] - t["l"])
+        return t["hl"] + (t["hr"] - t["hl"]) * (x - t["l"]) / (t["r"] - t["l"]) - base
 
     def under_both(e, f):
         lo, hi = F.greatest(e["l"], f["l"]), F.least(e["r"], f["r"])
@@ -175,13 +174,25 @@ def intersection_area(ring_a, ring_b) -> Column:
         dl, dr = el - fl, er - fr
         spread = F.abs(dl) + F.abs(dr)
         gap = F.when(dl * dr >= 0, spread / 2).otherwise((dl * dl + dr * dr) / (2 * spread))
-        common = (hi - lo) * ((el + er + fl + fr) / 4 - gap / 2)
-        return F.when(lo < hi, e["s"] * f["s"] * common).otherwise(0.0)
+        return F.when(lo < hi, e["s"] * f["s"] * (hi - lo) * ((el + er + fl + fr) / 4 - gap / 2)).otherwise(0.0)
+
+    total = F.aggregate(_c(strips_a), F.lit(0.0), lambda acc, e: acc + F.aggregate(
+        _c(strips_b), F.lit(0.0), lambda inner, f: inner + under_both(e, f)))
+    return F.abs(total)
+
+
+def intersection_area(ring_a, ring_b) -> Column:
+    """Common area of two rings."""
+    return common_area(strips(ring_a), strips(ring_b), F.least(F.array_min(ys(ring_a)), F.array_min(ys(ring_b))))
+
 
-    sb = strips(b)
-    total = F.aggregate(strips(a), F.lit(0.0), lambda acc, e: acc + F.aggregate(
-        sb, F.lit(0.0), lambda inner, f: inner + under_both(e, f)))
-    return F.greatest(F.abs(total), F.lit(0.0))
+def once(column: Column, keep=None) -> Column:
+    """The value as a generator row, so a costly expression is neither repeated nor pushed into a filter.
+
+    With ``keep`` (a test of the value) the row is dropped where it fails.
+    """
+    one = F.array(column)
+    return F.explode(F.filter(one, keep) if keep else one)
 
 
 # -- transforms --------------------------------------------------------------

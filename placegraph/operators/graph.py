@@ -90,15 +90,16 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
     row per (query, node), which is also how rows are spread over tasks.
     """
     arcs, _ = materialise(arcs)
-    goals, _ = materialise(goals.select("query_id", F.col("nid").alias("node")).distinct())
+    goals, _ = materialise(goals.select("query_id", F.col("nid").alias("node"), F.lit(True).alias("is_goal")).distinct())
+    flag = lambda df: df.join(goals, ["query_id", "node"], "left").withColumn("is_goal", F.coalesce("is_goal", F.lit(False)))
     if open_rooms is not None:
         open_rooms, _ = materialise(open_rooms.select("query_id", F.col("room").alias("b_room"), F.lit(True).alias("_open")).distinct())
     state = starts.select("query_id", F.col("nid").alias("node")).distinct().select(
         "query_id", "node", F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("fresh"))
     watch = {"fresh": F.count_if("fresh")}
-    state, seen = materialise(state, **watch)
+    state, seen = materialise(flag(state), **watch)
     while seen["fresh"]:
-        bound = state.join(goals, ["query_id", "node"], "left_semi").groupBy("query_id").agg(F.min("dist").alias("bound"))
+        bound = state.where("is_goal").groupBy("query_id").agg(F.min("dist").alias("bound"))
         step = state.where("fresh").join(arcs, F.col("node") == F.col("a")).select(
             "query_id", F.col("b").alias("node"), F.col("a").alias("prev"), "dist", "w", "entry", "b_room")
         if open_rooms is not None:
@@ -110,10 +111,11 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
             step.select("query_id", "node", F.struct(F.col("d").alias("dist"), F.lit(True).alias("fresh"), "prev").alias("s")))
         after = both.groupBy("query_id", "node").agg(F.min("s").alias("s")).select(
             "query_id", "node", "s.dist", "s.prev", "s.fresh")
-        after, seen = materialise(after, **watch)
+        # Goals meet the state on the keys it is already spread by.
+        after, seen = materialise(flag(after), **watch)
         discard(state)
         state = after
-    best = state.join(goals, ["query_id", "node"], "left_semi").groupBy("query_id").agg(F.min(F.struct("dist", "node")).alias("m"))
+    best = state.where("is_goal").groupBy("query_id").agg(F.min(F.struct("dist", "node")).alias("m"))
     answers = best.select("query_id", F.col("m.node").alias("goal"), F.col("m.dist").alias("cost"))
     return answers, state.select("query_id", "node", "dist", "prev")
 

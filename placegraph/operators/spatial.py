@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from placegraph.functions import geo
 from placegraph.operators.common import top_k
-from placegraph.session import discard, materialise
+from placegraph.session import materialise
 
 _TINY = 1e-9
 
@@ -134,7 +134,8 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, or
         widen = lambda b: F.lit(size) / F.greatest(
             F.cos(F.radians(F.least(F.greatest(F.abs(b * size), F.abs((b + 1) * size)) + size, F.lit(89.9)))), F.lit(1e-3))
         if last:
-            cand = todo.crossJoin(F.broadcast(spots)) if seen["rows"] <= 100_000 else todo.join(spots)
+            # A cell is the whole world by now: one key, few points left.
+            cand = todo.withColumn("_w", F.lit(0)).join(spots.withColumn("_w", F.lit(0)), "_w")
         else:
             # Longitude cells differ by latitude band, so the target is keyed in
             # every band that can look at it.
@@ -179,7 +180,7 @@ def nearest_shapes(points: DataFrame, shapes: DataFrame, reach: float, key: str,
                    x: str = "x", y: str = "y") -> DataFrame:
     """The k nearest shapes by edge distance (0 when inside), within ``reach``; ranked."""
     near = contained(points, shapes, on=on, x=x, y=y, pad=reach)
-    near = near.withColumn("d", geo.distance_to_shape("s__e", x, y)).drop("s__e").where(F.col("d") <= reach)
+    near = near.select("*", geo.once(geo.distance_to_shape("s__e", x, y), lambda d: d <= reach).alias("d")).drop("s__e")
     return top_k(near, [key], [F.col("d"), F.col("s_ord")], k)
 
 
@@ -210,11 +211,14 @@ def overlapping_boxes(shapes: DataFrame, on: Sequence[str], pad: float = 0.0) ->
 
 def overlaps(shapes: DataFrame, on: Sequence[str]) -> DataFrame:
     """Pairs of shapes with a common area: ``a_ord < b_ord``, both areas, ``common``."""
-    prepared = shapes.select(*on, "ord", "ring", geo.area("ring").alias("area"))
-    pairs = overlapping_boxes(prepared, on).withColumn("common", geo.intersection_area("a_ring", "b_ring"))
+    prepared = shapes.select(*on, "ord", "ring", geo.area("ring").alias("area"), geo.strips("ring").alias("strips"), F.array_min(geo.ys("ring")).alias("low"))
+    pairs = overlapping_boxes(prepared, on)
+    common = geo.common_area("a_strips", "b_strips", F.least("a_low", "b_low"))
     swap = F.col("a_ord") > F.col("b_ord")
     pick = lambda u, v: F.when(swap, F.col(v)).otherwise(F.col(u))
-    return pairs.where(F.col("common") > 1e-12 * F.least("a_area", "b_area")).select(
+    small = F.least("a_area", "b_area")
+    hits = pairs.select("*", geo.once(common, lambda v: v > 1e-12 * small).alias("common"))
+    return hits.select(
         *[F.col("a_" + c).alias(c) for c in on], pick("a_ord", "b_ord").alias("a_ord"), pick("b_ord", "a_ord").alias("b_ord"),
         pick("a_area", "b_area").alias("a_area"), pick("b_area", "a_area").alias("b_area"), "common")
 
@@ -238,7 +242,8 @@ def doorways(shapes: DataFrame, on: Sequence[str], gap: float) -> DataFrame:
         sides = geo.edges(other)
         return F.array_min(F.flatten(F.transform(F.col(ring), lambda p: F.transform(sides, lambda e: foot(p, e)))))
 
-    near = pairs.withColumn("_f", ends("a_ring", "b_ring")).withColumn("_g", ends("b_ring", "a_ring"))
+    near = pairs.select("*", geo.once(F.struct(ends("a_ring", "b_ring").alias("f"), ends("b_ring", "a_ring").alias("g"))).alias("_e")).select(
+        "*", F.col("_e.f").alias("_f"), F.col("_e.g").alias("_g"))
     a_first = F.col("_f.d") <= F.col("_g.d")
     pick = lambda u, v: F.when(a_first, F.col(u)).otherwise(F.col(v))
     near = near.select(
@@ -287,7 +292,3 @@ def in_mode_places(nodes: DataFrame, building: str, floor: str | None) -> DataFr
     """Nodes of one place and floor; a node on no storey always passes."""
     here = F.coalesce("building", F.lit("__outdoors__")) == building
     return nodes.where(here & (F.lit(floor is None) | F.col("floor").isNull() | (F.col("floor") == F.lit(floor))))
-
-
-def drop(df: DataFrame) -> None:
-    discard(df)
