@@ -124,11 +124,11 @@ def quoted(x, longest: int = 60) -> Column:
 
 def lines(x) -> Column:
     """Parts of a value written on several lines or with ; or , between."""
-    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), r"[\n;,]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), r"[\n;,]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def comma_list(x) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def array_or_json(arr, raw) -> Column:

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from placegraph.functions import geo, text
 from placegraph.operators import spatial
@@ -122,7 +123,7 @@ KEYWORDS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fuzzy_kind(words: pd.Series) -> pd.Series:
     """Type of a word by similarity of at least 0.7 to a keyword."""
     def kind(word):
