@@ -19,7 +19,12 @@ from placegraph.operators import activity, changes, timetable
 from placegraph.sources import sinks
 
 # A user's remembered rooms and throttle marks are dropped after this long without an event.
-STATE_TTL = "30 days"
+STATE_TTL_MS = 30 * 24 * 3600 * 1000
+
+
+def _keep(state: GroupState, newest_ms: int) -> None:
+    """Keep a state until its time to live has passed in event time."""
+    state.setTimeoutTimestamp(max(newest_ms + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
 
 
 def ingest_changes(stream: DataFrame, root: str, columns: list[str], checkpoint: str) -> DataStreamWriter:
@@ -94,17 +99,18 @@ def current_favourites(spark: SparkSession, root: str) -> DataFrame:
     return s.where(here).select("user_id", "node_id", F.col("add.ts").alias("added_at"), F.greatest("add", "use")["ts"].alias("last_used"))
 
 
-def recents(stream: DataFrame, k: int = 8) -> DataFrame:
+def recents(stream: DataFrame, k: int = 8, late: str = "1 day") -> DataFrame:
     """Each user's last k rooms after every batch (update mode): ``user_id, rank, building, floor, room, event_id``."""
-    v = stream.where(activity.well_formed_visit(F.col("building"), F.col("room"))).select(
+    v = stream.withWatermark("ts", late).where(activity.well_formed_visit(F.col("building"), F.col("room"))).select(
         "user_id", F.upper("building").alias("building"), "room", F.nullif("floor", F.lit("")).alias("floor"), "ts", "event_id")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = json.loads(state.get[0]) if state.exists else {}
+        seen, newest = json.loads(state.get[0]) if state.exists else {}, 0
         for f in frames:
+            newest = max(newest, int(f["ts"].max().timestamp() * 1000))
             for r in f.itertuples(index=False):
                 name = f"{r.building}\t{r.room}"
                 old = seen.get(name, [-1, -1, None])
@@ -112,13 +118,13 @@ def recents(stream: DataFrame, k: int = 8) -> DataFrame:
                 known = [r.event_id, floor] if floor is not None and r.event_id > old[1] else old[1:]
                 seen[name] = [max(int(r.event_id), old[0]), int(known[0]), known[1]]
         state.update((json.dumps(seen),))
-        state.setTimeoutDuration(30 * 24 * 3600 * 1000)
+        _keep(state, newest)
         top = sorted(seen.items(), key=lambda kv: -kv[1][0])[:k]
         yield pd.DataFrame([(key[0], i + 1, n.split("\t")[0], e[2], n.split("\t")[1], e[0]) for i, (n, e) in enumerate(top)],
                            columns=["user_id", "rank", "building", "floor", "room", "event_id"])
 
     return v.groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, rank int, building string, floor string, room string, event_id bigint", "seen string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        step, "user_id string, rank int, building string, floor string, room string, event_id bigint", "seen string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(stream: DataFrame, gap: str = "5 days", late: str = "1 day") -> DataFrame:
@@ -127,7 +133,7 @@ def sessions(stream: DataFrame, gap: str = "5 days", late: str = "1 day") -> Dat
     return w.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("expires"), "events")
 
 
-def throttled_touches(stream: DataFrame, gap_us: int) -> DataFrame:
+def throttled_touches(stream: DataFrame, gap_us: int, late: str = "1 day") -> DataFrame:
     """Touches let through, at most one per ``gap_us`` and user (append mode): ``user_id, t``.
 
     Rows of a batch are taken in time order; a row older than the last passed one is late and dropped.
@@ -145,11 +151,12 @@ def throttled_touches(stream: DataFrame, gap_us: int) -> DataFrame:
                 last = t
         if last is not None:
             state.update((int(last),))
-        state.setTimeoutDuration(30 * 24 * 3600 * 1000)
+            _keep(state, int(last) // 1000)
         yield pd.DataFrame({"user_id": [key[0]] * len(passed), "t": passed})
 
-    return stream.select("user_id", "t").groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, t bigint", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.select("user_id", "t", F.timestamp_micros("t").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(
+        step, "user_id string, t bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expiry_sweep(stream: DataFrame, ttl: str = "5 days", late: str = "1 hour") -> DataFrame:
