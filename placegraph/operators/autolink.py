@@ -22,10 +22,13 @@ def clear_runs(links: DataFrame, spaces: DataFrame, step_m: float = 0.5, wall_m:
     keys = [*SHEET, "a", "b"]
     deg = wall_m / geo.metres_per_degree()
     n = F.greatest(F.ceil(geo.flat_m("ax", "ay", "bx", "by") / step_m), F.lit(1))
+    shapes = spaces.where(F.coalesce("type", F.lit("room")) != "building").select(*SHEET, "ring")
+    traced = shapes.select(*SHEET).distinct()
+    open_air = links.join(traced, SHEET, "left_anti").select(*keys, F.lit(True).alias("clear"))
+    links = links.join(traced, SHEET, "left_semi")
     pts = links.select(*keys, "ax", "ay", "bx", "by", n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
     t = F.col("i") / F.col("n")
     pts = pts.select(*keys, "i", (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("y"))
-    shapes = spaces.where(F.coalesce("type", F.lit("room")) != "building").select(*SHEET, "ring")
     near = spatial.contained(pts, shapes, on=[(k, k) for k in SHEET], x="x", y="y", pad=deg * 2, how="left")
     # Degrees of longitude are shorter; test the wall in metres of the point's own latitude.
     scale = F.cos(F.radians("y"))
@@ -33,11 +36,10 @@ def clear_runs(links: DataFrame, spaces: DataFrame, step_m: float = 0.5, wall_m:
     held = F.col("s_floor").isNotNull() & (geo.distance_to_shape(flat, F.col("x") * scale, F.col("y")) <= deg)
     point = near.groupBy(*keys, "i").agg(F.max(F.coalesce(held, F.lit(False))).alias("in"))
     link = point.groupBy(*keys).agg(F.min("in").alias("clear"))
-    traced = shapes.select(*SHEET).distinct().withColumn("_t", F.lit(True))
-    return link.join(traced, SHEET, "left").select(*keys, (F.col("clear") | F.col("_t").isNull()).alias("clear"))
+    return link.select(*keys, "clear").unionByName(open_air)
 
 
-def _best_partners(nodes: DataFrame, spaces: DataFrame, from_where, start_m: float = 30.0) -> DataFrame:
+def _best_partners(nodes: DataFrame, spaces: DataFrame, from_where, start_m: float = 100.0) -> DataFrame:
     """The best partner of each component on its sheet: a clear run first, then the shorter, then the lower ids.
 
     Cells grow until a component has a clear partner no farther than a cell, or
