@@ -68,18 +68,20 @@ def clean_labels(reads: DataFrame, shapes: DataFrame) -> DataFrame:
     return graded.join(keep, ["building", "floor", "ord"])
 
 
-def register_plans(shapes: DataFrame, footprints: DataFrame, rounds: int = 12) -> DataFrame:
+def register_plans(shapes: DataFrame, footprints: DataFrame, outlines: DataFrame | None = None, rounds: int = 12) -> DataFrame:
     """Fits of floor plans onto building footprints: ``building, floor, scale, theta, tx, ty, inside, own``.
 
     ``shapes``: ``building, floor, ord, ring`` in plan units; ``footprints``:
-    ``building, ring`` in metres. Every floor is fitted; the fit best for the whole
+    ``building, ring`` in metres; ``outlines`` (``building, floor, ring``): the drawn
+    outline to fit by, else the rooms' own points are. Every floor is fitted; the fit best for the whole
     building is shared, a floor under 85 % inside keeps its own when that gains
     over 5 %, and each is nudged at the end when that gains anything worth having.
     """
     keys = ["building", "floor"]
     samples, _ = materialise(quality.sample_points(shapes).select(*keys, "x", "y", "weight"))
     foot, _ = materialise(shapes.select(*keys).distinct().join(footprints.select("building", "ring"), "building"))
-    plan_hull, _ = materialise(registration.convex_hulls(samples, keys))
+    outer = samples if outlines is None else outlines.select(*keys, F.explode("ring").alias("p")).select(*keys, "p.x", "p.y")
+    plan_hull, _ = materialise(registration.convex_hulls(outer, keys))
     foot_hull, _ = materialise(registration.convex_hulls(foot.select(*keys, F.explode("ring").alias("p")).select(*keys, "p.x", "p.y"), keys))
     fits, _ = materialise(registration.icp(plan_hull, foot_hull, registration.turns(plan_hull, foot_hull, keys), keys, rounds))
     shares = registration.inside_share(samples, fits.select(*keys, "k", "scale", "theta", "tx", "ty"), foot, keys, ["k"])
