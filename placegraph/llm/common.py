@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placegraph.session import discard, materialise
+
 #: Texts turned into Python objects at once inside a task.
 SLICE = 128
 
@@ -90,3 +92,27 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], chunk: Column, order: Seq
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Smallest node reachable from each node of the table of links ``a, b``: returns ``node, root``.
+
+    Rounds of large-star and small-star joins; each round is one written table, and
+    the table settles after about log(nodes) rounds. Nodes without links are absent.
+    """
+    state = {"rows": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v") % F.lit(1_000_003))}
+    e, seen = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), **state)
+    while seen["rows"]:
+        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = large.where("u > v").distinct()
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after, now = materialise(hooked.unionByName(low.withColumnRenamed("m", "v")).where("u > v").distinct(), **state)
+        discard(e)
+        settled, e, seen = now == seen, after, now
+        if settled:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

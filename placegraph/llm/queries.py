@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegraph.llm import packing, sharding, token_files
+from placegraph.llm import minhash, packing, sharding, token_files
 from placegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_minhash_near_dedup")
+def op1(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"), width=2)
+
+
 @query("op4_best_two_fit_packing")
 def op4(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
