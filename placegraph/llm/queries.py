@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegraph.llm import minhash, packing, sharding, token_files
+from placegraph.llm import minhash, packing, quality, rules, sharding, token_files
 from placegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,21 @@ def op1(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=2)
 
 
+@query("op3_quality_classifier")
+def op3(spark, sf):
+    return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op4_best_two_fit_packing")
 def op4(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@query("op5_compression_bands")
+def op5(spark, sf):
+    return rules.quality_rules(table(spark, sf, "documents"))
+
+
 @query("op6_rendezvous_sharding")
 def op6(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"))

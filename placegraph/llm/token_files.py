@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placegraph.llm.common import slices
+from placegraph.llm.common import shuffle_width, slices
 from placegraph.llm.tokens import encoder, vocabulary
 from placegraph.session import checkpoint_root, materialise
 
@@ -108,7 +108,7 @@ def read_tokens(parts: DataFrame, with_ids: bool = False) -> DataFrame:
                         out.append(pa.array([s.astype(np.int64) for s in spans], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return based.repartition("part").mapInArrow(run, schema)
+    return based.repartition(shuffle_width(parts.sparkSession), "part").mapInArrow(run, schema)
 
 
 def token_file_round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -48,3 +48,13 @@ def near_duplicates(rows, width, similarity=80):
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= similarity * (len(sets[a]) + len(sets[b]) - n)]
     root = roots(sets, links)
     return {d: (len(sets[d]), root[d], root[d] == d) for d in sets}
+
+
+def rule_counts(text):
+    """Base counts of the quality rules, one definition at a time."""
+    text = text or ""
+    words = WORD.findall(text)
+    seen = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
