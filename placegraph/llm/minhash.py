@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placegraph.llm.common import WordHashes, components, mix, shingle_hashes, slices, words_of
+from placegraph.llm.common import WordHashes, components, mix, shingle_hashes, slices, smallest_reachable, words_of
 from placegraph.session import materialise
 
 #: A pair at similarity 0.8 misses all bands with chance (1 - 0.8**6)**40 = 5e-6.
@@ -198,11 +198,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     rows = classes.select("cid", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("key")
     members, seen = materialise(rows.join(shared, "key"))
-    roots = None
+    roots = links = None
     if seen["rows"]:
         wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"))
         sets, _ = materialise(_sets(docs, wanted, width))
-        links, turn, stars = None, 0, True
+        turn, stars = 0, True
         active = members.withColumn("root", F.col("cid"))
         while True:
             pairs = _stars(active, turn, similarity) if stars else _rest(active, classes.select("cid", "sketch"), similarity)
@@ -221,13 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
                 active, left = materialise(now.join(open_, "key"))
                 if not left["rows"]:
                     break
-    own = classes.select("cid", "rep")
-    if roots is not None:
-        named = own.join(roots, own["cid"] == roots["node"]).select("cid", "rep", "root")
-        least = named.groupBy("root").agg(F.min("rep").alias("component"))
-        own = own.join(named.join(least, "root").select("cid", "component"), "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
-    else:
-        own = own.withColumnRenamed("rep", "component")
+    own = smallest_reachable(classes.select("cid", "rep"), links)
     out = sig.select("doc_id", "n_shingles", "cid").join(own, "cid", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegraph.llm import minhash, packing, quality, rules, sharding, token_files
+from placegraph.llm import embeddings, minhash, packing, quality, rules, sharding, token_files
 from placegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op6(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
+@query("op7_rotated_codes_near_dedup")
+def op7(spark, sf):
+    return embeddings.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
 @query("op9_token_files")
 def op9(spark, sf):
     return token_files.token_file_round_trip(spark, table(spark, sf, "documents"))
