@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegraph.llm import embeddings, minhash, packing, quality, rules, sharding, token_files
+from placegraph.llm import chat, embeddings, licenses, minhash, packing, pieces, quality, rules, sharding, token_files
 from placegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=2)
 
 
+@query("op2_sentencepiece_viterbi")
+def op2(spark, sf):
+    return pieces.piece_digests(table(spark, sf, "documents"))
+
+
 @query("op3_quality_classifier")
 def op3(spark, sf):
     return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -53,6 +58,16 @@ def op7(spark, sf):
     return embeddings.near_duplicate_vectors(table(spark, sf, "embeddings"))
 
 
+@query("op8_chat_perspectives", chat.SQL)
+def op8(spark, sf):
+    return chat.perspectives(table(spark, sf, "conversations"))
+
+
 @query("op9_token_files")
 def op9(spark, sf):
     return token_files.token_file_round_trip(spark, table(spark, sf, "documents"))
+
+
+@query("op10_license_patience")
+def op10(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents"))
