@@ -142,7 +142,7 @@ def week_view(spark, sf):
     return w.select("user_id", "ord", F.col("col").cast("bigint").alias("col"), F.col("start_min").cast("bigint").alias("start_min"), "starts")
 
 
-@query("timetable_order", """SELECT user_id, ord, CASE WHEN day_bits = 0 THEN 'at least one day is required' ELSE '' END AS error,
+@query("timetable_order", """SELECT user_id, ord, CASE WHEN day_bits = 0 THEN 'NO_DAY' ELSE '' END AS error,
  LPAD(CAST(CAST(FLOOR(start_min / 60) AS BIGINT) AS STRING), 2, '0') || ':' || LPAD(CAST(start_min % 60 AS STRING), 2, '0') AS start_time, UPPER(building) AS building FROM classes""", ("classes",))
 def timetable_order(spark, sf):
     c = T.clean_classes(T.check_classes(classes(spark, sf)))

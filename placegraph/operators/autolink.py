@@ -29,12 +29,12 @@ def clear_runs(links: DataFrame, spaces: DataFrame, step_m: float = 0.5, wall_m:
     pts = links.select(*keys, "ax", "ay", "bx", "by", n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
     t = F.col("i") / F.col("n")
     pts = pts.select(*keys, "i", (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("y"))
-    near = spatial.contained(pts, shapes, on=[(k, k) for k in SHEET], x="x", y="y", pad=deg * 2, how="left")
     # Degrees of longitude are shorter; test the wall in metres of the point's own latitude.
     scale = F.cos(F.radians("y"))
     flat = F.transform("s__e", lambda e: F.struct((e["ax"] * scale).alias("ax"), e["ay"].alias("ay"), (e["bx"] * scale).alias("bx"), e["by"].alias("by")))
-    held = F.col("s_floor").isNotNull() & (geo.distance_to_shape(flat, F.col("x") * scale, F.col("y")) <= deg)
-    point = near.groupBy(*keys, "i").agg(F.max(F.coalesce(held, F.lit(False))).alias("in"))
+    held = geo.distance_to_shape(flat, F.col("x") * scale, F.col("y")) <= deg
+    point = spatial.with_hits(pts, shapes, {"_in": F.max(held)}, on=[(k, k) for k in SHEET], x="x", y="y", pad=deg * 2).withColumn(
+        "in", F.coalesce("_in", F.lit(False)))
     link = point.groupBy(*keys).agg(F.min("in").alias("clear"))
     return link.select(*keys, "clear").unionByName(open_air)
 

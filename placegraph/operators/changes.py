@@ -83,10 +83,10 @@ def dropped_unkeyed(existing: DataFrame) -> DataFrame:
 def check_features(features: DataFrame) -> DataFrame:
     """``error`` of each network feature, NULL when fine."""
     point = F.col("lng").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lng") & ~F.isnan("lat")
-    error = (F.when((F.col("type") == "node") & ~point, "a node needs a position")
-             .when((F.col("type") == "node") & ~text.filled("nid"), "a node needs an id")
-             .when((F.col("type") == "path") & (F.col("a").isNull() | F.col("b").isNull()), "a link names two nodes")
-             .when(~F.coalesce(F.col("type").isin("node", "path"), F.lit(False)), "nodes and links only"))
+    error = (F.when((F.col("type") == "node") & ~point, "NODE_WITHOUT_POINT")
+             .when((F.col("type") == "node") & ~text.filled("nid"), "NODE_WITHOUT_ID")
+             .when((F.col("type") == "path") & (F.col("a").isNull() | F.col("b").isNull()), "LINK_WITHOUT_ENDS")
+             .when(~F.coalesce(F.col("type").isin("node", "path"), F.lit(False)), "KIND_UNKNOWN"))
     return features.withColumn("error", error)
 
 
@@ -94,12 +94,12 @@ def check_sheet(features: DataFrame) -> DataFrame:
     """``error`` of each sheet feature: ``geom_type, points`` (array), ``connects``, ``nodes``."""
     n = F.coalesce(F.size("points"), F.lit(-1))
     ends = F.coalesce(F.size("nodes"), F.lit(-1))
-    error = (F.when((F.col("geom_type") == "Polygon") & (n < 4), "an outline needs at least three corners")
-             .when((F.col("geom_type") == "Point") & (n != 1), "a marker needs a position")
-             .when((F.col("geom_type") == "Point") & (F.size("connects") > 2), "a marker connects at most two spaces")
-             .when((F.col("geom_type") == "LineString") & (n != 2), "a path runs between two points")
-             .when((F.col("geom_type") == "LineString") & (ends != 2), "a path names the two nodes it joins")
-             .when(~F.coalesce(F.col("geom_type").isin("Polygon", "Point", "LineString"), F.lit(False)), "outlines, markers or paths only"))
+    error = (F.when((F.col("geom_type") == "Polygon") & (n < 4), "OUTLINE_TOO_SHORT")
+             .when((F.col("geom_type") == "Point") & (n != 1), "MARKER_WITHOUT_POINT")
+             .when((F.col("geom_type") == "Point") & (F.size("connects") > 2), "MARKER_OVERLINKED")
+             .when((F.col("geom_type") == "LineString") & (n != 2), "PATH_NOT_TWO_POINTS")
+             .when((F.col("geom_type") == "LineString") & (ends != 2), "PATH_NOT_TWO_NODES")
+             .when(~F.coalesce(F.col("geom_type").isin("Polygon", "Point", "LineString"), F.lit(False)), "SHAPE_UNKNOWN"))
     return features.withColumn("error", error)
 
 

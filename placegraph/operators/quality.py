@@ -55,9 +55,9 @@ def alignment_audit(shapes: DataFrame, footprints: DataFrame, slack_m: float = 2
     s = shapes.select(*SHEET, "ord", F.upper("building").alias("b"), "ring").join(origin, "b", "left")
     flat = s.where("x0 IS NOT NULL").select(*SHEET, "ord", "b", local("ring").alias("ring"))
     pts = sample_points(flat)
-    near = spatial.contained(pts, foot, on=[("b", "b")], x="x", y="y", pad=slack_m, how="left")
-    hit = F.col("s_b").isNotNull() & (geo.distance_to_shape("s__e", "x", "y") <= slack_m)
-    by_point = near.groupBy(*SHEET, "ord", "i", "weight").agg(F.max(F.coalesce(hit, F.lit(False))).alias("inside"))
+    hit = F.max(geo.distance_to_shape("s__e", "x", "y") <= slack_m)
+    by_point = spatial.with_hits(pts, foot, {"_hit": hit}, on=[("b", "b")], x="x", y="y", pad=slack_m).withColumn(
+        "inside", F.coalesce("_hit", F.lit(False)))
     room = by_point.groupBy(*SHEET, "ord").agg(F.sum("weight").alias("area"), F.sum(F.when(~F.col("inside"), F.col("weight")).otherwise(0.0)).alias("out"))
     floors = room.groupBy(*SHEET).agg((F.sum("out") / F.sum("area") * 100).alias("pct_area_outside"),
                                       F.count_if(F.col("out") > F.col("area") / 2).alias("rooms_mostly_outside"), F.count(F.lit(1)).alias("polygons"))
@@ -66,10 +66,10 @@ def alignment_audit(shapes: DataFrame, footprints: DataFrame, slack_m: float = 2
     return out.withColumn("bad", F.coalesce(F.col("pct_area_outside") > bad_pct, F.lit(False)))
 
 
-def worst_first(report: DataFrame, column: str, show_from: float = 1.0) -> DataFrame:
-    """Rows worth printing: worst first, small ones left out once a report is long."""
-    many = report.agg(F.count(F.lit(1)) > 25).scalar()
-    return report.where((F.col(column) >= show_from) | ~many).orderBy(F.col(column).desc(), *SHEET)
+def worst_first(report: DataFrame, column: str, least: float | None = None) -> DataFrame:
+    """Rows of a report, worst first; those below ``least`` left out if it is given."""
+    kept = report if least is None else report.where(F.col(column) >= least)
+    return kept.orderBy(F.col(column).desc(), *SHEET)
 
 
 def stair_stacking(shapes: DataFrame, match_m: float = 8.0) -> DataFrame:

@@ -112,11 +112,10 @@ def inside_share(samples: DataFrame, fits: DataFrame, footprints: DataFrame, key
     ``samples``: ``keys, x, y, weight``; ``fits``: ``keys, cand, scale, theta, tx,
     ty``; ``footprints``: ``keys, ring``.
     """
-    s = samples.select(*keys, "x", "y", "weight").withColumn("_pid", F.monotonically_increasing_id())
     x, y = moved(F.col("x"), F.col("y"))
-    at = s.join(fits, list(keys)).select(*keys, *cand, "_pid", "weight", x.alias("mx"), y.alias("my"))
-    hits = spatial.contained(at, footprints.select(*keys, "ring"), on=[(k, k) for k in keys], x="mx", y="my", how="left")
-    one = hits.groupBy(*keys, *cand, "_pid", "weight").agg(F.max(F.col("s_" + keys[0]).isNotNull()).alias("in"))
+    at = samples.select(*keys, "x", "y", "weight").join(fits, list(keys)).select(*keys, *cand, "weight", x.alias("mx"), y.alias("my"))
+    one = spatial.with_hits(at, footprints.select(*keys, "ring"), {"_n": F.count(F.lit(1))}, on=[(k, k) for k in keys], x="mx", y="my").withColumn(
+        "in", F.col("_n").isNotNull())
     return one.groupBy(*keys, *cand).agg((F.sum(F.when(F.col("in"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("inside"))
 
 

@@ -51,12 +51,12 @@ def _rename(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def contained(points: DataFrame, shapes: DataFrame, on: Sequence[tuple[str, str]] = (), x: str = "lng",
-              y: str = "lat", ring: str = "ring", how: str = "inner", pad: float = 0.0) -> DataFrame:
-    """Points with the shapes that hold them; shape columns come back as ``s_*``.
+              y: str = "lat", ring: str = "ring", pad: float = 0.0) -> DataFrame:
+    """Points with the shapes that hold them, a row for each pair; shape columns come back as ``s_*``.
 
-    With ``how='left'`` a point is kept once per level, so callers aggregate by
-    the point's own columns. ``pad`` widens the candidate search and leaves the
-    exact test to the caller (the edges come back as ``s__e``).
+    ``pad`` widens the candidate search and leaves the exact test to the caller (the
+    edges come back as ``s__e``). Points that no shape holds do not come back: see
+    :func:`with_hits`.
     """
     boxed = _boxed(shapes, ring, pad).withColumn("_e", geo.edges(ring)).drop(ring)
     cells = _rename(_covered(boxed), "s_")
@@ -69,18 +69,37 @@ def contained(points: DataFrame, shapes: DataFrame, on: Sequence[tuple[str, str]
     if not pad:
         cond = cond & F.col(x).between(F.col("s__x0"), F.col("s__x1")) & F.col(y).between(F.col("s__y0"), F.col("s__y1"))
         cond = cond & geo.inside_edges("s__e", x, y)
-    out = probes.join(cells, cond, how)
+    out = probes.join(cells, cond)
     return out.drop("_lv", "_cx", "_cy", "s__lv", "s__cx", "s__cy", "s__x0", "s__x1", "s__y0", "s__y1")
 
 
+def with_hits(points: DataFrame, shapes: DataFrame, found: dict[str, Column], on: Sequence[tuple[str, str]] = (), x: str = "lng",
+              y: str = "lat", ring: str = "ring", pad: float = 0.0) -> DataFrame:
+    """Every row of ``points``, once, with aggregates ``found`` over the shapes that hold it; NULL where none does.
+
+    Shapes depend on where a point is and what it is matched on, so each distinct
+    spot is searched once, carries no other column, and its answer is joined back.
+    """
+    spot = [x, y, *[p for p, _ in on]]
+    hits = contained(points.select(*spot).distinct(), shapes, on, x, y, ring, pad)
+    best = hits.groupBy(*spot).agg(*[c.alias(n) for n, c in found.items()])
+    return points.join(best, spot, "left").select(*points.columns, *found)
+
+
 def place_of(points: DataFrame, outlines: DataFrame, x: str = "lng", y: str = "lat", name: str = "place") -> DataFrame:
     """The first outline holding each point, by priority then file order; NULL outdoors.
 
     ``outlines``: ``prio, ord, name, ring``, one row per ring.
     """
-    hits = contained(points, outlines.select("prio", "ord", "name", "ring"), x=x, y=y, how="left")
-    best = F.min(F.when(F.col("s_name").isNotNull(), F.struct("s_prio", "s_ord", "s_name")))
-    return hits.groupBy(*points.columns).agg(best.alias("_b")).select(*points.columns, F.col("_b.s_name").alias(name))
+    first = {"_b": F.min(F.struct("s_prio", "s_ord", "s_name"))}
+    got = with_hits(points, outlines.select("prio", "ord", "name", "ring"), first, x=x, y=y)
+    return got.select(*points.columns, F.col("_b.s_name").alias(name))
+
+
+def _on_floor(nodes: DataFrame, shapes: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """:func:`with_hits` for spaces of a node's own building and floor."""
+    keyed = nodes.withColumn("_b", F.upper("building"))
+    return with_hits(keyed, shapes, found, on=[("_b", "b"), ("floor", "floor")])
 
 
 def room_of(nodes: DataFrame, spaces: DataFrame, name: str = "found_room") -> DataFrame:
@@ -88,17 +107,16 @@ def room_of(nodes: DataFrame, spaces: DataFrame, name: str = "found_room") -> Da
     numbered = (
         spaces.where(F.col("room").isNotNull() & F.col("type").isNotNull() & (F.col("type") != "building"))
         .select(F.upper("building").alias("b"), "floor", "room", geo.area("ring").alias("area"), "ring"))
-    hits = contained(nodes.withColumn("_b", F.upper("building")), numbered, on=[("_b", "b"), ("floor", "floor")], how="left")
-    best = F.min(F.when(F.col("s_room").isNotNull(), F.struct("s_area", "s_room")))
-    return hits.groupBy(*nodes.columns).agg(best.alias("_m")).select(*nodes.columns, F.col("_m.s_room").alias(name))
+    got = _on_floor(nodes, numbered, {"_m": F.min(F.struct("s_area", "s_room"))})
+    return got.select(*nodes.columns, F.col("_m.s_room").alias(name))
 
 
 def inside_any(nodes: DataFrame, spaces: DataFrame, name: str = "inside") -> DataFrame:
     """Whether a node stands in any traced space of its floor; no floor means no."""
     shapes = spaces.where(F.col("type").isNotNull() & (F.col("type") != "building")).select(
         F.upper("building").alias("b"), "floor", "ring")
-    hits = contained(nodes.withColumn("_b", F.upper("building")), shapes, on=[("_b", "b"), ("floor", "floor")], how="left")
-    return hits.groupBy(*nodes.columns).agg(F.coalesce(F.max(F.col("s_b").isNotNull()), F.lit(False)).alias(name))
+    got = _on_floor(nodes, shapes, {"_m": F.count(F.lit(1))})
+    return got.select(*nodes.columns, F.col("_m").isNotNull().alias(name))
 
 
 def _three_by_three(df: DataFrame, x: Column, y: Column, sx: Column, sy: Column) -> DataFrame:
@@ -124,36 +142,32 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, or
     spots, seen = materialise(spots, rows=F.count(F.lit(1)))
     todo = points.select(F.col(key), F.col(x).alias("_px"), F.col(y).alias("_py")).where(
         F.col("_px").isNotNull() & F.col("_py").isNotNull() & ~F.isnan("_px") & ~F.isnan("_py"))
-    answer = None
-    size_m, previous = start_m, None
+    answer, size_m = None, start_m
     while seen["rows"]:
         size = size_m / deg
-        last = size >= 360.0
-        # A cell stays at least size_m wide at the point's own latitude band.
+        # A cell stays at least size_m wide at the point's own latitude band; whole cells
+        # go round the world, so that a point near the date line meets the other side.
         band = F.floor(F.col("_py") / F.lit(size))
-        widen = lambda b: F.lit(size) / F.greatest(
-            F.cos(F.radians(F.least(F.greatest(F.abs(b * size), F.abs((b + 1) * size)) + size, F.lit(89.9)))), F.lit(1e-3))
-        if last:
-            # A cell is the whole world by now: one key, few points left.
-            cand = todo.withColumn("_w", F.lit(0)).join(spots.withColumn("_w", F.lit(0)), "_w")
-        else:
-            # Longitude cells differ by latitude band, so the target is keyed in
-            # every band that can look at it.
-            off = F.array(F.lit(-1), F.lit(0), F.lit(1))
-            left = (todo.withColumn("_b", band).withColumn("_w", widen(F.col("_b")))
-                    .withColumn("_cx", F.explode(F.transform(off, lambda d: F.floor(F.col("_px") / F.col("_w")) + d))))
-            right = (spots.withColumn("_b", F.explode(F.transform(off, lambda d: F.floor(F.col("_ty") / F.lit(size)) + d)))
-                     .withColumn("_cx", F.floor(F.col("_tx") / widen(F.col("_b")))))
-            cand = left.join(right, ["_b", "_cx"])
+        around = lambda b: F.greatest(F.floor(F.lit(360.0 / size) * F.cos(F.radians(F.least(
+            F.greatest(F.abs(b * size), F.abs((b + 1) * size)) + size, F.lit(90.0))))), F.lit(1)).cast("bigint")
+        column = lambda v, b: F.floor((v + 180.0) / (F.lit(360.0) / around(b)))
+        # Columns differ by latitude band, so the target is keyed in every band that can look at it.
+        off = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        left = todo.withColumn("_b", band).withColumn("_cx", F.explode(F.array_distinct(F.transform(
+            off, lambda d: F.pmod(column(F.col("_px"), band) + d, around(band))))))
+        right = (spots.withColumn("_b", F.explode(F.transform(off, lambda d: F.floor(F.col("_ty") / F.lit(size)) + d)))
+                 .withColumn("_cx", F.pmod(column(F.col("_tx"), F.col("_b")), around(F.col("_b")))))
+        cand = left.join(right, ["_b", "_cx"])
         metres = geo.haversine_m("_px", "_py", "_tx", "_ty", radius)
         best = cand.groupBy(key).agg(F.min(F.struct(metres.alias("d"), F.col("_t.o").alias("o"), F.col("_t.k").alias("k"))).alias("_m"))
         tried = todo.join(best, key, "left")
-        done = F.col("_m").isNotNull() & ((F.col("_m.d") <= size_m) if not last else F.lit(True))
+        whole = size >= 180.0  # by now a point has met every target
+        done = F.col("_m").isNotNull() & ((F.col("_m.d") <= size_m) | F.lit(whole))
         tried, n = materialise(tried.withColumn("_done", F.coalesce(done, F.lit(False))),
                                left=F.count_if(~F.coalesce(done, F.lit(False))))
         got = tried.where("_done").select(key, F.col("_m.k").alias(target_key), F.col("_m.d").alias("metres"))
         answer = got if answer is None else answer.unionByName(got)
-        if not n["left"] or last:
+        if not n["left"] or whole:
             break
         todo = tried.where(~F.col("_done")).select(key, "_px", "_py")
         size_m *= 4

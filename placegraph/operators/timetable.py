@@ -16,10 +16,10 @@ from placegraph.functions import clock, text
 def check_classes(classes: DataFrame) -> DataFrame:
     """``error`` says why a class row is refused; NULL when it is fine."""
     need = lambda c: ~text.filled(c)
-    error = (F.when(need("title"), "title is required").when(need("building") | need("room"), "building and room are required")
-             .when(F.coalesce(F.size("days"), F.lit(0)) <= 0, "at least one day is required")
-             .when(need("start_time") | need("end_time"), "start and end are required")
-             .when(F.col("end_time") <= F.col("start_time"), "end must be after start"))
+    error = (F.when(need("title"), "NO_TITLE").when(need("building") | need("room"), "NO_PLACE")
+             .when(F.coalesce(F.size("days"), F.lit(0)) <= 0, "NO_DAY")
+             .when(need("start_time") | need("end_time"), "NO_HOURS")
+             .when(F.col("end_time") <= F.col("start_time"), "HOURS_REVERSED"))
     return classes.withColumn("error", error)
 
 

@@ -33,12 +33,34 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """A version of a table, the newest by default."""
+def commit(spark: SparkSession, root: str, version: int) -> None:
+    """Make a finished version the current one. Written last; a version once committed stays in the list."""
+    fs, p = _fs(spark, f"{root}/committed/{version}")
+    if not fs.exists(p):
+        fs.create(p, False).close()
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The committed version, or the newest finished one of a table that is not committed to."""
+    fs, p = _fs(spark, f"{root}/committed")
+    marks = [int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()] if fs.exists(p) else []
     have = versions(spark, root)
-    if not have:
+    return max(marks) if marks else have[-1] if have else None
+
+
+def next_version(spark: SparkSession, root: str) -> int:
+    """A number that no version, finished or not, has had."""
+    fs, p = _fs(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return max([int(n[8:]) for n in names if n.startswith("version=")], default=0) + 1
+
+
+def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A version of a table, the current one by default."""
+    version = current_version(spark, root) if version is None else version
+    if version is None:
         raise FileNotFoundError(f"no finished version under {root}")
-    return spark.read.parquet(f"{root}/version={have[-1] if version is None else version}")
+    return spark.read.parquet(f"{root}/version={version}")
 
 
 def feature_lines(features: DataFrame) -> DataFrame:
@@ -91,21 +113,22 @@ def append_records(records: DataFrame, path: str, id_column: str = "id") -> None
 
 def upsert_placements(spark: SparkSession, incoming: DataFrame, root: str) -> int:
     """Placements merged by sheet into a new version, stamped; returns the version."""
-    have = versions(spark, root)
+    have = current_version(spark, root)
     new = incoming.withColumn("updated", F.current_timestamp())
-    if not have:
-        return int(write_version(new.drop("seq"), root, 1) and 1)
-    merged = changes.upsert(read_version(spark, root), new, ["sheet"], "seq")
-    write_version(merged, root, have[-1] + 1)
-    return have[-1] + 1
+    stored = new.drop("seq").limit(0) if have is None else read_version(spark, root, have)
+    version = next_version(spark, root)
+    write_version(changes.upsert(stored, new, ["sheet"], "seq"), root, version)
+    commit(spark, root, version)
+    return version
 
 
 def promote(generated: DataFrame, live_root: str, least: float = 0.9) -> bool:
     """Make a generated set the live one, unless it lost over a tenth of the rows."""
     spark = generated.sparkSession
-    have = versions(spark, live_root)
-    if have:
+    if current_version(spark, live_root) is not None:
         if not changes.promote_guard(read_version(spark, live_root), generated, least).first().promote:
             return False
-    write_version(generated, live_root, (have[-1] if have else 0) + 1)
+    version = next_version(spark, live_root)
+    write_version(generated, live_root, version)
+    commit(spark, live_root, version)
     return True

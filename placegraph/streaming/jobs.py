@@ -6,6 +6,7 @@ same, so a stream run to its end equals the batch query on all its rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -15,37 +16,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from placegraph.functions import clock
 from placegraph.operators import activity, changes, timetable
 from placegraph.sources import sinks
 
-# A user's remembered rooms and throttle marks are dropped after this long without an event.
-STATE_TTL_MS = 30 * 24 * 3600 * 1000
-
-
-def _keep(state: GroupState, newest_ms: int) -> None:
-    """Keep a state until its time to live has passed in event time."""
-    state.setTimeoutTimestamp(max(newest_ms + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
-
-
 def ingest_changes(stream: DataFrame, root: str, columns: list[str], checkpoint: str) -> DataStreamWriter:
     """Deltas applied to a versioned network, one version per batch that holds any.
 
     A change made against another version than the one its batch starts from, a
     change that fails the feature checks and one that leaves a link hanging go to
-    ``rejects`` and are never applied. The applied batch is named by its version's
-    log, so a batch run twice is applied once.
+    ``rejects`` and are never applied. A batch writes its version, then its log, and
+    last commits; numbers are never used twice, so readers and later batches see
+    committed versions only. Logs are kept by checkpoint and batch: a batch run twice
+    is applied once, and a stream begun anew is judged by its base versions alone.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    table = f"{root}/table"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty() or sinks.exists(spark, f"{root}/log/batch={batch_id}/_SUCCESS"):
+        log = f"{root}/log/run={run}/batch={batch_id}"
+        if batch.isEmpty():
+            return
+        if sinks.exists(spark, f"{log}/_SUCCESS"):  # cut between log and commit, or run again
+            sinks.commit(spark, table, spark.read.parquet(log).first().version)
             return
-        have = sinks.versions(spark, f"{root}/table")
-        # A run cut between writing the version and its log left a version over.
-        version = have[-1] if have else 0
-        logged = [r.version for r in spark.read.parquet(f"{root}/log").agg(F.max("version").alias("version")).collect()] if sinks.exists(spark, f"{root}/log") else []
-        version = logged[0] if logged and logged[0] is not None else min(version, 1)
-        current = sinks.read_version(spark, f"{root}/table", version)
+        version = sinks.current_version(spark, table)
+        sinks.commit(spark, table, version)  # what this batch leaves unfinished is not taken for current
+        current = sinks.read_version(spark, table, version)
         guarded = changes.check_features(changes.version_guard(batch, version))
         put = F.col("op").isin("add", "update")
         bad = F.when(~F.col("accepted"), "version moved on").when(put & F.col("error").isNotNull(), F.col("error")).when(put & changes.feature_key().isNull(), "no id")
@@ -57,13 +55,14 @@ def ingest_changes(stream: DataFrame, root: str, columns: list[str], checkpoint:
         loose = merged.where("type = 'path'").select("key", F.explode(F.array("a", "b")).alias("nid")).join(ids, "nid", "left_anti")
         refused = not loose.isEmpty() or changes.shrink_guard(current.where("type = 'node'"), merged.where("type = 'node'")).first().refused
         rejects = guarded.where("reason IS NOT NULL") if not refused else guarded.withColumn("reason", F.coalesce("reason", F.lit("would break the network")))
-        rejects.select("op", "seq", changes.feature_key().alias("key"), "base_version", "reason").write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+        rejects.select("op", "seq", changes.feature_key().alias("key"), "base_version", "reason").write.mode("overwrite").parquet(f"{root}/rejects/run={run}/batch={batch_id}")
         after = version
         if not refused and not good.isEmpty():
-            after = version + 1
+            after = sinks.next_version(spark, table)
             numbered = applied.where("kept").select(*columns, (F.col("section") * (1 << 50) + F.coalesce(F.col("pos.o"), F.lit(0)) * (1 << 48) + F.col("pos.seq")).alias("ord"))
-            sinks.write_version(numbered, f"{root}/table", after)
-        changes.delta_counts(applied).withColumn("version", F.lit(after)).write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
+            sinks.write_version(numbered, table, after)
+        changes.delta_counts(applied).withColumn("version", F.lit(after)).write.mode("overwrite").parquet(log)
+        sinks.commit(spark, table, after)
         guarded.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -84,11 +83,12 @@ def keep_favourites(stream: DataFrame, root: str, checkpoint: str) -> DataStream
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = fold(batch)
-        have = sinks.versions(spark, root)
-        if have:
+        if sinks.current_version(spark, root) is not None:
             both = sinks.read_version(spark, root).unionByName(new)
             new = both.groupBy("user_id", "node_id").agg(*[F.max(c).alias(c) for c in ("add", "use", "remove")])
-        sinks.write_version(new, root, (have[-1] if have else 0) + 1)
+        version = sinks.next_version(spark, root)
+        sinks.write_version(new, root, version)
+        sinks.commit(spark, root, version)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -100,31 +100,31 @@ def current_favourites(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recents(stream: DataFrame, k: int = 8, late: str = "1 day") -> DataFrame:
-    """Each user's last k rooms after every batch (update mode): ``user_id, rank, building, floor, room, event_id``."""
+    """Each user's last k rooms after every batch (update mode): ``user_id, rank, building, floor, room, event_id``.
+
+    Rooms go by ``(ts, event_id)`` as in the batch query. The state is a user's rooms,
+    one entry each however often seen; it is kept, as the batch query forgets nobody.
+    """
     v = stream.withWatermark("ts", late).where(activity.well_formed_visit(F.col("building"), F.col("room"))).select(
-        "user_id", F.upper("building").alias("building"), "room", F.nullif("floor", F.lit("")).alias("floor"), "ts", "event_id")
+        "user_id", F.upper("building").alias("building"), "room", F.nullif("floor", F.lit("")).alias("floor"), "ts", clock.micros("ts").alias("us"), "event_id")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, newest = json.loads(state.get[0]) if state.exists else {}, 0
+        # By room: its last visit and its last visit with a floor, both by (time, id).
+        seen = json.loads(state.get[0]) if state.exists else {}
         for f in frames:
-            newest = max(newest, int(f["ts"].max().timestamp() * 1000))
             for r in f.itertuples(index=False):
-                name = f"{r.building}\t{r.room}"
-                old = seen.get(name, [-1, -1, None])
-                floor = r.floor if isinstance(r.floor, str) else None
-                known = [r.event_id, floor] if floor is not None and r.event_id > old[1] else old[1:]
-                seen[name] = [max(int(r.event_id), old[0]), int(known[0]), known[1]]
+                name, at = f"{r.building}\t{r.room}", [int(r.us), int(r.event_id)]
+                last, known, floor = seen.get(name, [[-1, -1], [-1, -1], None])
+                if isinstance(r.floor, str) and at > known:
+                    known, floor = at, r.floor
+                seen[name] = [max(at, last), known, floor]
         state.update((json.dumps(seen),))
-        _keep(state, newest)
-        top = sorted(seen.items(), key=lambda kv: -kv[1][0])[:k]
-        yield pd.DataFrame([(key[0], i + 1, n.split("\t")[0], e[2], n.split("\t")[1], e[0]) for i, (n, e) in enumerate(top)],
+        top = sorted(seen.items(), key=lambda kv: kv[1][0], reverse=True)[:k]
+        yield pd.DataFrame([(key[0], i + 1, n.split("\t")[0], e[2], n.split("\t")[1], e[0][1]) for i, (n, e) in enumerate(top)],
                            columns=["user_id", "rank", "building", "floor", "room", "event_id"])
 
     return v.groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, rank int, building string, floor string, room string, event_id bigint", "seen string", "update", GroupStateTimeout.EventTimeTimeout)
+        step, "user_id string, rank int, building string, floor string, room string, event_id bigint", "seen string", "update", GroupStateTimeout.NoTimeout)
 
 
 def sessions(stream: DataFrame, gap: str = "5 days", late: str = "1 day") -> DataFrame:
@@ -136,27 +136,33 @@ def sessions(stream: DataFrame, gap: str = "5 days", late: str = "1 day") -> Dat
 def throttled_touches(stream: DataFrame, gap_us: int, late: str = "1 day") -> DataFrame:
     """Touches let through, at most one per ``gap_us`` and user (append mode): ``user_id, t``.
 
-    Rows of a batch are taken in time order; a row older than the last passed one is late and dropped.
+    A touch is decided once the watermark has passed it, so rows may come in any
+    order within ``late`` and the result is the batch query's. Until then it waits
+    in the user's state; the state goes when nothing waits and the last touch that
+    passed is a whole gap behind the watermark.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
+        waiting = sorted(waiting + [int(t) for f in frames for t in f["t"]])
+        mark = state.getCurrentWatermarkMs() * 1000
+        passed, ripe = [], 0
+        while ripe < len(waiting) and waiting[ripe] <= mark:
+            if last is None or waiting[ripe] - last >= gap_us:
+                last = waiting[ripe]
+                passed.append(last)
+            ripe += 1
+        waiting = waiting[ripe:]
+        if waiting or last is not None and last + gap_us > mark:
+            state.update((last, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max((waiting[0] if waiting else last + gap_us) // 1000 + 1, mark // 1000 + 1))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        passed = []
-        for t in sorted(t for f in frames for t in f["t"]):
-            if last is None or t - last >= gap_us:
-                passed.append(t)
-                last = t
-        if last is not None:
-            state.update((int(last),))
-            _keep(state, int(last) // 1000)
         yield pd.DataFrame({"user_id": [key[0]] * len(passed), "t": passed})
 
     timed = stream.select("user_id", "t", F.timestamp_micros("t").alias("ts")).withWatermark("ts", late)
     return timed.groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, t bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        step, "user_id string, t bigint", "last bigint, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expiry_sweep(stream: DataFrame, ttl: str = "5 days", late: str = "1 hour") -> DataFrame:

@@ -124,8 +124,9 @@ def test_recents_and_throttle_streams_equal_batch(spark, tmp_path):
     assert last.count() > 0 and {k: newest[k] for k in want} == want
     t = a.select("user_id", clock.micros("ts").alias("t"))
     gap = 3 * 3600 * 1_000_000
-    passed = _collect(spark, S.throttled_touches(_batches(spark, t, str(tmp_path / "k"), "t"), gap), str(tmp_path / "k"), "append")
-    assert rows(passed) == rows(activity.throttle(t, gap))
+    end = spark.sql("SELECT 'zz' AS user_id, unix_micros(TIMESTAMP'2040-01-01 00:00:00') + id AS t FROM range(0, 5000000000000, 1000000000000)")
+    passed = _collect(spark, S.throttled_touches(_batches(spark, t.unionByName(end), str(tmp_path / "k"), "t"), gap), str(tmp_path / "k"), "append")
+    assert rows(passed.where("user_id <> 'zz'"), "user_id", "t") == rows(activity.throttle(t, gap), "user_id", "t")
 
 
 def test_session_and_status_streams_equal_batch(spark, tmp_path):
@@ -156,10 +157,51 @@ def test_change_stream_applies_rejects_and_repeats_nothing(spark, tmp_path):
     final = sinks.read_version(spark, f"{root}/table")
     assert {r.nid: r.lng for r in final.collect()} == {None: None, "a": 7.0, "b": 2.0, "c": 3.0}
     why = {r.seq: r.reason for r in spark.read.parquet(f"{root}/rejects").collect()}
-    assert why == {1: "a node needs a position", 2: "would break the network", 4: "version moved on"}
+    assert why == {1: "NODE_WITHOUT_POINT", 2: "would break the network", 4: "version moved on"}
     before = sinks.versions(spark, f"{root}/table")
-    stream(str(tmp_path / "c2"))  # the same batches again: all logged, nothing applied
+    stream(str(tmp_path / "c1"))  # nothing new
     assert sinks.versions(spark, f"{root}/table") == before
+    stream(str(tmp_path / "c2"))  # a stream begun anew: every change was made against an older version
+    assert sinks.versions(spark, f"{root}/table") == before and rows(sinks.read_version(spark, f"{root}/table")) == rows(final)
+
+
+def test_change_stream_on_published_versions_and_after_a_cut(spark, tmp_path):
+    root, cols = str(tmp_path / "net"), ["type", "nid", "a", "b", "lng", "lat"]
+    schema = "ord bigint, type string, nid string, a string, b string, lng double, lat double"
+    for v in (1, 2, 3):
+        sinks.write_version(spark.createDataFrame([(0, "node", "p", None, None, float(v), 1.0)], schema), f"{root}/table", v)
+    dschema = "op string, seq int, key string, type string, nid string, a string, b string, lng double, lat double, base_version int"
+    change = lambda seq, base, lng: ("update", seq, None, "node", "p", None, None, lng, 1.0, base)
+    src = str(tmp_path / "in")
+    for c in (change(0, 1, 50.0), change(1, 3, 60.0)):
+        spark.createDataFrame([c], dschema).coalesce(1).write.mode("append").parquet(src)
+    sinks.write_version(spark.createDataFrame([(0, "node", "p", None, None, 99.0, 1.0)], schema), f"{root}/other", 1)
+    stream = lambda c: S.ingest_changes(spark.readStream.schema(dschema).option("maxFilesPerTrigger", 1).parquet(src), root, cols, c).trigger(availableNow=True).start().awaitTermination(120)
+    stream(str(tmp_path / "c1"))
+    lng = lambda v=None: sinks.read_version(spark, f"{root}/table", v).first().lng
+    assert lng() == 60.0 and [lng(v) for v in (1, 2, 3)] == [1.0, 2.0, 3.0]
+    top = sinks.current_version(spark, f"{root}/table")
+    # A run cut after writing a version: readers stay where they are and its number is not used again.
+    sinks.write_version(spark.createDataFrame([(0, "node", "p", None, None, 77.0, 1.0)], schema), f"{root}/table", top + 1)
+    assert lng() == 60.0
+    spark.createDataFrame([change(2, top, 70.0)], dschema).coalesce(1).write.mode("append").parquet(src)
+    stream(str(tmp_path / "c1"))
+    assert lng() == 70.0 and sinks.current_version(spark, f"{root}/table") == top + 2 and lng(top + 1) == 77.0
+
+
+def test_late_and_silent_touches_equal_batch(spark, tmp_path):
+    hour = 3_600_000_000
+    rows_ = [("u", t * hour) for t in (10, 14, 11, 13, 40, 41, 2000, 2001, 2004)] + [("v", 12 * hour), ("v", 12 * hour)]
+    files = [[0, 9], [1, 2], [3, 10], [4], [5], [6, 7, 8]]
+    src = str(tmp_path / "in")
+    for f in files:
+        spark.createDataFrame([rows_[i] for i in f], "user_id string, t bigint").coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([("z", 9000 * hour)], "user_id string, t bigint").coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([("z", 9100 * hour)], "user_id string, t bigint").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("user_id string, t bigint").option("maxFilesPerTrigger", 1).parquet(src)
+    got = _collect(spark, S.throttled_touches(stream, 3 * hour, "6 hours"), str(tmp_path / "k"), "append").where("user_id <> 'z'")
+    want = activity.throttle(spark.createDataFrame(rows_, "user_id string, t bigint"), 3 * hour)
+    assert rows(got, "user_id", "t") == rows(want, "user_id", "t")
 
 
 def test_due_and_critical_streams(spark, tmp_path):
@@ -282,8 +324,8 @@ def test_a_clear_run_beats_a_shorter_one_through_a_wall(spark):
 
 
 def test_label_kinds_and_attachment(spark):
-    reads = spark.createDataFrame([("SSIAIR 5",), ("AHAFT",), ("1650 CLASS",), ("ZZZ",), ("ESCALATOR",)], "raw string")
-    assert dict(rows(quality.classify_labels(reads))) == {"SSIAIR 5": "stairs", "AHAFT": "shaft", "1650 CLASS": "room", "ZZZ": "room", "ESCALATOR": "stairs"}
+    reads = spark.createDataFrame([("SSIAIR 5",), ("AHAFT",), ("2475 STUDIO",), ("ZZZ",), ("ESCALATOR",)], "raw string")
+    assert dict(rows(quality.classify_labels(reads))) == {"SSIAIR 5": "stairs", "AHAFT": "shaft", "2475 STUDIO": "room", "ZZZ": "room", "ESCALATOR": "stairs"}
     box = lambda x: [dict(x=float(a), y=float(b)) for a, b in ((x, 0), (x + 10, 0), (x + 10, 10), (x, 10), (x, 0))]
     regions = spark.createDataFrame([("B", "1", 1, box(0)), ("B", "1", 2, box(100))], "building string, floor string, ord int, ring array<struct<x:double,y:double>>")
     labels = spark.createDataFrame([("B", "1", "in", 5.0, 5.0), ("B", "1", "near", 90.0, 5.0), ("B", "1", "far", 300.0, 5.0)], "building string, floor string, label_id string, x double, y double")

@@ -49,19 +49,19 @@ def test_large_keys_take_the_chunked_path(spark, monkeypatch):
 
 FEATURES = "ord int, type string, nid string, a string, b string, lng double"
 COLS = ["type", "nid", "a", "b", "lng"]
-BASE = [(0, "node", "a", None, None, 1.0), (1, "node", "b", None, None, 2.0), (2, "path", None, "a", "b", None)]
+BASE = [(0, "node", "k7", None, None, 1.0), (1, "node", "k9", None, None, 2.0), (2, "path", None, "k7", "k9", None)]
 
 
 @pytest.mark.parametrize("delta, keys, counts", [
-    ([("add", 0, None, "node", "c", None, None, 3.0)], ["n:a", "n:b", "p:a|b", "n:c"], (1, 0, 0)),
-    ([("update", 0, None, "node", "a", None, None, 9.0)], ["n:a", "n:b", "p:a|b"], (0, 1, 0)),
-    ([("remove", 0, "n:b", None, None, None, None, None)], ["n:a", "p:a|b"], (0, 0, 1)),
-    ([("update", 1, None, "node", "a", None, None, 9.0), ("add", 0, None, "node", "z", None, None, 0.0)], ["n:a", "n:b", "p:a|b", "n:z"], (1, 1, 0)),
-    ([("add", 0, None, "node", "a", None, None, 5.0), ("remove", 1, "n:nope", None, None, None, None, None)], ["n:a", "n:b", "p:a|b"], (0, 1, 0)),
-    ([("remove", 0, "n:a", None, None, None, None, None), ("add", 1, None, "node", "a", None, None, 5.0)], ["n:b", "p:a|b", "n:a"], (1, 0, 1)),
-    ([("add", 0, None, "node", None, None, None, 5.0)], ["n:a", "n:b", "p:a|b"], (0, 0, 0)),
-    ([("add", 0, None, "node", "c", None, None, 3.0), ("add", 1, None, "node", "c", None, None, 4.0)], ["n:a", "n:b", "p:a|b", "n:c"], (1, 1, 0)),
-    ([], ["n:a", "n:b", "p:a|b"], (0, 0, 0)),
+    ([("add", 0, None, "node", "k4", None, None, 3.0)], ["n:k7", "n:k9", "p:k7|k9", "n:k4"], (1, 0, 0)),
+    ([("update", 0, None, "node", "k7", None, None, 9.0)], ["n:k7", "n:k9", "p:k7|k9"], (0, 1, 0)),
+    ([("remove", 0, "n:k9", None, None, None, None, None)], ["n:k7", "p:k7|k9"], (0, 0, 1)),
+    ([("update", 1, None, "node", "k7", None, None, 9.0), ("add", 0, None, "node", "z", None, None, 0.0)], ["n:k7", "n:k9", "p:k7|k9", "n:z"], (1, 1, 0)),
+    ([("add", 0, None, "node", "k7", None, None, 5.0), ("remove", 1, "n:nope", None, None, None, None, None)], ["n:k7", "n:k9", "p:k7|k9"], (0, 1, 0)),
+    ([("remove", 0, "n:k7", None, None, None, None, None), ("add", 1, None, "node", "k7", None, None, 5.0)], ["n:k9", "p:k7|k9", "n:k7"], (1, 0, 1)),
+    ([("add", 0, None, "node", None, None, None, 5.0)], ["n:k7", "n:k9", "p:k7|k9"], (0, 0, 0)),
+    ([("add", 0, None, "node", "k4", None, None, 3.0), ("add", 1, None, "node", "k4", None, None, 4.0)], ["n:k7", "n:k9", "p:k7|k9", "n:k4"], (1, 1, 0)),
+    ([], ["n:k7", "n:k9", "p:k7|k9"], (0, 0, 0)),
 ])
 def test_apply_delta(spark, delta, keys, counts):
     base = spark.createDataFrame(BASE, FEATURES)
@@ -96,25 +96,26 @@ def _classes(spark, data):
     return spark.createDataFrame(data, "user_id string, ord int, days array<int>, start_time string, end_time string")
 
 
+# Class 1 meets Tuesday and Thursday 11:10 to 12:40, class 2 Tuesday 15:20 to 16:05.
 @pytest.mark.parametrize("at, current, nxt, minutes", [
-    ("2024-01-03 09:45:00", 1, 2, 195), ("2024-01-03 10:20:00", None, 2, 160), ("2024-01-03 11:00:00", None, 2, 120),
-    ("2024-01-05 18:00:00", None, 1, 3 * 1440 - 510), ("2024-01-03 13:00:00", 2, 1, 2 * 1440 - 210)])
+    ("2024-01-02 11:55:00", 1, 2, 3 * 60 + 25), ("2024-01-02 12:50:00", None, 2, 150), ("2024-01-02 15:20:00", 2, 1, 2 * 1440 - 250),
+    ("2024-01-04 20:00:00", None, 1, 5 * 1440 - 530), ("2024-01-07 00:00:00", None, 1, 2 * 1440 + 670)])
 def test_now_and_next(spark, at, current, nxt, minutes):
-    c = _classes(spark, [("u", 1, [1, 3, 5], "09:30", "10:20"), ("u", 2, [3], "13:00", "14:50")])
+    c = _classes(spark, [("u", 1, [2, 4], "11:10", "12:40"), ("u", 2, [2], "15:20", "16:05")])
     t = spark.sql(f"SELECT 'u' AS user_id, 1 AS tick_id, TIMESTAMP_NTZ'{at}' AS ts")
     assert tuple(timetable.now_and_next(t, c).select("current", "next", "in_minutes").first()) == (current, nxt, minutes)
 
 
 def test_a_class_starting_now_is_never_next(spark):
-    c = _classes(spark, [("u", 1, [3], "09:30", "10:20")])
-    t = spark.sql("SELECT 'u' AS user_id, 1 AS tick_id, TIMESTAMP_NTZ'2024-01-03 09:30:00' AS ts")
+    c = _classes(spark, [("u", 1, [4], "17:45", "18:15")])
+    t = spark.sql("SELECT 'u' AS user_id, 1 AS tick_id, TIMESTAMP_NTZ'2024-01-04 17:45:00' AS ts")
     assert tuple(timetable.now_and_next(t, c).select("current", "next").first()) == (1, None)
 
 
-@pytest.mark.parametrize("at, due", [("09:10", (1, "soon", 20)), ("08:00", None), ("09:45", (1, "now", None))])
+@pytest.mark.parametrize("at, due", [("17:21", (1, "soon", 24)), ("17:14", None), ("18:14", (1, "now", None)), ("18:15", None)])
 def test_due(spark, at, due):
-    c = _classes(spark, [("u", 1, [3], "09:30", "10:20")])
-    t = spark.sql(f"SELECT 'u' AS user_id, 1 AS tick_id, TIMESTAMP_NTZ'2024-01-03 {at}:00' AS ts")
+    c = _classes(spark, [("u", 1, [4], "17:45", "18:15")])
+    t = spark.sql(f"SELECT 'u' AS user_id, 1 AS tick_id, TIMESTAMP_NTZ'2024-01-04 {at}:00' AS ts")
     got = timetable.due_now(t, c).select("due", "status", "until").first()
     assert (got and tuple(got)) == due
 
@@ -384,15 +385,15 @@ def test_route_request_rules(spark):
     nodes = [("a", 0, "B1", "1", "100", "hallway", -123.0, 49.0), ("b", 1, "B1", "1", None, "hallway", -123.0, 49.0005), ("c", 2, "B2", "1", "200", "hallway", -123.0, 49.001), ("x", 3, "B3", "1", "300", "hallway", -122.9, 49.0)]
     n = spark.createDataFrame(nodes, NODE).withColumn("name", F.lit(None).cast("string"))
     e = spark.createDataFrame([("a", "b", 55.0), ("b", "c", 56.0)], "a string, b string, metres double")
-    centres = spark.createDataFrame([("LOT A", "Lot A", -123.0, 48.999)], "label string, name string, lng double, lat double")
-    asks = [(1, "b1", "100", "B2-200"), (2, "B1", "100", "999"), (3, "B1", "Lot A", "B2-200"), (4, "B1", "100", "B1"), (5, "", "100", "200"), (6, "B1", "100", ""), (7, "B1", "100", "B3-300"), (8, "B1", "999", "998"), (9, "B1", "100", "100")]
+    centres = spark.createDataFrame([("YARD K", "Yard K", -123.0, 48.999)], "label string, name string, lng double, lat double")
+    asks = [(1, "b1", "100", "B2-200"), (2, "B1", "100", "999"), (3, "B1", "Yard K", "B2-200"), (4, "B1", "100", "B1"), (5, "", "100", "200"), (6, "B1", "100", ""), (7, "B1", "100", "B3-300"), (8, "B1", "999", "998"), (9, "B1", "100", "100")]
     q = spark.createDataFrame(asks, "query_id int, building string, start_ref string, goal_ref string")
     comps = graph.components(n, e)
     answers, points = routes.find_routes(q, n, e, comps, centres)
     got = {r.query_id: (r.status, r.cost) for r in answers.collect()}
     assert got == {1: ("ok", 111.0), 2: ("no_goal_node", None), 3: ("ok", 111.0), 4: ("already_there", None), 5: ("no_building", None), 6: ("no_goal_node", None), 7: ("not_linked", None), 8: ("no_node", None), 9: ("ok", 0.0)}
     kinds = [(r.kind, r.name) for r in points.where("query_id = 3").orderBy("step").collect()]
-    assert kinds[0] == ("anchor", "Lot A") and [k for k, _ in kinds[1:]] == ["node"] * 3
+    assert kinds[0] == ("anchor", "Yard K") and [k for k, _ in kinds[1:]] == ["node"] * 3
 
 
 # -- text and geometry --------------------------------------------------------
@@ -400,9 +401,9 @@ def test_route_request_rules(spark):
 def test_text_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first().v
-    assert get(text.place_name(F.lit("  lot   a "))) == "LOT A"
-    assert tuple(get(text.parse_ref(F.lit("sw3 1615"), F.lit("B1")))) == ("SW3", "1615")
-    assert tuple(get(text.parse_ref(F.lit("1615"), F.lit("b1")))) == ("B1", "1615")
+    assert get(text.place_name(F.lit("  yard   k "))) == "YARD K"
+    assert tuple(get(text.parse_ref(F.lit("qe7 2208"), F.lit("B1")))) == ("QE7", "2208")
+    assert tuple(get(text.parse_ref(F.lit("2208"), F.lit("b1")))) == ("B1", "2208")
     assert get(text.room_label(F.lit("B1"), F.lit(""), F.lit("B1-100"))) == "B1 · 100"
     assert get(text.where_is(F.lit(None), F.lit(None), F.lit(None))) == "outdoors"
     assert get(text.digits_read(F.lit("1O9"))) == "109"
@@ -416,12 +417,12 @@ def test_text_functions(spark):
 
 
 def test_parse_and_directions_form(spark):
-    codes = spark.createDataFrame([("SW3", "building"), ("LOT A", "parking")], "code string, kind string")
-    names = spark.createDataFrame([("LECTURE HALL", 3, None, None), ("GYM", 1, "SW3", "12")], "name string, rooms bigint, building string, room string")
-    asks = spark.createDataFrame([(1, "1600", "SW3-1990"), (2, "lot a", "1750"), (3, "gym", "lot a"), (4, "x", "Lecture  hall"), (5, "", "SW3"), (6, "a", " ")], "query_id int, from_text string, to_text string")
+    codes = spark.createDataFrame([("QE7", "building"), ("YARD K", "parking")], "code string, kind string")
+    names = spark.createDataFrame([("TEA ROOM", 3, None, None), ("POOL", 1, "QE7", "12")], "name string, rooms bigint, building string, room string")
+    asks = spark.createDataFrame([(1, "2420", "QE7-2431"), (2, "yard k", "2377"), (3, "pool", "yard k"), (4, "x", "Tea  room"), (5, "", "QE7"), (6, "a", " ")], "query_id int, from_text string, to_text string")
     got = {r.query_id: (r.start_ref, r.goal_ref, r.status) for r in search.direction_ends(asks, codes, names).collect()}
-    assert got[1] == ("SW3-1600", "SW3-1990", "ok") and got[2][2] == "needs_building" and got[3] == ("SW3-12", "LOT A", "ok")
-    assert got[4][2] == "ambiguous" and got[5][1:] == ("SW3", "from_here") and got[6][2] == "no_goal"
+    assert got[1] == ("QE7-2420", "QE7-2431", "ok") and got[2][2] == "needs_building" and got[3] == ("QE7-12", "YARD K", "ok")
+    assert got[4][2] == "ambiguous" and got[5][1:] == ("QE7", "from_here") and got[6][2] == "no_goal"
 
 
 def test_common_area_of_any_simple_polygons(spark):
