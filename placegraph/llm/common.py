@@ -118,11 +118,10 @@ def components(links: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def smallest_reachable(own: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``cid, component`` from classes ``cid, rep`` and links ``a, b``: the smallest ``rep`` of all classes reachable."""
-    if links is None:
+def smallest_reachable(own: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``cid, component`` of classes ``cid, rep``, given :func:`components` of their links: the smallest ``rep`` reachable."""
+    if roots is None:
         return own.select("cid", F.col("rep").alias("component"))
-    roots, _ = materialise(components(links))
     named = own.join(roots, own["cid"] == roots["node"]).select("cid", "rep", "root")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     return own.join(named.join(least, "root").select("cid", "component"), "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))

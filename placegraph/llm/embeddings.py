@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placegraph.llm.common import mix, smallest_reachable
+from placegraph.llm.common import components, mix, smallest_reachable
 from placegraph.session import materialise
 
 THRESHOLD = 0.9
@@ -226,15 +226,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     classes, _ = materialise(parsed.where("cid IS NOT NULL").groupBy("cid").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("dim").alias("dim"), F.min("raw").alias("raw")))
     counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per vector length
-    own, counted = classes.select("cid", "rep"), None
-    links = None
+    own, counted, roots = classes.select("cid", "rep"), None, None
     if sum(counts.values()) > 1:
         coded, _ = materialise(_with_codes(classes, {d: layout(n, width_of(d), threshold) for d, n in counts.items()}))
         found, seen = materialise(_links(coded, threshold))
         if seen["rows"]:
             counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
-            links = found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
-    named = smallest_reachable(own, links).join(classes.select("cid", "weight"), "cid")
+            roots, _ = materialise(components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))))
+    named = smallest_reachable(own, roots).join(classes.select("cid", "weight"), "cid")
     if counted is not None:
         named = named.join(counted, "cid", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     else:

@@ -7,11 +7,12 @@ too. Runs of ``ROWS`` bins are bands; documents that agree on a band share a buc
 Texts with equal shingle sets are one class from the start. In each bucket a star
 joins one class with the others; pairs are confirmed on their full sets. As classes
 link up, stars are drawn again from classes that their bucket's others do not reach
-yet. When stars stop linking, what is left in a bucket unlinked is compared by
-signatures, block against block inside the tasks, and only pairs that could reach
-the threshold come out to be confirmed. So every pair of a bucket is linked,
-confirmed apart, or too unlike in all bins together, and a group of copies never
-turns into all its pairs.
+yet. When stars stop linking, what is left in a bucket unlinked is compared block
+against block inside the tasks: by signatures first and, where these leave a chance,
+on full sets, in the first bucket that a pair shares. Only links that join classes
+not joined in the task before come out. So every pair of a bucket is linked, told
+apart on its full sets, or too unlike in all bins together, and a group of copies
+never turns into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ SHINGLE, SIMILARITY = 5, 80
 #: Share of agreeing bins below which a pair is taken to be under the threshold: seven
 #: standard deviations of the estimate under it.
 SLACK = 7.0
-BLOCK = 512
+BLOCK = 256
+#: Bytes of each shingle hash in a full set.
+PACKED = 6
 #: Stars are drawn while at least this share of their pairs links.
 WORTH = 0.1
 
@@ -80,6 +83,23 @@ def shingle_set(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(hashes.of([w.lower() for w in words_of(text)]), width))
 
 
+def pack(distinct: np.ndarray) -> bytes:
+    """A full set as its sorted 48-bit hashes; two of a thousand words meet by chance once in 10**8 pairs."""
+    return distinct.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def unpack(members: bytes) -> np.ndarray:
+    short = np.frombuffer(members, np.uint8).reshape(-1, PACKED)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, 8 - PACKED :] = short
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= similarity * (len(x) + len(y) - both)
+
+
 def _class_id(distinct: np.ndarray) -> int:
     both = np.array([np.bitwise_xor.reduce(mix(distinct + np.uint64(7))), distinct.sum(dtype=np.uint64)])
     return int(mix(both[:1] + both[1:]).view(np.int64)[0])
@@ -116,7 +136,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for cids, texts in slices(batches, "cid", "text"):
             found = [shingle_set(hashes, t, width) for t in texts]
             own = [i for i, (c, s) in enumerate(zip(cids, found)) if c == _class_id(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in own], pa.int64()), pa.array([found[i].tobytes() for i in own], pa.binary())], ["cid", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in own], pa.int64()), pa.array([pack(found[i]) for i in own], pa.binary())], ["cid", "members"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
     return rows.select("cid", "text").mapInArrow(run, "cid bigint, members binary").groupBy("cid").agg(F.min("members").alias("members"))
@@ -127,12 +147,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a_set"), batch.column("b_set")
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
+            sets = zip(batch.column("a_set"), batch.column("b_set"))
+            keep = [alike(unpack(x.as_py()), unpack(y.as_py()), similarity) for x, y in sets]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("cid").alias("a"), F.col("members").alias("a_set"))
@@ -152,33 +168,46 @@ def _stars(active: DataFrame, turn: int, similarity: int) -> DataFrame:
     return pairs.select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
 
 
-def _rest(active: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
-    """Unlinked pairs of a bucket whose signatures leave them a chance, found block by block."""
+def _rest(active: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links ``a, b`` left to find in buckets: of each block pair, those that join classes not joined in it before."""
     j = similarity / 100
     least = (j - SLACK * (j * (1 - j) / BINS) ** 0.5) * BINS
     sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = active.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = dealt.select("cid", "root", "n", "own", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sketches, "cid")
+    load = classes.select("cid", "sketch", "bands").join(sets, "cid")
+    task = dealt.select("cid", "root", "n", "own", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(load, "cid")
 
     def compare(pdf):
         import pandas as pd
 
+        n, own, cid = (pdf[c].to_numpy() for c in ("n", "own", "cid"))
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BINS)
-        n, root, own, cid = (pdf[c].to_numpy() for c in ("n", "root", "own", "cid"))
-        i, j_ = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        bands, members, full = np.stack(pdf["bands"]), pdf["members"].to_numpy(), {}
+        band, apart = int((bands[0] == pdf["key"].iloc[0]).argmax()), pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+
+        def whole(k):
+            if k not in full:
+                full[k] = unpack(members[k])
+            return full[k]
+
         out = []
         for at in range(len(pdf)):
-            ok = (root != root[at]) & (100 * np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]))
+            ok = (group != group[at]) & (100 * np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]))
             ok[: at + 1] = False
-            if i != j_:
+            if apart:
                 ok &= own != own[at]
             idx = np.flatnonzero(ok)
-            if len(idx):
-                out += [(min(cid[at], cid[k]), max(cid[at], cid[k])) for k in idx[(sk[idx] == sk[at]).sum(axis=1) >= least]]
+            idx = idx[(sk[idx] == sk[at]).sum(axis=1) >= least]
+            idx = idx[(bands[idx] == bands[at]).argmax(axis=1) == band]
+            for k in idx.tolist():
+                if group[k] != group[at] and alike(whole(at), whole(k), similarity):
+                    out.append((cid[at], cid[k]))
+                    group[group == group[k]] = group[at]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return task.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return task.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -205,9 +234,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
         turn, stars = 0, True
         active = members.withColumn("root", F.col("cid"))
         while True:
-            pairs = _stars(active, turn, similarity) if stars else _rest(active, classes.select("cid", "sketch"), similarity)
-            pairs, tried = materialise(pairs)
-            found, linked = materialise(_confirm(pairs, sets, similarity))
+            if stars:
+                pairs, tried = materialise(_stars(active, turn, similarity))
+                found, linked = materialise(_confirm(pairs, sets, similarity))
+            else:
+                found, linked = materialise(_rest(active, classes, sets, similarity))
             if linked["rows"]:
                 links = found if links is None else links.unionByName(found)
                 roots, _ = materialise(components(links))
@@ -221,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
                 active, left = materialise(now.join(open_, "key"))
                 if not left["rows"]:
                     break
-    own = smallest_reachable(classes.select("cid", "rep"), links)
+    own = smallest_reachable(classes.select("cid", "rep"), roots)
     out = sig.select("doc_id", "n_shingles", "cid").join(own, "cid", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
