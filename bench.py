@@ -12,7 +12,7 @@ import sys
 import time
 
 from placegraph import catalog
-from placegraph.session import local_session
+from placegraph.session import clear_run, local_session
 
 HEADLINE = [
     "nodes_per_place", "reassign_place", "room_of_node", "nearest_node", "nearest_space", "space_overlap", "overlap_audit", "alignment_audit",
@@ -34,6 +34,7 @@ def main() -> None:
         t = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
+        clear_run(spark)
         if os.environ.get("BENCH_VERBOSE"):
             print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec",

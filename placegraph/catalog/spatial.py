@@ -31,6 +31,22 @@ def place_of_node(spark, sf):
     return placed(spark, sf).select("nid", "place")
 
 
+@query("place_of_node_empty", "SELECT nid, 'none' AS place FROM nodes", PV)
+def place_of_node_empty(spark, sf):
+    """No outline at all: every node is kept, outdoors."""
+    none = B.outlines(spark, sf).where("prio < 0")
+    return S.place_of(B.nodes(spark, sf), none).select("nid", F.coalesce("place", F.lit("none")).alias("place"))
+
+
+@query("place_of_node_repeats", f"""WITH {PLACE_CTE}, twice AS (SELECT nid, place FROM placed UNION ALL SELECT nid, place FROM placed)
+SELECT nid, COALESCE(place, 'none') AS place, CAST(COUNT(*) AS BIGINT) AS rows FROM twice GROUP BY 1, 2""", PV)
+def place_of_node_repeats(spark, sf):
+    """Equal rows are points of their own."""
+    n = B.nodes(spark, sf)
+    got = S.place_of(n.unionByName(n), B.outlines(spark, sf))
+    return got.groupBy("nid", F.coalesce("place", F.lit("none")).alias("place")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("nodes_per_place", f"""WITH {PLACE_CTE}
 SELECT COALESCE(place, '(outdoors)') AS place, CAST(COUNT(*) AS BIGINT) AS nodes FROM placed GROUP BY 1""", PV)
 def nodes_per_place(spark, sf):

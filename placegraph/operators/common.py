@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of the pieces of a sequence that are windowed in one task.
 CHUNK = 65_536
-LARGEST_WINDOW = 1_000_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
@@ -28,26 +28,15 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 
-def chunk_for(df: DataFrame, keys: Sequence[str]) -> int | None:
-    """Whether windows over these keys need chunks: None when every key is proven small, else the chunk width."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return None if n <= LARGEST_WINDOW else CHUNK
-
-
 def running(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, Column] | None = None,
-            lasts: dict[str, Column] | None = None, tie: Sequence[str] = (), chunk: int | None = CHUNK) -> DataFrame:
+            lasts: dict[str, Column] | None = None, tie: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
     """Running sums and last non-null values over (keys, order by seq), inclusive.
 
-    ``seq`` is an integer. Rows are windowed in chunks of the sequence, so a key
-    of any size is spread over tasks; only one summary row per chunk meets in the
-    second step. Equal ``seq`` values fall in one chunk. ``chunk=None`` is for
-    keys checked by :func:`chunk_for`: one plain window, one shuffle.
+    ``seq`` is an integer. Rows are windowed in chunks of the sequence (``chunk``,
+    by default ``CHUNK`` wide), so a key of any size is spread over tasks; only one
+    summary row per chunk meets in the second step. Equal ``seq`` values fall in one chunk.
     """
-    sums, lasts = sums or {}, lasts or {}
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(seq, *tie).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
-                         *[F.last(c, ignorenulls=True).over(w).alias(n) for n, c in lasts.items()])
+    sums, lasts, chunk = sums or {}, lasts or {}, chunk or CHUNK
     keyed = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)))
     for n, c in {**sums, **lasts}.items():
         keyed = keyed.withColumn(f"_v_{n}", c)
@@ -76,21 +65,19 @@ def running(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, Column
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], seq: str, name: str = "n", tie: Sequence[str] = (),
-                chunk: int | None = CHUNK) -> DataFrame:
+                chunk: int | None = None) -> DataFrame:
     """1-based position of each row within its key, ordered by an integer column."""
     return running(df, keys, seq, sums={name: F.lit(1)}, tie=tie, chunk=chunk)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], prefix: str = "prev_",
-                  chunk: int | None = CHUNK) -> DataFrame:
+                  chunk: int | None = None) -> DataFrame:
     """Columns of the row one step back, for gap-free integer sequences.
 
     The last row of each chunk is copied into the next, so a long sequence is
     windowed in pieces and no piece waits for another.
     """
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(seq)
-        return df.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in columns])
+    chunk = chunk or CHUNK
     copies = F.when(F.pmod(F.col(seq), F.lit(chunk)) == chunk - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     marked = df.withColumn("_copy", F.explode(copies)).withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)) + F.col("_copy"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq)

@@ -43,7 +43,7 @@ def components(nodes: DataFrame, edges: DataFrame, order: str = "ord") -> DataFr
     ids = nodes.select("nid", F.col(order).cast("bigint").alias("ord"))
     a = ids.select(F.col("nid").alias("a"), F.col("ord").alias("u"))
     b = ids.select(F.col("nid").alias("b"), F.col("ord").alias("v"))
-    state = {"rows": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v") % F.lit(1_000_003))}
+    state = {"rows": F.count(F.lit(1)), "mix": F.bit_xor(F.xxhash64("u", "v")), "back": F.bit_xor(F.xxhash64("v", "u"))}
     e = edges.select("a", "b").join(a, "a").join(b, "b").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e, seen = materialise(e, **state)

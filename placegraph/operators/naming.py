@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placegraph.functions import text
 from placegraph.operators import spatial
-from placegraph.operators.common import chunk_for, number_rows, running
+from placegraph.operators.common import number_rows, running
 from placegraph.session import discard, materialise
 
 OUTDOOR_PREFIX = "OUT"
@@ -114,17 +114,17 @@ def stale_names(nodes: DataFrame, spaces: DataFrame) -> DataFrame:
     return n.select(*nodes.columns, F.coalesce(stale, F.lit(False)).alias("stale"))
 
 
-def _free_slots(todo: DataFrame, used: DataFrame, chunk: int | None) -> DataFrame:
+def _free_slots(todo: DataFrame, used: DataFrame) -> DataFrame:
     """The t-th row of a series takes its t-th unused number.
 
     ``todo``: ``series, t, ...``; ``used``: ``series, n`` distinct. The j-th used
     number moves every row with ``t > n - j`` one on, so one running count over
     both lists places all rows without listing candidates. ``n`` is added.
     """
-    u = number_rows(used.select("series", "n"), ["series"], "n", "j", chunk=chunk).select(
+    u = number_rows(used.select("series", "n"), ["series"], "n", "j").select(
         "series", (F.col("n") - F.col("j") + 1).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("nid"))
     both = u.unionByName(todo.select("series", "t", F.lit(1).alias("kind"), "nid"))
-    counted = running(both, ["series"], "t", sums={"skips": 1 - F.col("kind")}, tie=["kind", "nid"], chunk=chunk)
+    counted = running(both, ["series"], "t", sums={"skips": 1 - F.col("kind")}, tie=["kind", "nid"])
     return counted.where("kind = 1").select("nid", (F.col("t") + F.col("skips")).alias("n"))
 
 
@@ -147,9 +147,9 @@ def _taken(names: DataFrame, series: DataFrame, spare: bool) -> DataFrame:
     return split.join(series, "series", "left_semi").distinct()
 
 
-def _count_on(rows: DataFrame, taken: DataFrame, chunk: int | None) -> DataFrame:
-    ranked = number_rows(rows, ["series"], "ord", "t", tie=["nid"], chunk=chunk)
-    return ranked.join(_free_slots(ranked, taken, chunk), "nid")
+def _count_on(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    ranked = number_rows(rows, ["series"], "ord", "t", tie=["nid"])
+    return ranked.join(_free_slots(ranked, taken), "nid")
 
 
 def assign_names(nodes: DataFrame, rename: bool = False) -> DataFrame:
@@ -174,17 +174,15 @@ def assign_names(nodes: DataFrame, rename: bool = False) -> DataFrame:
     spares = todo.select(F.col("spare").alias("series")).distinct()
     taken_rooms, _ = materialise(_taken(used, bases, False))
     taken_spare, _ = materialise(_taken(used, spares, True))
-    series = todo.select(F.explode(F.array("base", "spare")).alias("series")).unionByName(taken_rooms.select("series")).unionByName(taken_spare.select("series"))
-    chunk = chunk_for(series.where("series IS NOT NULL"), ["series"])
     losses = None
     while True:
         lost_in = lambda p: losses.where(F.col("pass") == p).select("series", "n")
         t1 = taken_rooms if losses is None else taken_rooms.unionByName(lost_in(1)).distinct()
         t2 = taken_spare if losses is None else taken_spare.unionByName(lost_in(2)).distinct()
-        placed = _count_on(in_rooms.select("nid", "ord", F.col("base").alias("series"), "spare"), t1, chunk)
+        placed = _count_on(in_rooms.select("nid", "ord", F.col("base").alias("series"), "spare"), t1)
         n = F.col("n").cast("string")
         fits = placed.where("n <= 99").select("nid", "ord", "series", "n", F.lit(1).alias("pass"), F.when(F.col("n") == 1, F.col("series")).otherwise(F.concat_ws("-", "series", n)).alias("new_name"))
-        over = _count_on(placed.where("n > 99").select("nid", "ord", F.col("spare").alias("series")), t2, chunk).select(
+        over = _count_on(placed.where("n > 99").select("nid", "ord", F.col("spare").alias("series")), t2).select(
             "nid", "ord", "series", "n", F.lit(2).alias("pass"), F.concat("series", n).alias("new_name"))
         first, _ = materialise(fits.unionByName(over))
         rivals = first.groupBy("new_name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "nid", "series")).alias("w")).where("c > 1")
@@ -200,7 +198,7 @@ def assign_names(nodes: DataFrame, rename: bool = False) -> DataFrame:
     # Counted names cannot meet each other, only names given before.
     rest = todo.where("base IS NULL").select("nid", "ord", F.col("spare").alias("series"))
     now = taken_spare.unionByName(_taken(first.select(F.col("new_name").alias("name")), spares, True)).distinct()
-    counted = _count_on(rest, now, chunk).select("nid", F.concat("series", F.col("n").cast("string")).alias("new_name"))
+    counted = _count_on(rest, now).select("nid", F.concat("series", F.col("n").cast("string")).alias("new_name"))
     return first.select("nid", "new_name").unionByName(counted)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegraph.functions import geo, text
+from placegraph.operators import spatial
 from placegraph.operators.common import first_by
 from placegraph.session import materialise
 
@@ -76,46 +77,31 @@ def least_edges(links: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("metres").alias("metres"))
 
 
-def closest_pairs(left: DataFrame, right: DataFrame, group: list[str], start_m: float = 50.0, direct: int = 4096) -> DataFrame:
+def closest_pairs(left: DataFrame, right: DataFrame, group: list[str], start_m: float = 50.0) -> DataFrame:
     """The closest (left, right) pair of each group that has both.
 
-    Both sides: ``group..., nid, lng, lat``. Points on one spot count once. A
-    group with at most ``direct`` pairs is joined outright; a larger one goes by
-    cells that grow until its best pair is no farther apart than a cell, so a
-    crowded group never meets itself whole. Ties go to the lower ids. Returns
+    Both sides: ``group..., nid, lng, lat``. Points on one spot count once. Cells
+    grow for the groups whose best pair is farther apart than a cell, so a crowded
+    group never meets itself whole. Ties go to the lower ids. Returns
     ``group..., a, b, metres``.
     """
     spot = lambda df, n: df.groupBy(*group, F.col("lng").alias(f"{n}x"), F.col("lat").alias(f"{n}y")).agg(F.min("nid").alias(n))
-    l, r = spot(left, "a"), spot(right, "b")
-    size = lambda df, n: df.groupBy(*group).agg(F.count(F.lit(1)).alias(n))
-    groups, seen = materialise(size(l, "_nl").join(size(r, "_nr"), group).withColumn("_big", F.col("_nl") * F.col("_nr") > direct),
-                               big=F.count_if("_big"))
+    l, _ = materialise(spot(left, "a"))
+    r, _ = materialise(spot(right, "b"))
+    todo, n = materialise(l.select(*group).distinct().join(r.select(*group).distinct(), group))
     metres = geo.haversine_m("ax", "ay", "bx", "by", geo.WEIGHT_RADIUS_M)
-    found = lambda pairs: pairs.groupBy(*group).agg(F.min(F.struct(metres.alias("d"), "a", "b")).alias("m"))
-    flat = lambda df: df.select(*group, F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.d").alias("metres"))
-    small = groups.where(~F.col("_big")).select(*group)
-    answer = flat(found(l.join(small, group, "left_semi").join(r, group)))
-    if not seen["big"]:
-        return answer
-    todo = groups.where("_big").select(*group)
-    l, _ = materialise(l.join(todo, group, "left_semi"))
-    r, _ = materialise(r.join(todo, group, "left_semi"))
     deg, size_m = geo.metres_per_degree(geo.WEIGHT_RADIUS_M), start_m
-    off = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    answer = None
     while True:
-        whole, sy = size_m / deg >= 360.0, F.lit(size_m / deg)
-        ll, rr, keys = l.join(todo, group, "left_semi"), r.join(todo, group, "left_semi"), list(group)
-        if not whole:
-            # Latitude bands first; a longitude cell is as wide as its band needs.
-            wide = lambda c: sy / F.cos(F.radians(F.least(F.greatest(F.abs(c * sy), F.abs((c + 1) * sy)) + sy, F.lit(89.9))))
-            ll = ll.withColumn("_c", F.floor(F.col("ay") / sy))
-            ll = ll.withColumn("_d", F.explode(F.transform(off, lambda d: F.floor(F.col("ax") / wide(F.col("_c"))) + d)))
-            rr = rr.withColumn("_c", F.explode(F.transform(off, lambda d: F.floor(F.col("by") / sy) + d)))
-            rr = rr.withColumn("_d", F.floor(F.col("bx") / wide(F.col("_c"))))
-            keys += ["_c", "_d"]
+        size = size_m / deg
+        whole = size >= 180.0
+        near = spatial.look_around(l.join(todo, group, "left_semi"), "ax", "ay", size).join(
+            spatial.seen_from(r.join(todo, group, "left_semi"), "bx", "by", size), [*group, *spatial.GLOBE])
+        best = near.groupBy(*group).agg(F.min(F.struct(metres.alias("d"), "a", "b")).alias("m"))
         ok = F.coalesce(F.lit(whole) | (F.col("m.d") <= size_m), F.lit(False)) & F.col("m").isNotNull()
-        tried, n = materialise(todo.join(found(ll.join(rr, keys)), group, "left").withColumn("ok", ok), left=F.count_if(~ok))
-        answer = answer.unionByName(flat(tried.where("ok")))
+        tried, n = materialise(todo.join(best, group, "left").withColumn("ok", ok), left=F.count_if(~ok))
+        got = tried.where("ok").select(*group, F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.d").alias("metres"))
+        answer = got if answer is None else answer.unionByName(got)
         if whole or not n["left"]:
             return answer
         todo = tried.where(~F.col("ok")).select(*group)

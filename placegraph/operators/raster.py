@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegraph.operators import graph
-from placegraph.operators.common import chunk_for, running, with_previous
+from placegraph.operators.common import running, with_previous
 from placegraph.session import materialise
 
 CELL = ("building", "floor", "r", "c")
@@ -77,7 +77,7 @@ def shortest_paths(moves: DataFrame, starts: DataFrame, goals: DataFrame) -> tup
     answers, _ = materialise(answers)
     path = graph.walk_back(answers, state).withColumn("hub", F.startswith("nid", F.lit("stairs|")))
     path, _ = materialise(path)
-    hubs = running(path, ["query_id"], "step", sums={"hubs": F.col("hub").cast("int")}, chunk=chunk_for(path, ["query_id"]))
+    hubs = running(path, ["query_id"], "step", sums={"hubs": F.col("hub").cast("int")})
     cells = hubs.where(~F.col("hub")).select("query_id", (F.col("step") - F.col("hubs")).alias("step"), F.col("nid").alias("cell"))
     return answers, cells
 

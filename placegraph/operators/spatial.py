@@ -126,6 +126,36 @@ def _three_by_three(df: DataFrame, x: Column, y: Column, sx: Column, sy: Column)
             .drop("_dx", "_dy"))
 
 
+#: Keys of the cells that :func:`look_around` and :func:`seen_from` meet on.
+GLOBE = ("_band", "_col")
+_NEXT = (-1, 0, 1)
+
+
+def _columns(band: Column, size: float) -> Column:
+    """Whole cells around the globe in a latitude band, each at least ``size`` degrees of latitude wide there."""
+    edge = F.least(F.greatest(F.abs(band * size), F.abs((band + 1) * size)) + size, F.lit(90.0))
+    return F.greatest(F.floor(F.lit(360.0 / size) * F.cos(F.radians(edge))), F.lit(1)).cast("bigint")
+
+
+def _column(x: Column, band: Column, size: float) -> Column:
+    n = _columns(band, size)
+    return F.pmod(F.floor((x + 180.0) / (F.lit(360.0) / n)).cast("bigint"), n)
+
+
+def look_around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """A row for each of the cells next to a point in its own band, across the date line too."""
+    band = F.floor(F.col(y) / F.lit(size))
+    n = _columns(band, size)
+    beside = F.array_distinct(F.transform(F.array(*map(F.lit, _NEXT)), lambda d: F.pmod(_column(F.col(x), band, size) + d, n)))
+    return df.withColumn(GLOBE[0], band).withColumn(GLOBE[1], F.explode(beside))
+
+
+def seen_from(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """A row for each band that looks at a point, keyed by that band's columns."""
+    bands = F.transform(F.array(*map(F.lit, _NEXT)), lambda d: F.floor(F.col(y) / F.lit(size)) + d)
+    return df.withColumn(GLOBE[0], F.explode(bands)).withColumn(GLOBE[1], _column(F.col(x), F.col(GLOBE[0]), size))
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, order: str, start_m: float = 100.0,
             radius: float = geo.ROUTE_RADIUS_M, x: str = "lng", y: str = "lat") -> DataFrame:
     """The nearest target of each point and its distance; ties go to the lowest ``order``.
@@ -145,19 +175,7 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, or
     answer, size_m = None, start_m
     while seen["rows"]:
         size = size_m / deg
-        # A cell stays at least size_m wide at the point's own latitude band; whole cells
-        # go round the world, so that a point near the date line meets the other side.
-        band = F.floor(F.col("_py") / F.lit(size))
-        around = lambda b: F.greatest(F.floor(F.lit(360.0 / size) * F.cos(F.radians(F.least(
-            F.greatest(F.abs(b * size), F.abs((b + 1) * size)) + size, F.lit(90.0))))), F.lit(1)).cast("bigint")
-        column = lambda v, b: F.floor((v + 180.0) / (F.lit(360.0) / around(b)))
-        # Columns differ by latitude band, so the target is keyed in every band that can look at it.
-        off = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        left = todo.withColumn("_b", band).withColumn("_cx", F.explode(F.array_distinct(F.transform(
-            off, lambda d: F.pmod(column(F.col("_px"), band) + d, around(band))))))
-        right = (spots.withColumn("_b", F.explode(F.transform(off, lambda d: F.floor(F.col("_ty") / F.lit(size)) + d)))
-                 .withColumn("_cx", F.pmod(column(F.col("_tx"), F.col("_b")), around(F.col("_b")))))
-        cand = left.join(right, ["_b", "_cx"])
+        cand = look_around(todo, "_px", "_py", size).join(seen_from(spots, "_tx", "_ty", size), list(GLOBE))
         metres = geo.haversine_m("_px", "_py", "_tx", "_ty", radius)
         best = cand.groupBy(key).agg(F.min(F.struct(metres.alias("d"), F.col("_t.o").alias("o"), F.col("_t.k").alias("k"))).alias("_m"))
         tried = todo.join(best, key, "left")

@@ -30,26 +30,39 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pla
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    Read from ``spark.checkpoint.dir``. A folder of our own is only made for a
-    local master; on a cluster a machine-local folder would be lost with its host.
+    Read from ``spark.checkpoint.dir``. Where it is unset a folder of our own is made,
+    for a local master only: on a cluster a machine-local folder would be lost with its host.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="placegraph-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="placegraph-")
+    return _LOCAL[app]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are; :func:`clear_run` removes them."""
+    return f"{checkpoint_root(spark).rstrip('/')}/placegraph/{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """Write ``df`` to the checkpoint folder and read it back, in one job.
+    """Write ``df`` to the application's run folder and read it back, in one job.
 
     Iterative operators call this once per round: the lineage is cut at a table
     that outlives any executor, the optimizer gets true sizes for the next join,
@@ -57,7 +70,7 @@ def materialise(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     instead of from a second job.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/placegraph/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     metrics = metrics or {"rows": F.count(F.lit(1))}
     watch = Observation(f"m{uuid.uuid4().hex[:8]}")
     df.observe(watch, *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)

@@ -13,4 +13,7 @@ def spark():
     s = local_session("8", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from placegraph.session import clear_run
+
+    clear_run(s)
     s.stop()

@@ -39,7 +39,6 @@ def test_large_keys_take_the_chunked_path(spark, monkeypatch):
     pts = routing.stored_routes(spark, SF)
     want = rows(routes.attribute_distances(routes.legs(pts)).select("query_id", "leg", F.round("metres", 3), F.round("approach", 3)))
     steps = rows(routes.directions(routes.attribute_distances(routes.legs(pts))))
-    monkeypatch.setattr(common, "LARGEST_WINDOW", 3)
     monkeypatch.setattr(common, "CHUNK", 4)
     assert rows(routes.attribute_distances(routes.legs(pts)).select("query_id", "leg", F.round("metres", 3), F.round("approach", 3))) == want
     assert rows(routes.directions(routes.attribute_distances(routes.legs(pts)))) == steps
@@ -216,12 +215,35 @@ def test_components_and_walks(spark, seed):
             assert all(any(v == y for v, _ in adj[x]) for x, y in zip(w, w[1:]))
 
 
-def test_closest_pairs_by_cells_equals_direct(spark):
+def _sphere_m(ax, ay, bx, by, radius):
+    ax, ay, bx, by = map(math.radians, (ax, ay, bx, by))
+    h = math.sin((by - ay) / 2) ** 2 + math.cos(ay) * math.cos(by) * math.sin((bx - ax) / 2) ** 2
+    return 2 * radius * math.asin(math.sqrt(h))
+
+
+@pytest.mark.parametrize("west, spread", [(0.0, 1 / 50), (179.99, 1 / 50), (-180.0, 360.0)])
+def test_closest_pairs_by_brute_force(spark, west, spread):
+    from placegraph.functions import geo
+
     rng = random.Random(9)
-    mk = lambda p: spark.createDataFrame([("g", f"{p}{i}", rng.random() / 50, 49 + rng.random() / 50) for i in range(60)], "g string, nid string, lng double, lat double")
+    turn = lambda x: (x + 180) % 360 - 180
+    mk = lambda p: [("g", f"{p}{i}", turn(west + rng.random() * spread), 49 + rng.random() / 50) for i in range(40)]
     a, b = mk("a"), mk("b")
-    direct, cells = network.closest_pairs(a, b, ["g"]), network.closest_pairs(a, b, ["g"], start_m=5.0, direct=0)
-    assert rows(direct) == rows(cells)
+    want = min((_sphere_m(p[2], p[3], q[2], q[3], geo.WEIGHT_RADIUS_M), p[1], q[1]) for p in a for q in b)
+    schema = "g string, nid string, lng double, lat double"
+    got = network.closest_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["g"], start_m=5.0).collect()
+    assert [(r.a, r.b) for r in got] == [want[1:]] and abs(got[0].metres - want[0]) < 1e-6
+
+
+def test_nearest_across_the_date_line_and_far_away(spark):
+    from placegraph.functions import geo
+    from placegraph.operators import spatial
+
+    t = [("near", 0, -179.9995, 10.0), ("far", 1, 179.992, 10.0), ("pole", 2, 20.0, 89.99)]
+    p = [(0, 179.9995, 10.0), (1, -170.0, 89.9), (2, 0.0, -80.0)]
+    got = spatial.nearest(spark.createDataFrame(p, "pid int, lng double, lat double"), spark.createDataFrame(t, "nid string, ord int, lng double, lat double"), "pid", "nid", "ord")
+    want = {i: min((_sphere_m(x, y, u, v, geo.ROUTE_RADIUS_M), n) for n, _, u, v in t)[1] for i, x, y in p}
+    assert {r.pid: r.nid for r in got.collect()} == want and want[0] == "near"
 
 
 def test_nearest_by_growing_cells(spark):
@@ -272,7 +294,6 @@ def test_names_equal_the_sequential_rule(spark, chunked, monkeypatch):
     for i in range(110):
         nodes.append(dict(nid=f"m{i}", ord=1000 + i, name=None, room="300", floor="3", prefix="B2", marked=False))
     if chunked:
-        monkeypatch.setattr(common, "LARGEST_WINDOW", 2)
         monkeypatch.setattr(common, "CHUNK", 16)
     df = spark.createDataFrame([tuple(n.values()) for n in nodes], "nid string, ord int, name string, room string, floor string, prefix string, marked boolean")
     assert {r.nid: r.new_name for r in naming.assign_names(df).collect()} == _greedy(nodes)
