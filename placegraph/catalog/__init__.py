@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits")
+MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits", "checks")
 
 
 def _load():

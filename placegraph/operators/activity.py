@@ -142,6 +142,11 @@ def is_critical(message: Column) -> Column:
     return F.coalesce(F.lower(message).rlike("firebase|auth"), F.lit(False))
 
 
+def look_up(asks: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored row of every asked key, all NULL where there is none; ``found`` tells which."""
+    return asks.join(stored.withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def merge_profiles(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Profiles inserted when absent, filled fields merged over the old ones otherwise."""
     inc = incoming.groupBy("user_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias("_" + c) for c in current.columns if c != "user_id"])

@@ -225,6 +225,23 @@ def siblings(rooms: DataFrame) -> DataFrame:
     return rooms.join(n, ["building", "floor"]).select("building", "floor", "room", (F.col("_n") - 1).alias("siblings"))
 
 
+def siblings_of(asked: DataFrame, rooms: DataFrame) -> DataFrame:
+    """The other rooms on the floor of each asked room: ``building, floor, room, sibling``."""
+    others = rooms.select("building", "floor", F.col("room").alias("sibling"))
+    return asked.select("building", "floor", "room").join(others, ["building", "floor"]).where("sibling <> room")
+
+
+def link_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Whether each end of a link is a known node, and whether a link before it (by ``ord``) joins the same two."""
+    known = nodes.select("nid").distinct()
+    has = lambda end, name: known.select(F.col("nid").alias(end), F.lit(True).alias(name))
+    first = links.groupBy(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g")).agg(F.min("ord").alias("_first"))
+    out = links.join(has("a", "_a"), "a", "left").join(has("b", "_b"), "b", "left").join(
+        first, (F.least("a", "b") == F.col("_l")) & (F.greatest("a", "b") == F.col("_g")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.select("ord", "a", "b", yes("_a").alias("a_known"), yes("_b").alias("b_known"), (F.col("ord") > F.col("_first")).alias("repeated"))
+
+
 def floor_view(nodes: DataFrame, space_types: DataFrame, building: Column, floor: Column) -> DataFrame:
     """How each node relates to an open sheet: zone, on another floor, hidden.
 

@@ -320,7 +320,31 @@ def footprint_centres(outlines: DataFrame, centres: DataFrame | None = None) ->
         "code", F.coalesce("ilng", "mx").alias("lng"), F.coalesce("ilat", "my").alias("lat"), "vertices")
 
 
-def in_mode_places(nodes: DataFrame, building: str, floor: str | None) -> DataFrame:
-    """Nodes of one place and floor; a node on no storey always passes."""
-    here = F.coalesce("building", F.lit("__outdoors__")) == building
-    return nodes.where(here & (F.lit(floor is None) | F.col("floor").isNull() | (F.col("floor") == F.lit(floor))))
+def in_mode_places(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Nodes of each chosen place and floor (``building, floor``; NULL building: outdoors, NULL floor: all).
+
+    A node on no storey is on every floor of its place. Returns the chosen pair and ``nid``.
+    """
+    c = chosen.select(F.col("building").alias("_b"), F.col("floor").alias("_f"))
+    here = F.col("building").eqNullSafe(F.col("_b")) & (F.col("_f").isNull() | F.col("floor").isNull() | (F.col("floor") == F.col("_f")))
+    return c.join(nodes, here).select(F.col("_b").alias("building"), F.col("_f").alias("floor"), "nid")
+
+
+def room_doors(shapes: DataFrame, on: Sequence[str], gap: float, corridors: Sequence[str] = ("corridor", "hallway"),
+               rooms: Sequence[str] = ("room", "stairs")) -> DataFrame:
+    """One door for each numbered room: where it comes closest to its nearest corridor, if within ``gap``.
+
+    On a floor without corridors the nearest other numbered room takes their place.
+    Ties go to the lower ``ord``. Returns ``on, ord, other, d, x, y``.
+    """
+    kind = F.when(F.col("type").isin(*corridors), "corridor").when(F.col("type").isin(*rooms) & (F.coalesce("room", F.lit("")) != ""), "room")
+    marked = shapes.withColumn("_k", kind).where("_k IS NOT NULL")
+    floors = marked.groupBy(*on).agg(F.bool_or(F.col("_k") == "corridor").alias("_any"))
+    near = doorways(marked.select(*on, "ord", "ring"), on, gap).select(*on, "a_ord", "b_ord", "d", "x", "y")
+    ways = near.select(*on, F.col("a_ord").alias("ord"), F.col("b_ord").alias("other"), "d", "x", "y").unionByName(
+        near.select(*on, F.col("b_ord").alias("ord"), F.col("a_ord").alias("other"), "d", "x", "y"))
+    kinds = marked.select(*on, "ord", "_k")
+    ways = ways.join(kinds.withColumnRenamed("_k", "_own"), [*on, "ord"]).join(kinds.select(*on, F.col("ord").alias("other"), "_k"), [*on, "other"])
+    fit = (F.col("_own") == "room") & ((F.col("_k") == "corridor") == F.col("_any"))
+    best = ways.join(floors, list(on)).where(fit).groupBy(*on, "ord").agg(F.min(F.struct("d", "other", "x", "y")).alias("m"))
+    return best.select(*on, "ord", "m.other", "m.d", "m.x", "m.y")

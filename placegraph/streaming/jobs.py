@@ -17,17 +17,18 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placegraph.functions import clock
-from placegraph.operators import activity, changes, timetable
+from placegraph.operators import activity, changes, naming, timetable
 from placegraph.sources import sinks
 
-def ingest_changes(stream: DataFrame, root: str, columns: list[str], checkpoint: str) -> DataStreamWriter:
+def ingest_changes(stream: DataFrame, root: str, columns: list[str], checkpoint: str, outlines: DataFrame | None = None) -> DataStreamWriter:
     """Deltas applied to a versioned network, one version per batch that holds any.
 
     A change made against another version than the one its batch starts from, a
     change that fails the feature checks and one that leaves a link hanging go to
     ``rejects`` and are never applied. A batch writes its version, then its log, and
     last commits; numbers are never used twice, so readers and later batches see
-    committed versions only. Logs are kept by checkpoint and batch: a batch run twice
+    committed versions only. With ``outlines``, nodes that name no building are given
+    the place they stand in before they are stored. Logs are kept by checkpoint and batch: a batch run twice
     is applied once, and a stream begun anew is judged by its base versions alone.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
@@ -41,6 +42,8 @@ def ingest_changes(stream: DataFrame, root: str, columns: list[str], checkpoint:
         if sinks.exists(spark, f"{log}/_SUCCESS"):  # cut between log and commit, or run again
             sinks.commit(spark, table, spark.read.parquet(log).first().version)
             return
+        if outlines is not None:
+            batch = naming.fill_blank_building(batch, outlines).drop("filled")
         version = sinks.current_version(spark, table)
         sinks.commit(spark, table, version)  # what this batch leaves unfinished is not taken for current
         current = sinks.read_version(spark, table, version)
