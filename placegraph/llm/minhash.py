@@ -34,7 +34,8 @@ SHINGLE, SIMILARITY = 5, 80
 #: Share of agreeing bins below which a pair is taken to be under the threshold: seven
 #: standard deviations of the estimate under it.
 SLACK = 7.0
-BLOCK = 256
+#: Classes, and shingles of their sets, in a block; larger blocks copy the classes of a bucket to fewer tasks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bytes of each shingle hash in a full set.
 PACKED = 6
 #: Stars are drawn while at least this share of their pairs links.
@@ -172,7 +173,7 @@ def _rest(active: DataFrame, classes: DataFrame, sets: DataFrame, similarity: in
     """Links ``a, b`` left to find in buckets: of each block pair, those that join classes not joined in it before."""
     j = similarity / 100
     least = (j - SLACK * (j * (1 - j) / BINS) ** 0.5) * BINS
-    sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = active.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     dealt = active.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     load = classes.select("cid", "sketch", "bands").join(sets, "cid")
