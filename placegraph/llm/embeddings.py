@@ -242,3 +242,17 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     out = parsed.select("vec_id", "cid").join(named, "cid", "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same in SQL, every vector with every other.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.vec_id)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1) c LEFT JOIN n ON n.a = c.vec_id
+"""

@@ -268,3 +268,20 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int
         return left
     once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+#: The two-word case in SQL, by counting the shingles that documents share.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t-\r ]+'),
+                             lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.component_id, d.doc_id = d.component_id AS kept
+FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) d LEFT JOIN n ON n.doc_id = d.doc_id
+"""

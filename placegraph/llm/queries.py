@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", minhash.SQL)
 def op1(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=2)
 
@@ -48,12 +48,12 @@ def op5(spark, sf):
     return rules.quality_rules(table(spark, sf, "documents"))
 
 
-@query("op6_rendezvous_sharding")
+@query("op6_rendezvous_sharding", sharding.SQL)
 def op6(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
-@query("op7_rotated_codes_near_dedup")
+@query("op7_rotated_codes_near_dedup", embeddings.SQL)
 def op7(spark, sf):
     return embeddings.near_duplicate_vectors(table(spark, sf, "embeddings"))
 

@@ -56,3 +56,24 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS)
     ordered = placed.withColumn("_name", name)
     out = rank_in_groups(ordered, ["shard"], F.substring("_name", 1, 2), [F.col("_name"), F.col("text_crc32"), F.col("size")], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: The same in SQL: checksums by table over the bytes, draws by md5, for equal weights.
+SQL = f"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+rows AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+sized AS (
+  SELECT r, doc_id, k, CAST(length(bytes) / 2 + {OVERHEAD} AS BIGINT) AS size,
+         CAST(xor(list_reduce(range(CAST(length(bytes) / 2 AS BIGINT)), lambda c, i:
+              xor(c >> 8, crc_table.tab[CAST((xor(c, ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT) & 255) + 1 AS BIGINT)]), 4294967295), 4294967295) AS BIGINT) AS text_crc32
+  FROM rows, crc_table),
+draws AS (
+  SELECT r, CAST(s AS INTEGER) AS s, ln((('0x' || substr(md5(k || ':' || CAST(s AS VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) AS d
+  FROM rows, range({SHARDS + 1}) AS shards(s)),
+best AS (SELECT r, s, d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY d DESC, s) AS place FROM draws WHERE s < {SHARDS}) WHERE place = 1)
+SELECT z.doc_id, z.size, z.text_crc32, 'key' AS law, b.s AS shard,
+       ROW_NUMBER() OVER (PARTITION BY b.s ORDER BY md5(z.k), z.text_crc32, z.size) - 1 AS slot,
+       CASE WHEN n.d > b.d THEN n.s ELSE b.s END AS grown_shard
+FROM sized z JOIN best b ON b.r = z.r JOIN draws n ON n.r = z.r AND n.s = {SHARDS}
+"""

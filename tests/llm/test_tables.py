@@ -5,6 +5,7 @@ from pathlib import Path
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -82,8 +83,9 @@ def test_estimates_are_unbiased_within_their_bounds():
     assert want <= set(zip(a.tolist(), (b - 600).tolist())) and len(a) < 0.02 * 600 * 600
 
 
-def test_conversations_match_sql(spark, sf):
-    assert compare(queries.QUERIES["op8_chat_perspectives"](spark, sf), connect(sf), queries.ORACLE["op8_chat_perspectives"]) == []
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_match_their_sql(spark, sf, name):
+    assert compare(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE[name]) == []
 
 
 def test_perspectives_of_a_round_table(spark):
