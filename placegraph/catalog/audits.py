@@ -206,7 +206,7 @@ def label_kinds(spark, sf):
     """Types of labels by keyword or likeness, over label reads and every word of the documents."""
     r = D.view(spark, sf, "label_reads").select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("id"), "raw")
     d = D.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.upper("text").alias("raw"))
-    return Q.classify_labels(r.unionByName(d)).select("id", "kind")
+    return Q.classify_labels(r.unionByName(d), key="id").select("id", "kind")
 
 
 @query("dropped_overlaps", """

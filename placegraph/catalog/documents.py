@@ -118,7 +118,11 @@ def placement_upsert(spark, sf):
     return X.upsert(cur, inc, ["sheet"], "event_id")
 
 
-@query("fingerprint")
+_TEXT = ", ".join(f"COALESCE(CAST({c} AS STRING), '\\N')" for c in COLUMNS)
+
+
+@query("fingerprint", f"""SELECT COUNT(*) AS rows, CAST(SUM(('0x' || SUBSTR(h, 1, 7))::BIGINT) AS BIGINT) AS mix, CAST(SUM(('0x' || SUBSTR(h, 8, 7))::BIGINT) AS BIGINT) AS total
+FROM (SELECT md5(CONCAT_WS(CHR(31), {_TEXT})) AS h FROM features_after)""", FV)
 def fingerprint(spark, sf):
     return X.fingerprint(after(spark, sf), COLUMNS)
 

@@ -134,9 +134,11 @@ def write_mode(diff: DataFrame, features: DataFrame, limit: float = 0.6) -> Data
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-independent fingerprint of a table: one row ``rows, mix, total``."""
-    h = F.xxhash64(*(columns or df.columns))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("mix"), F.sum(F.shiftright(h, 20)).alias("total"))
+    """Order-independent fingerprint of a table: one row ``rows, mix, total``, sums of digits of each row's md5."""
+    text_of = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (columns or df.columns)]
+    h = F.md5(F.concat_ws("\x1f", *text_of))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 7), 16, 10).cast("bigint")), F.lit(0).cast("bigint"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), part(1).alias("mix"), part(8).alias("total"))
 
 
 def toggle_links(links: DataFrame, toggles: DataFrame) -> DataFrame:

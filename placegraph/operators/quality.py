@@ -132,20 +132,22 @@ def _fuzzy_kind(words: pd.Series) -> pd.Series:
     return words.map(kind)
 
 
-def classify_labels(reads: DataFrame, raw: str = "raw", name: str = "kind") -> DataFrame:
+def classify_labels(reads: DataFrame, raw: str = "raw", name: str = "kind", key: str | None = None) -> DataFrame:
     """Type of each label: a keyword inside it, else a word much like one, else a room.
 
-    Only distinct words of labels without a keyword reach Python.
+    Only distinct words of labels without a keyword reach Python. Answers are joined
+    back by ``key``, which tells labels apart; without one by the label itself.
     """
     exact = None
     for word, kind in KEYWORDS.items():
         hit = F.contains(F.col(raw), F.lit(word))
         exact = F.when(hit, kind) if exact is None else exact.when(hit, kind)
-    r = reads.withColumn("_exact", exact).withColumn("_id", F.col(raw))
-    loose = r.where(F.col("_exact").isNull()).select("_id").distinct().select(
-        "_id", F.posexplode(F.regexp_extract_all("_id", F.lit(r"([A-Z][A-Z\-]{2,})"), F.lit(1))).alias("i", "word"))
-    words = loose.select("word").distinct().withColumn("k", _fuzzy_kind("word")).where("k IS NOT NULL")
-    near = loose.join(words, "word").groupBy("_id").agg(F.min_by("k", "i").alias("_near"))
+    r = reads.withColumn("_exact", exact).withColumn("_id", F.col(key or raw))
+    loose = r.where(F.col("_exact").isNull()).select(
+        "_id", F.posexplode(F.regexp_extract_all(raw, F.lit(r"([A-Z][A-Z\-]{2,})"), F.lit(1))).alias("i", "word"))
+    first = loose.groupBy("_id", "word").agg(F.min("i").alias("i"))
+    words = first.select("word").distinct().withColumn("k", _fuzzy_kind("word")).where("k IS NOT NULL")
+    near = first.join(words, "word").groupBy("_id").agg(F.min_by("k", "i").alias("_near"))
     return r.join(near, "_id", "left").withColumn(name, F.coalesce("_exact", "_near", F.lit("room"))).select(*reads.columns, name)
 
 
