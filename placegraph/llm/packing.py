@@ -117,7 +117,8 @@ class Lookup:
     copies: np.ndarray
     offset: np.ndarray
 
-    SHIFT = 50
+    #: Bits of a rank in the combined key: 10**12 pieces of one length, sequences of up to 8 million tokens.
+    SHIFT = 40
 
     @classmethod
     def of(cls, plan: list[tuple[list[int], int]]) -> Lookup:

@@ -24,9 +24,9 @@ from placegraph.llm.common import SLICE, mix
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
-#: Bounds of the training sample: rows, and bytes of a sampled text. It only bounds fitting.
+#: Bounds of the training sample: rows, and bytes of a sampled text, 200 MB at the very most. It only bounds fitting.
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 200_000
+SAMPLE_BYTES = 50_000
 EPOCHS = 8
 RATE = 0.25
 ACCEPT = 0.7
