@@ -41,8 +41,10 @@ def test_near_duplicates_match_brute_force(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want and len(got) == len(rows)
 
 
-def test_chains_and_mixed_buckets(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
+def test_chains_and_mixed_buckets(spark, monkeypatch, block):
     """Links that do not pass through a bucket's first class: chains of texts and groups that share a passage."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     fresh = lambda n: ["t%d" % rng.randrange(10**6) for _ in range(n)]
     rows, base = [], fresh(200)
@@ -52,6 +54,7 @@ def test_chains_and_mixed_buckets(spark):
     passage = fresh(120)
     rows += [(100 + i, " ".join(passage + fresh(70))) for i in range(60)]
     rows += [(200 + i, " ".join(passage + fresh(20))) for i in range(30)]
+    rows += [(300 + i, " ".join(passage + fresh(9 + i % 6))) for i in range(40)]
     rng.shuffle(rows)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_duplicates(rows, 2)
