@@ -98,11 +98,11 @@ def features(text: str | None) -> list[tuple[np.ndarray, float]]:
 def _sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     found = features(text)
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     rows = np.concatenate([r for r, _ in found]).astype(np.int64)
     weights = np.concatenate([np.full(len(r), w) for r, w in found])
     distinct, where = np.unique(rows, return_inverse=True)
-    return distinct, np.bincount(where, weights)
+    return distinct.astype(np.int32), np.bincount(where, weights).astype(np.float32)
 
 
 @dataclass
