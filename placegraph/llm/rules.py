@@ -2,8 +2,9 @@
 
 Text of one kind compresses at a rate that its length largely decides. A ratio
 above the band of its length means repetition or a narrow stock of characters,
-below it noise. The bands hold for whole documents and for fixed chunks, whose
-pooled ratio shows local repetition that a long document would dilute.
+below it noise. The bands hold for whole documents, for all full chunks pooled, and
+for every fixed chunk on its own: a passage of noise or repetition that a long document
+would dilute fills chunks of its own. One shorter than a chunk may still be diluted.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from placegraph.llm.common import SLICE
 
 #: Whole documents: up to so many UTF-8 bytes, lowest and highest ratio of a fair text.
 #: Set on labelled documents with a margin over every fair one seen.
-WHOLE = ((512, 1.05, 2.0), (768, 1.15, 2.0), (1024, 1.2, 2.06), (2048, 1.25, 2.24), (4096, 1.3, 2.28), (8192, 1.35, 2.40),
-         (16384, 1.4, 2.47), (32768, 1.4, 2.55), (65536, 1.4, 2.63), (None, 1.4, 2.70))
+WHOLE = ((256, 1.05, 2.0), (512, 1.2, 2.0), (768, 1.33, 2.0), (1024, 1.42, 2.06), (2048, 1.53, 2.24), (4096, 1.68, 2.28), (8192, 1.8, 2.40),
+         (16384, 1.95, 2.47), (32768, 2.05, 2.55), (65536, 2.1, 2.63), (None, 2.1, 2.70))
 #: Full chunks pooled: up to so many chunks, lowest and highest ratio.
-POOLED = ((1, 1.25, 2.04), (None, 1.35, 1.99))
+POOLED = ((1, 1.48, 2.04), (None, 1.54, 1.99))
+#: Every full chunk, and the tail after the last one by its bytes: lowest and highest ratio. A tail of up to 64 bytes says nothing.
+CHUNKS = ((64, 0.0, float("inf")), (128, 0.78, 1.55), (192, 0.98, 1.68), (256, 1.13, 1.76), (384, 1.2, 1.85), (512, 1.26, 1.95), (640, 1.34, 2.02),
+          (768, 1.4, 2.1), (896, 1.45, 2.15), (1023, 1.48, 2.18), (None, 1.48, 2.2))
 CHUNK = 1024
 LEVEL = 3
 LEAST_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 
 COLUMNS = (("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()),
-           ("n_repeat_words", T.LongType()), ("whole_ratio", T.DoubleType()), ("chunk_ratio", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()))
+           ("n_repeat_words", T.LongType()), ("whole_ratio", T.DoubleType()), ("chunk_ratio", T.DoubleType()), ("n_odd_chunks", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()))
 
 
 def repeat_words(words: Sequence[bytes], width: int = 3) -> int:
@@ -72,20 +76,26 @@ def _band(bands, size: int) -> tuple[float, float]:
 class Compression:
     """Ratios of a text and the verdict of the bands."""
 
-    def __init__(self, whole=WHOLE, pooled=POOLED, chunk: int = CHUNK, level: int = LEVEL):
-        self.whole, self.pooled, self.chunk = whole, pooled, chunk
+    def __init__(self, whole=WHOLE, pooled=POOLED, chunk: int = CHUNK, level: int = LEVEL, chunks=CHUNKS):
+        self.whole, self.pooled, self.chunks, self.chunk = whole, pooled, chunks, chunk
         self.squeeze = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
 
-    def ratios(self, raw: bytes) -> tuple[float, float | None]:
+    def ratios(self, raw: bytes) -> tuple[float, float | None, int]:
+        """Of the whole text, of its full chunks pooled, and how many chunks, the tail among them, are out of their band."""
         if not raw:
-            return 0.0, None
-        full = len(raw) // self.chunk
-        small = sum(len(self.squeeze(raw[i * self.chunk : (i + 1) * self.chunk])) for i in range(full))
-        return len(raw) / len(self.squeeze(raw)), full * self.chunk / small if full else None
-
-    def fair(self, size: int, whole: float, pooled: float | None) -> bool:
+            return 0.0, None, 0
+        parts = [raw[i : i + self.chunk] for i in range(0, len(raw), self.chunk)]
+        small = [len(self.squeeze(x)) for x in parts]
+        whole, full = len(raw) / len(self.squeeze(raw)), len(raw) // self.chunk
+        if not full:
+            return whole, None, 0
+        bands = [_band(self.chunks, len(x)) for x in parts]
+        odd = sum(not lo <= len(x) / n <= hi for x, n, (lo, hi) in zip(parts, small, bands))
+        return whole, full * self.chunk / sum(small[:full]), odd
+
+    def fair(self, size: int, whole: float, pooled: float | None, odd: int) -> bool:
         lo, hi = _band(self.whole, size)
-        if not lo <= whole <= hi:
+        if odd or not lo <= whole <= hi:
             return False
         if pooled is None:
             return True
@@ -96,12 +106,12 @@ class Compression:
 def verdict(text: str | None, bands: Compression) -> tuple:
     counts = base_counts(text)
     raw = (text or "").encode("utf-8", "surrogatepass")
-    whole, pooled = bands.ratios(raw)
+    whole, pooled, odd = bands.ratios(raw)
     failed = counts[0] < LEAST_WORDS or 100 * counts[4] > 50 * counts[0]
-    return (*counts, whole, pooled, failed, not failed and bands.fair(len(raw), whole, pooled))
+    return (*counts, whole, pooled, odd, failed, not failed and bands.fair(len(raw), whole, pooled, odd))
 
 
-def rule_columns(docs: DataFrame, keep_only: bool = False, whole=WHOLE, pooled=POOLED) -> DataFrame:
+def rule_columns(docs: DataFrame, keep_only: bool = False, whole=WHOLE, pooled=POOLED, chunks=CHUNKS) -> DataFrame:
     """All columns of ``docs`` and the rules' (earlier columns of those names are replaced).
 
     A null or empty text has zero counts, ratio 0 and fails the word count.
@@ -114,8 +124,8 @@ def rule_columns(docs: DataFrame, keep_only: bool = False, whole=WHOLE, pooled=P
     at = rows.columns.index("text")
 
     def run(batches):
-        bands = Compression(whole, pooled)
-        types = (pa.int64(),) * 5 + (pa.float64(),) * 2 + (pa.bool_(),) * 2
+        bands = Compression(whole, pooled, chunks=chunks)
+        types = (pa.int64(),) * 5 + (pa.float64(),) * 2 + (pa.int64(),) + (pa.bool_(),) * 2
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
@@ -129,7 +139,7 @@ def rule_columns(docs: DataFrame, keep_only: bool = False, whole=WHOLE, pooled=P
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the base counts, both ratios, ``base_failed`` and ``kept`` of every row."""
+    """``doc_id``, the base counts, both ratios, the chunks out of their band, ``base_failed`` and ``kept`` of every row."""
     return rule_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
 
 

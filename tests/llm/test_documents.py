@@ -1,5 +1,6 @@
 """Operators on documents against plain versions, and on messy rows."""
 
+import base64
 import random
 import zlib
 from collections import Counter
@@ -201,6 +202,34 @@ def test_bands_reject_repetition_and_noise():
     assert not rules.verdict(noise, bands)[-1] and not rules.verdict(stock, bands)[-1]
 
 
+def test_bands_reject_a_bad_passage_in_the_middle(docs):
+    rng, bands = random.Random(5), rules.Compression()
+    fair = [t for _, t in texts_of(docs) if t and 2000 <= len(t) <= 40_000 and rules.verdict(t, bands)[-1]]
+    assert len(fair) >= 20
+    for text in fair:
+        middle = len(text) // 2
+        for share in (0.25, 0.5, 0.7):
+            noise = base64.b64encode(rng.randbytes(int(len(text) * share / (1 - share)))).decode()
+            assert not rules.verdict(f"{text[:middle]} {noise} {text[middle:]}", bands)[-1]
+        again = text[:60] * 40
+        got = rules.verdict(f"{text[:middle]} {again} {text[middle:]}", bands)
+        assert not got[-1] and got[7] > 0
+        assert rules.verdict(text, bands)[7] == 0
+
+
+def test_bands_reject_a_bad_tail(docs):
+    rng, bands = random.Random(6), rules.Compression()
+    tried = 0
+    for _, text in texts_of(docs):
+        if text and text.isascii() and len(text) >= 6144 and rules.verdict(text, bands)[-1]:
+            cut = text[:5120]
+            if rules.verdict(cut, bands)[-1]:
+                tried += 1
+                for n in (300, 600, 1000):
+                    assert not rules.verdict(cut + base64.b64encode(rng.randbytes(n)).decode()[:n], bands)[-1]
+    assert tried
+
+
 def test_repeat_words_by_brute_force():
     rng = random.Random(4)
     for _ in range(300):
