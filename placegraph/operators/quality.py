@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from placegraph.functions import geo, text
+from placegraph.functions.outside import area_outside
 from placegraph.operators import spatial
 from placegraph.operators.common import first_by
 
@@ -29,7 +31,10 @@ def overlap_audit(shapes: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def sample_points(shapes: DataFrame, most: int = 24) -> DataFrame:
-    """Points standing for each shape's area: its outline, thinned evenly, and its centre, at equal weight."""
+    """Points standing for each shape's area, for the search of a fit: its outline and its centre, at equal weight.
+
+    An outline of more than ``most`` vertices is thinned evenly.
+    """
     n = F.size("_open")
     open_ring = F.when(F.element_at("ring", 1) == F.element_at("ring", -1), F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring"))
     s = shapes.withColumn("_open", open_ring).withColumn("_area", geo.area("ring")).where("_area > 0")
@@ -40,12 +45,25 @@ def sample_points(shapes: DataFrame, most: int = 24) -> DataFrame:
         "*", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")).drop("_p")
 
 
+def _outside(slack_m: float):
+    """Column function: a shape's area and its area outside the parts, from their x and y and the parts' sizes."""
+    @F.pandas_udf("area double, out double")
+    def measured(xs: pd.Series, ys: pd.Series, part_xs: pd.Series, part_ys: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y, px, py, n in zip(xs, ys, part_xs, part_ys, sizes):
+            parts = np.split(np.stack([px, py], 1), np.cumsum(n)[:-1]) if len(n) else []
+            rows.append(area_outside(np.stack([x, y], 1), parts, slack_m))
+        return pd.DataFrame(rows, columns=["area", "out"])
+
+    return measured.asNondeterministic()  # else a filter on the area measures every shape once more
+
+
 def alignment_audit(shapes: DataFrame, footprints: DataFrame, slack_m: float = 2.0, bad_pct: float = 15.0) -> DataFrame:
-    """Share of each floor's area outside its building's footprint, measured on sampled points.
+    """Share of each floor's area outside its building's footprint, exact.
 
     ``shapes``: ``building, floor, ord, ring``; ``footprints``: ``building, ring``,
-    all in degrees. A point within the slack of a footprint counts as inside. A
-    building without a footprint gives ``measurable`` false.
+    all in degrees. The footprint is all of a building's rings, widened by the slack
+    with round corners. Shapes without area do not count. A building without a footprint gives ``measurable`` false.
     """
     f = footprints.select(F.upper(F.trim("building")).alias("b"), "ring").where(F.size("ring") >= 4)
     verts = f.select("b", F.explode("ring").alias("p"))
@@ -54,11 +72,14 @@ def alignment_audit(shapes: DataFrame, footprints: DataFrame, slack_m: float = 2
     foot = f.join(origin, "b").select("b", local("ring").alias("ring"))
     s = shapes.select(*SHEET, "ord", F.upper("building").alias("b"), "ring").join(origin, "b", "left")
     flat = s.where("x0 IS NOT NULL").select(*SHEET, "ord", "b", local("ring").alias("ring"))
-    pts = sample_points(flat)
-    hit = F.max(geo.distance_to_shape("s__e", "x", "y") <= slack_m)
-    by_point = spatial.with_hits(pts, foot, {"_hit": hit}, on=[("b", "b")], x="x", y="y", pad=slack_m).withColumn(
-        "inside", F.coalesce("_hit", F.lit(False)))
-    room = by_point.groupBy(*SHEET, "ord").agg(F.sum("weight").alias("area"), F.sum(F.when(~F.col("inside"), F.col("weight")).otherwise(0.0)).alias("out"))
+    parts = foot.groupBy("b").agg(F.collect_list("ring").alias("_parts"))
+    box = geo.box("ring")
+    near = lambda r: ((F.array_min(geo.xs(r)) <= box["x1"] + slack_m) & (F.array_max(geo.xs(r)) >= box["x0"] - slack_m)
+                      & (F.array_min(geo.ys(r)) <= box["y1"] + slack_m) & (F.array_max(geo.ys(r)) >= box["y0"] - slack_m))
+    met = flat.where(F.size("ring") > 0).join(parts, "b").select(*SHEET, "ring", F.filter("_parts", near).alias("_near"))
+    flat_parts = F.flatten("_near")
+    room = met.select(*SHEET, _outside(slack_m)(geo.xs("ring"), geo.ys("ring"), geo.xs(flat_parts), geo.ys(flat_parts),
+                                                F.transform("_near", lambda r: F.size(r))).alias("_m")).select(*SHEET, "_m.area", "_m.out").where("area > 0")
     floors = room.groupBy(*SHEET).agg((F.sum("out") / F.sum("area") * 100).alias("pct_area_outside"),
                                       F.count_if(F.col("out") > F.col("area") / 2).alias("rooms_mostly_outside"), F.count(F.lit(1)).alias("polygons"))
     missing = s.where("x0 IS NULL").select(*SHEET).distinct()
