@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegraph.llm import chat, embeddings, licenses, minhash, packing, pieces, quality, rules, sharding, token_files
+from placegraph.llm import (centroids, chat, embeddings, filter_audit, licenses, main_text, minhash, packing, pieces, quality, rules, sharding,
+                            token_files)
 from placegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,18 @@ def op9(spark, sf):
 @query("op10_license_patience")
 def op10(spark, sf):
     return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+@query("op11_filter_potentials", filter_audit.SQL)
+def op11(spark, sf):
+    return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_vantage_point_clusters", centroids.SQL)
+def op12(spark, sf):
+    return centroids.cluster_vectors(table(spark, sf, "embeddings")).drop("opened")
+
+
+@query("op13_page_differencing")
+def op13(spark, sf):
+    return main_text.extract_pages(table(spark, sf, "pages"))
