@@ -10,6 +10,7 @@ from placegraph.operators import network as N
 from placegraph.operators import quality as Q
 from placegraph.operators import raster as R
 from placegraph.operators import registration as G
+from placegraph.operators.trimming import trim_overlaps
 from placegraph.session import materialise
 
 
@@ -137,20 +138,23 @@ LX, LY = "RADIANS({x} - o.x0) * COS(RADIANS(o.y0)) * 6378137.0", "RADIANS({y} -
 @query("alignment_audit", f"""
 WITH o AS (SELECT name AS building, AVG(x) AS x0, AVG(y) AS y0 FROM (SELECT name, x, y FROM place_vertices WHERE kind = 'building' UNION ALL SELECT name, x, y FROM place_vertices WHERE kind = 'building' AND seq = 0) GROUP BY 1),
 e AS (SELECT p.name AS building, p.ord, {LX.format(x='p.ax')} AS ax, {LY.format(y='p.ay')} AS ay, {LX.format(x='p.bx')} AS bx, {LY.format(y='p.by')} AS by FROM place_edges p JOIN o ON o.building = p.name WHERE p.prio = 0),
-s AS (SELECT s.building, s.floor, s.ord, {LX.format(x=D.lng_sql('s.x0'))} AS ax, {LX.format(x=D.lng_sql('s.x1'))} AS bx, {LY.format(y=D.lat_sql('s.y0'))} AS ay, {LY.format(y=D.lat_sql('s.y1'))} AS b_y FROM spaces s JOIN o ON o.building = s.building),
-pts AS (SELECT building, floor, ord, (bx - ax) * (b_y - ay) AS area, 0 AS i, ax AS x, ay AS y FROM s UNION ALL SELECT building, floor, ord, (bx - ax) * (b_y - ay), 1, bx, ay FROM s UNION ALL SELECT building, floor, ord, (bx - ax) * (b_y - ay), 2, bx, b_y FROM s
-  UNION ALL SELECT building, floor, ord, (bx - ax) * (b_y - ay), 3, ax, b_y FROM s UNION ALL SELECT building, floor, ord, (bx - ax) * (b_y - ay), 4, (ax + bx) / 2, (ay + b_y) / 2 FROM s),
-d AS (SELECT p.building, p.floor, p.ord, p.i, p.area, e.ord AS o, COUNT(CASE WHEN (e.by > p.y) <> (e.ay > p.y) AND p.x < (e.ax - e.bx) * (p.y - e.by) / (e.ay - e.by) + e.bx THEN 1 END) % 2 = 1 AS held,
-  MIN(SQRT(POWER(p.x - (e.ax + LEAST(1, GREATEST(0, ((p.x - e.ax) * (e.bx - e.ax) + (p.y - e.ay) * (e.by - e.ay)) / (POWER(e.bx - e.ax, 2) + POWER(e.by - e.ay, 2)))) * (e.bx - e.ax)), 2)
-    + POWER(p.y - (e.ay + LEAST(1, GREATEST(0, ((p.x - e.ax) * (e.bx - e.ax) + (p.y - e.ay) * (e.by - e.ay)) / (POWER(e.bx - e.ax, 2) + POWER(e.by - e.ay, 2)))) * (e.by - e.ay)), 2))) AS dist
-  FROM pts p JOIN e ON e.building = p.building GROUP BY ALL),
-i AS (SELECT building, floor, ord, i, area / 5 AS w, BOOL_OR(held OR dist <= 2) AS inside FROM d GROUP BY ALL),
-r AS (SELECT building, floor, ord, SUM(w) AS area, SUM(CASE WHEN inside THEN 0 ELSE w END) AS outside FROM i GROUP BY ALL)
-SELECT building, floor, ROUND(100 * SUM(outside) / SUM(area), 4) AS pct, COUNT(CASE WHEN outside > area / 2 THEN 1 END) AS mostly, COUNT(*) AS polygons, TRUE AS measurable FROM r GROUP BY 1, 2
+s AS (SELECT s.building, s.floor, s.ord, {LX.format(x=D.lng_sql('s.x0'))} AS x0, {LX.format(x=D.lng_sql('s.x1'))} AS x1, {LY.format(y=D.lat_sql('s.y0'))} AS y0, {LY.format(y=D.lat_sql('s.y1'))} AS y1 FROM spaces s JOIN o ON o.building = s.building),
+c AS (SELECT building, ax AS x FROM e UNION SELECT a.building, a.ax + (a.bx - a.ax) * ((b.ax - a.ax) * (b.by - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.by - b.ay) - (a.by - a.ay) * (b.bx - b.ax))
+  FROM e a JOIN e b ON a.building = b.building AND a.ord < b.ord AND (a.bx - a.ax) * (b.by - b.ay) <> (a.by - a.ay) * (b.bx - b.ax)),
+x AS (SELECT ord, x0 AS x FROM s UNION SELECT ord, x1 FROM s UNION SELECT s.ord, c.x FROM s JOIN c ON c.building = s.building AND c.x > s.x0 AND c.x < s.x1
+  UNION SELECT s.ord, e.ax + (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay) FROM s JOIN e ON e.building = s.building AND e.by <> e.ay, unnest([s.y0, s.y1]) t(y) WHERE e.ax + (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay) > s.x0 AND e.ax + (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay) < s.x1),
+b AS (SELECT * FROM (SELECT ord, x AS l, LEAD(x) OVER (PARTITION BY ord ORDER BY x) AS r FROM x) WHERE r IS NOT NULL),
+v AS (SELECT b.ord, b.l, b.r, e.ord AS part, GREATEST(MIN(e.ay + (e.by - e.ay) * ((b.l + b.r) / 2 - e.ax) / (e.bx - e.ax)), s.y0) AS lo, LEAST(MAX(e.ay + (e.by - e.ay) * ((b.l + b.r) / 2 - e.ax) / (e.bx - e.ax)), s.y1) AS hi
+  FROM b JOIN s ON s.ord = b.ord JOIN e ON e.building = s.building AND LEAST(e.ax, e.bx) < (b.l + b.r) / 2 AND GREATEST(e.ax, e.bx) > (b.l + b.r) / 2 GROUP BY b.ord, b.l, b.r, e.ord, s.y0, s.y1),
+w AS (SELECT *, MAX(hi) OVER (PARTITION BY ord, l ORDER BY lo, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v WHERE hi > lo),
+n AS (SELECT ord, SUM((r - l) * GREATEST(hi - GREATEST(lo, COALESCE(top, lo)), 0)) AS inside FROM w GROUP BY 1),
+r AS (SELECT building, floor, s.ord, (x1 - x0) * (y1 - y0) AS area, (x1 - x0) * (y1 - y0) - COALESCE(n.inside, 0) AS outside FROM s LEFT JOIN n ON n.ord = s.ord)
+SELECT building, floor, ROUND(100 * SUM(outside) / SUM(area), 4) + 0 AS pct, COUNT(CASE WHEN outside > area / 2 THEN 1 END) AS mostly, COUNT(*) AS polygons, TRUE AS measurable FROM r GROUP BY 1, 2
 UNION ALL SELECT DISTINCT building, floor, -1, 0, 0, FALSE FROM spaces WHERE building NOT IN (SELECT building FROM o)""", ("spaces", "place_vertices", "place_edges"))
 def alignment_audit(spark, sf):
+    """Exact areas outside, without slack; round corners of a slack are checked in the tests."""
     foot = B.outlines(spark, sf).where("kind = 'building'").select(F.col("name").alias("building"), "ring")
-    a = Q.alignment_audit(B.spaces(spark, sf).select("building", "floor", "ord", "ring"), foot)
+    a = Q.alignment_audit(B.spaces(spark, sf).select("building", "floor", "ord", "ring"), foot, slack_m=0.0)
     n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return a.select("building", "floor", F.round(F.coalesce("pct_area_outside", F.lit(-1.0)), 4).alias("pct"), n("rooms_mostly_outside").alias("mostly"), n("polygons").alias("polygons"), "measurable")
 
@@ -220,6 +224,38 @@ def dropped_overlaps(spark, sf):
     return Q.drop_overlaps(B.plan_spaces(spark, sf).select("building", "floor", "ord", "room", "ring")).select("ord", "dropped")
 
 
+@query("trimmed_overlaps", """
+WITH RECURSIVE r AS (SELECT ord, building, floor, x0, y0, x1, y1, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM spaces),
+p AS (SELECT a.ord, b.ord AS other, b.area AS size, b.x0, b.y0, b.x1, b.y1 FROM r a JOIN r b ON a.building = b.building AND a.floor = b.floor AND a.area > b.area
+  AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+  WHERE CAST((LEAST(a.x1, b.x1) - GREATEST(a.x0, b.x0)) * (LEAST(a.y1, b.y1) - GREATEST(a.y0, b.y0)) AS DOUBLE) / b.area >= 0.02),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ord ORDER BY size DESC, other) AS k FROM p),
+lines AS (SELECT r.ord, list_sort(list_distinct([r.x0, r.x1] || list_filter(flatten(list([c.x0, c.x1])), lambda v: v > r.x0 AND v < r.x1))) AS xs,
+  list_sort(list_distinct([r.y0, r.y1] || list_filter(flatten(list([c.y0, c.y1])), lambda v: v > r.y0 AND v < r.y1))) AS ys FROM r JOIN k c ON c.ord = r.ord GROUP BY r.ord, r.x0, r.x1, r.y0, r.y1),
+grid AS (SELECT ord, xs, ys, list_filter(list_transform(range(0, (len(xs) - 1) * (len(ys) - 1)), lambda n: {'i': n // (len(ys) - 1) + 1, 'j': n % (len(ys) - 1) + 1}), lambda c: TRUE) AS cells FROM lines),
+step(ord, k, cells, cuts) AS (
+  SELECT ord, 1, cells, 0 FROM grid
+  UNION ALL
+  SELECT ord, k + 1, CASE WHEN good THEN cand ELSE cells END, cuts + CASE WHEN good THEN 1 ELSE 0 END FROM (
+    SELECT ord, k, cells, cuts, cand, size < now AND len(cand) > 0 AND rest >= 0.5 * now
+      AND len(list_reduce(list_transform(range(0, len(cand)), lambda t: cand), lambda acc, l: list_filter(l, lambda c: len(list_filter(acc, lambda d: abs(c.i - d.i) + abs(c.j - d.j) <= 1)) > 0), list_slice(cand, 1, 1))) = len(cand) AS good
+    FROM (SELECT *, list_sum(list_transform(cells, lambda c: (xs[c.i + 1] - xs[c.i]) * (ys[c.j + 1] - ys[c.j]))) AS now, COALESCE(list_sum(list_transform(cand, lambda c: (xs[c.i + 1] - xs[c.i]) * (ys[c.j + 1] - ys[c.j]))), 0) AS rest
+      FROM (SELECT s.ord, s.k, s.cells, s.cuts, c.size, g.xs, g.ys, list_filter(s.cells, lambda q: NOT (g.xs[q.i] >= c.x0 AND g.xs[q.i + 1] <= c.x1 AND g.ys[q.j] >= c.y0 AND g.ys[q.j + 1] <= c.y1)) AS cand
+        FROM step s JOIN k c ON c.ord = s.ord AND c.k = s.k JOIN grid g ON g.ord = s.ord)))),
+last AS (SELECT s.*, g.xs, g.ys FROM step s JOIN grid g ON g.ord = s.ord WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ord = s.ord AND k.k = s.k)),
+told AS (SELECT ord, cuts, list_sum(list_transform(cells, lambda c: (xs[c.i + 1] - xs[c.i]) * (ys[c.j + 1] - ys[c.j]))) AS area,
+  list_sum(list_transform(cells, lambda c: (xs[c.i + 1] - xs[c.i]) * ((CASE WHEN list_contains(cells, {'i': c.i, 'j': c.j - 1}) THEN 0 ELSE 1 END) + (CASE WHEN list_contains(cells, {'i': c.i, 'j': c.j + 1}) THEN 0 ELSE 1 END))
+    + (ys[c.j + 1] - ys[c.j]) * ((CASE WHEN list_contains(cells, {'i': c.i - 1, 'j': c.j}) THEN 0 ELSE 1 END) + (CASE WHEN list_contains(cells, {'i': c.i + 1, 'j': c.j}) THEN 0 ELSE 1 END)))) AS outline FROM last)
+SELECT r.ord, CAST(COALESCE(t.cuts, 0) AS BIGINT) AS cuts, CAST(COALESCE(t.area, r.area) AS DOUBLE) AS area, CAST(COALESCE(t.outline, 2 * (r.x1 - r.x0 + r.y1 - r.y0)) AS DOUBLE) AS outline
+FROM r LEFT JOIN told t ON t.ord = r.ord""", ("spaces",))
+def trimmed_overlaps(spark, sf):
+    """Area and length of outline of every traced space after the larger of two overlapping ones was cut back."""
+    t = trim_overlaps(B.plan_spaces(spark, sf).select("building", "floor", "ord", "ring"))
+    length = lambda ring: F.aggregate(geo.edges(ring), F.lit(0.0), lambda acc, e: acc + F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"]))
+    total = lambda of: F.aggregate("holes", F.lit(0.0), lambda acc, h: acc + of(h))
+    return t.select("ord", "cuts", (geo.area("ring") - total(geo.area)).alias("area"), (length("ring") + total(length)).alias("outline"))
+
+
 @query("off_plan", """
 WITH o AS (SELECT building, floor, ARG_MIN(x0, ord) - 2000 AS x0, ARG_MIN(y0, ord) - 2000 AS y0, ARG_MIN(x1, ord) + 2000 AS x1, ARG_MIN(y1, ord) + 2000 AS y1 FROM spaces GROUP BY 1, 2),
 f AS (SELECT s.building, s.floor, s.ord, SQRT(POWER(GREATEST(o.x0 - cx, 0, cx - o.x1), 2) + POWER(GREATEST(o.y0 - cy, 0, cy - o.y1), 2)) > 0.01 * SQRT(POWER(o.x1 - o.x0, 2) + POWER(o.y1 - o.y0, 2)) AS off

@@ -127,6 +127,20 @@ def inside_ring(ring, x, y) -> Column:
     return inside_edges(edges(ring), x, y)
 
 
+def holds(edge_array, ring) -> Column:
+    """Whether a shape lies within a ring: its first corner does and no edge meets one of the ring's."""
+    turn = lambda ax, ay, bx, by, x, y: F.signum((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+
+    def meet(e, f):
+        a, b = turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]), turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
+        c, d = turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]), turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
+        return (a * b <= 0) & (c * d <= 0)
+
+    r = _c(ring)
+    first = F.element_at(r, 1)
+    return inside_edges(edge_array, first["x"], first["y"]) & ~F.exists(edges(r), lambda f: F.exists(_c(edge_array), lambda e: meet(e, f)))
+
+
 def segment_distance(px, py, ax, ay, bx, by) -> Column:
     px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
     dx, dy = bx - ax, by - ay

@@ -63,7 +63,7 @@ def alignment_audit(shapes: DataFrame, footprints: DataFrame, slack_m: float = 2
 
     ``shapes``: ``building, floor, ord, ring``; ``footprints``: ``building, ring``,
     all in degrees. The footprint is all of a building's rings, widened by the slack
-    with round corners. Shapes without area do not count. A building without a footprint gives ``measurable`` false.
+    with round corners. Shapes without area do not count; ``ord`` is unique on a floor. A building without a footprint gives ``measurable`` false.
     """
     f = footprints.select(F.upper(F.trim("building")).alias("b"), "ring").where(F.size("ring") >= 4)
     verts = f.select("b", F.explode("ring").alias("p"))
@@ -71,15 +71,19 @@ def alignment_audit(shapes: DataFrame, footprints: DataFrame, slack_m: float = 2
     local = lambda ring: geo.map_ring(ring, lambda x, y: geo.local_x(x, F.col("x0"), F.col("y0")), lambda x, y: geo.local_y(y, F.col("y0")))
     foot = f.join(origin, "b").select("b", local("ring").alias("ring"))
     s = shapes.select(*SHEET, "ord", F.upper("building").alias("b"), "ring").join(origin, "b", "left")
-    flat = s.where("x0 IS NOT NULL").select(*SHEET, "ord", "b", local("ring").alias("ring"))
-    parts = foot.groupBy("b").agg(F.collect_list("ring").alias("_parts"))
-    box = geo.box("ring")
-    near = lambda r: ((F.array_min(geo.xs(r)) <= box["x1"] + slack_m) & (F.array_max(geo.xs(r)) >= box["x0"] - slack_m)
-                      & (F.array_min(geo.ys(r)) <= box["y1"] + slack_m) & (F.array_max(geo.ys(r)) >= box["y0"] - slack_m))
-    met = flat.where(F.size("ring") > 0).join(parts, "b").select(*SHEET, "ring", F.filter("_parts", near).alias("_near"))
-    flat_parts = F.flatten("_near")
-    room = met.select(*SHEET, _outside(slack_m)(geo.xs("ring"), geo.ys("ring"), geo.xs(flat_parts), geo.ys(flat_parts),
-                                                F.transform("_near", lambda r: F.size(r))).alias("_m")).select(*SHEET, "_m.area", "_m.out").where("area > 0")
+    flat = s.where("x0 IS NOT NULL").select(*SHEET, "ord", "b", local("ring").alias("ring")).where(F.size("ring") > 0)
+    # A row for each shape and footprint ring near it. A shape that one ring holds is inside, one that none meets is outside;
+    # only shapes on a border go to the kernel, with the rings near them.
+    met = spatial.meeting_boxes(flat, foot.withColumn("edges", geo.edges("ring")), ["b"], slack_m)
+    met = met.withColumn("held", geo.holds("b_edges", "a_ring"))
+    per = met.groupBy(F.col("a_b").alias("b"), F.col("a_building").alias("building"), F.col("a_floor").alias("floor"), F.col("a_ord").alias("ord")).agg(
+        F.bool_or("held").alias("held"), F.collect_list(F.when(~F.col("held"), F.col("b_ring"))).alias("near"))
+    sized = flat.join(per, ["b", *SHEET, "ord"], "left").withColumn("area", geo.area("ring"))
+    flat_parts = F.flatten("near")
+    border = sized.where("held = false").select(*SHEET, _outside(slack_m)(geo.xs("ring"), geo.ys("ring"), geo.xs(flat_parts), geo.ys(flat_parts),
+                                                                         F.transform("near", lambda r: F.size(r))).alias("_m")).select(*SHEET, "_m.area", "_m.out")
+    plain = sized.where("held IS NULL OR held").select(*SHEET, "area", F.when(F.col("held"), F.lit(0.0)).otherwise(F.col("area")).alias("out"))
+    room = plain.unionByName(border).where("area > 0")
     floors = room.groupBy(*SHEET).agg((F.sum("out") / F.sum("area") * 100).alias("pct_area_outside"),
                                       F.count_if(F.col("out") > F.col("area") / 2).alias("rooms_mostly_outside"), F.count(F.lit(1)).alias("polygons"))
     missing = s.where("x0 IS NULL").select(*SHEET).distinct()

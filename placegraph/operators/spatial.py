@@ -241,6 +241,28 @@ def overlapping_boxes(shapes: DataFrame, on: Sequence[str], pad: float = 0.0) ->
     return big.join(small, cond & corner).drop(*drop)
 
 
+def meeting_boxes(a: DataFrame, b: DataFrame, on: Sequence[str], pad: float = 0.0) -> DataFrame:
+    """Pairs of a shape of ``a`` and one of ``b`` with boxes no farther apart than ``pad``; columns ``a_*`` and ``b_*``.
+
+    Of a pair the larger covers at most four cells of its own level and the smaller at
+    most four there, whichever side each is on; a pair is kept in the cell of the
+    common box's corner.
+    """
+    def side(big: DataFrame, small: DataFrame, big_as: str, small_as: str, strict: bool) -> DataFrame:
+        coarser = lambda v: v > F.col("_own") if strict else v >= F.col("_own")
+        down = small.withColumn("_own", F.col("_lv")).withColumn("_lvs", _level_list(big)).withColumn("_lv", F.explode(F.filter("_lvs", coarser))).drop("_lvs", "_own")
+        cond = F.lit(True)
+        for c in ("_lv", "_cx", "_cy", *on):
+            cond = cond & (F.col("a_" + c) == F.col("b_" + c))
+        cond = cond & (F.col("a__x0") <= F.col("b__x1")) & (F.col("b__x0") <= F.col("a__x1")) & (F.col("a__y0") <= F.col("b__y1")) & (F.col("b__y0") <= F.col("a__y1"))
+        corner = (_cell(F.greatest("a__x0", "b__x0"), F.col("a__lv")) == F.col("a__cx")) & (_cell(F.greatest("a__y0", "b__y0"), F.col("a__lv")) == F.col("a__cy"))
+        return _rename(_covered(big), big_as).join(_rename(_covered(down), small_as), cond & corner)
+
+    left, right = _boxed(a, "ring", pad / 2), _boxed(b, "ring", pad / 2)
+    drop = [p + c for p in ("a_", "b_") for c in ("_lv", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1")]
+    return side(right, left, "b_", "a_", False).drop(*drop).unionByName(side(left, right, "a_", "b_", True).drop(*drop))
+
+
 def overlaps(shapes: DataFrame, on: Sequence[str]) -> DataFrame:
     """Pairs of shapes with a common area: ``a_ord < b_ord``, both areas, ``common``."""
     prepared = shapes.select(*on, "ord", "ring", geo.area("ring").alias("area"), geo.strips("ring").alias("strips"), F.array_min(geo.ys("ring")).alias("low"))
