@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from placegraph.session import materialise
 
 #: Width of the pieces of a sequence that are windowed in one task.
 CHUNK = 65_536
@@ -70,6 +73,31 @@ def number_rows(df: DataFrame, keys: Sequence[str], seq: str, name: str = "n", t
     return running(df, keys, seq, sums={name: F.lit(1)}, tie=tie, chunk=chunk)
 
 
+def number_ranges(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Gapless numbers from 0 in the order of columns, for tables of any size.
+
+    Rows are sorted in ranges, numbered within their task and shifted by the sizes of
+    the ranges before; rows equal in ``order`` take any of their numbers.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        at, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            marks = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*batch.schema.names, "_part", "_at"])
+            at += n
+
+    schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_at", LongType())])
+    ranges, _ = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = ranges.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return ranges.join(bases, F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_base") + F.col("_at")).cast("bigint").alias(name))
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], prefix: str = "prev_",
                   chunk: int | None = None) -> DataFrame:
     """Columns of the row one step back, for gap-free integer sequences.

@@ -1,4 +1,4 @@
-"""Graph operators as rounds of joins: components, shortest walks, joining pieces.
+"""Graph operators as rounds of joins: components, arcs, ways back along pointers.
 
 Every round ends in one written table (see ``session.materialise``), so lineage
 stays short, lost executors cost one round at most, and the stop condition comes
@@ -79,47 +79,6 @@ def arcs_of(nodes: DataFrame, edges: DataFrame, entry_m: float = ENTRY_M) -> Dat
     return both.join(into, "b").select("a", "b", F.col("metres").alias("w"), "entry", "b_room")
 
 
-def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_rooms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cheapest walk from any start to any goal, for a whole table of queries.
-
-    ``arcs``: ``a, b, w, entry, b_room``; ``starts`` and ``goals``: ``query_id,
-    nid``; ``open_rooms``: ``query_id, room`` entered free of charge. Returns the
-    answers ``query_id, goal, cost`` and the search state ``query_id, node, dist,
-    prev`` that :func:`walk_back` reads. Each round relaxes the nodes improved in
-    the round before, drops what cannot beat the query's best goal, and keeps one
-    row per (query, node), which is also how rows are spread over tasks.
-    """
-    arcs, _ = materialise(arcs)
-    goals, _ = materialise(goals.select("query_id", F.col("nid").alias("node"), F.lit(True).alias("is_goal")).distinct())
-    flag = lambda df: df.join(goals, ["query_id", "node"], "left").withColumn("is_goal", F.coalesce("is_goal", F.lit(False)))
-    if open_rooms is not None:
-        open_rooms, _ = materialise(open_rooms.select("query_id", F.col("room").alias("b_room"), F.lit(True).alias("_open")).distinct())
-    state = starts.select("query_id", F.col("nid").alias("node")).distinct().select(
-        "query_id", "node", F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("fresh"))
-    watch = {"fresh": F.count_if("fresh")}
-    state, seen = materialise(flag(state), **watch)
-    while seen["fresh"]:
-        bound = state.where("is_goal").groupBy("query_id").agg(F.min("dist").alias("bound"))
-        step = state.where("fresh").join(arcs, F.col("node") == F.col("a")).select(
-            "query_id", F.col("b").alias("node"), F.col("a").alias("prev"), "dist", "w", "entry", "b_room")
-        if open_rooms is not None:
-            step = step.join(open_rooms, ["query_id", "b_room"], "left").withColumn(
-                "entry", F.when(F.col("_open"), 0.0).otherwise(F.col("entry")))
-        step = step.join(bound, "query_id", "left").withColumn("d", F.col("dist") + F.col("w") + F.col("entry"))
-        step = step.where(F.col("bound").isNull() | (F.col("d") <= F.col("bound")))
-        both = state.select("query_id", "node", F.struct("dist", F.lit(False).alias("fresh"), "prev").alias("s")).unionByName(
-            step.select("query_id", "node", F.struct(F.col("d").alias("dist"), F.lit(True).alias("fresh"), "prev").alias("s")))
-        after = both.groupBy("query_id", "node").agg(F.min("s").alias("s")).select(
-            "query_id", "node", "s.dist", "s.prev", "s.fresh")
-        # Goals meet the state on the keys it is already spread by.
-        after, seen = materialise(flag(after), **watch)
-        discard(state)
-        state = after
-    best = state.where("is_goal").groupBy("query_id").agg(F.min(F.struct("dist", "node")).alias("m"))
-    answers = best.select("query_id", F.col("m.node").alias("goal"), F.col("m.dist").alias("cost"))
-    return answers, state.select("query_id", "node", "dist", "prev")
-
-
 def walk_back(answers: DataFrame, state: DataFrame) -> DataFrame:
     """The nodes of every walk in order: ``query_id, step, nid``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegraph.operators import graph
+from placegraph.operators import walks
 from placegraph.operators.common import running, with_previous
 from placegraph.session import materialise
 
@@ -71,12 +71,23 @@ def arcs(cells: DataFrame, stairs: DataFrame, portals: DataFrame, entrances: Dat
     return both.select("a", "b", "w", F.lit(0.0).alias("entry"), F.lit(None).cast("string").alias("b_room"))
 
 
+def tile_blocks(moves: DataFrame, tile: int = 45) -> DataFrame:
+    """``nid, block`` of the ends of moves: square tiles of a floor; a hub goes with its first cell."""
+    cells = moves.select(F.col("a").alias("nid")).unionByName(moves.select(F.col("b").alias("nid"))).distinct().where(~F.startswith("nid", F.lit("stairs|")))
+    part = F.split("nid", r"\|")
+    of = lambda k: F.floor(F.element_at(part, k).cast("bigint") / tile).cast("string")
+    tiles = cells.select("nid", F.concat_ws("|", F.concat_ws("|", F.slice(part, 1, F.size(part) - 2)), of(-2), of(-1)).alias("block"))
+    hubs = moves.where(F.startswith("b", F.lit("stairs|"))).groupBy(F.col("b").alias("nid")).agg(F.min("a").alias("a"))
+    return tiles.unionByName(hubs.join(tiles.select(F.col("nid").alias("a"), "block"), "a").select("nid", "block"))
+
+
 def shortest_paths(moves: DataFrame, starts: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fewest steps for a table of queries, and the cells walked: ``query_id, step, cell``."""
-    answers, state = graph.shortest_walks(moves, starts, goals)
-    answers, _ = materialise(answers)
-    path = graph.walk_back(answers, state).withColumn("hub", F.startswith("nid", F.lit("stairs|")))
-    path, _ = materialise(path)
+    moves, _ = materialise(moves)
+    cells = moves.select(F.col("a").alias("nid")).unionByName(moves.select(F.col("b").alias("nid"))).distinct()
+    alone = starts.select("nid").distinct().join(cells, "nid", "left_anti").select("nid", F.concat(F.lit("alone|"), F.col("nid")).alias("block"))
+    answers, path = walks.shortest_walks(moves, starts, goals, blocks=tile_blocks(moves).unionByName(alone))
+    path, _ = materialise(path.withColumn("hub", F.startswith("nid", F.lit("stairs|"))))
     hubs = running(path, ["query_id"], "step", sums={"hubs": F.col("hub").cast("int")})
     cells = hubs.where(~F.col("hub")).select("query_id", (F.col("step") - F.col("hubs")).alias("step"), F.col("nid").alias("cell"))
     return answers, cells

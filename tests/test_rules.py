@@ -11,6 +11,7 @@ from placegraph import datasets as D
 from placegraph.catalog import base as B
 from placegraph.functions import clock, geo, text
 from placegraph.operators import activity, changes, common, coverage, graph, naming, network, routes, search, timetable
+from placegraph.operators import walks as walk_blocks
 from placegraph.session import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -171,8 +172,8 @@ def _graph(seed, n=40, m=55):
 NODE = "nid string, ord int, building string, floor string, room string, space string, lng double, lat double"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_and_walks(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, 64), (2, 64), (2, 8)])
+def test_components_and_walks(spark, monkeypatch, seed, block):
     nodes, edges = _graph(seed)
     n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, "a string, b string, metres double")
     adj = {x[0]: [] for x in nodes}
@@ -203,11 +204,16 @@ def test_components_and_walks(spark, seed):
             want[q] = dist[g]
     starts = spark.createDataFrame([(q, s) for q, s, _ in asks], "query_id int, nid string")
     goals = spark.createDataFrame([(q, g) for q, _, g in asks], "query_id int, nid string")
-    answers, state = graph.shortest_walks(graph.arcs_of(n, e), starts, goals, spark.createDataFrame(sorted(opened), "query_id int, room string"))
+    monkeypatch.setattr(walk_blocks, "BLOCK", block)
+    monkeypatch.setattr(walk_blocks, "SLICE", 3)
+    report = []
+    answers, path = walk_blocks.shortest_walks(graph.arcs_of(n, e), starts, goals, spark.createDataFrame(sorted(opened), "query_id int, room string"), report=report)
     assert {r.query_id: r.cost for r in answers.collect()} == want
+    assert (len(report) == 1) == (block > 40) and all(r["written"] for r in report)
     walks = {}
-    for r in graph.walk_back(answers, state).orderBy("query_id", "step").collect():
-        walks.setdefault(r.query_id, []).append(r.nid)
+    for r in path.orderBy("query_id", "step").collect():
+        assert r.step == len(walks.setdefault(r.query_id, []))
+        walks[r.query_id].append(r.nid)
     for q, s, g in asks:
         if q in want:
             w = walks[q]
