@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits", "checks")
+MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits", "checks", "sqlsurface")
 
 
 def _load():

@@ -142,6 +142,19 @@ def nearest_node(spark, sf):
     return near.select("ord", "nid", r6("metres").alias("metres"))
 
 
+@query("nearest_in_reach", f"""
+WITH pts AS (SELECT ord, {D.lng_sql('cx')} AS lng, {D.lat_sql('cy')} AS lat FROM places UNION ALL SELECT ord + 1000000, {D.lng_sql('cx + 500000')}, {D.lat_sql('cy')} FROM places),
+d AS (SELECT p.ord, n.nid, n.ord AS n_ord, {hav('p.lng', 'p.lat', 'n.lng', 'n.lat', '6371000.0')} AS m FROM pts p JOIN nodes n ON ABS(p.lat - n.lat) < 0.001 AND ABS(p.lng - n.lng) < 0.002)
+SELECT p.ord, COALESCE(nid, '') AS nid, ROUND(COALESCE(m, -1), 6) AS metres FROM pts p LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY ord ORDER BY m, n_ord) AS rn FROM d WHERE m <= 25) t ON t.ord = p.ord AND rn = 1""", ("places", "nodes"))
+def nearest_in_reach(spark, sf):
+    """The one nearest node within 25 m of each place, and of spots half a degree away; blank where none is."""
+    p = D.view(spark, sf, "places")
+    (lng, lat), (east, _) = B._deg("cx", "cy"), B._deg("cx + 500000", "cy")
+    pts = p.select("ord", lng.alias("lng"), lat.alias("lat")).unionByName(p.select((F.col("ord") + 1000000).alias("ord"), east.alias("lng"), lat.alias("lat")))
+    near = S.nearest(pts, B.nodes(spark, sf), "ord", "nid", "ord", reach_m=25.0)
+    return pts.join(near, "ord", "left").select("ord", F.coalesce("nid", F.lit("")).alias("nid"), r6(F.coalesce("metres", F.lit(-1.0))).alias("metres"))
+
+
 @query("nodes_in_reach", """
 WITH l AS (SELECT nid, building, floor, ROUND(lng * 1e6 + 123000000) AS x, ROUND(lat * 1e6 - 20000000) AS y FROM nodes WHERE floor IS NOT NULL)
 SELECT a.nid, COUNT(*) AS neighbours, ROUND(MIN(SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS nearest

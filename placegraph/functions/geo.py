@@ -128,13 +128,17 @@ def inside_ring(ring, x, y) -> Column:
 
 
 def holds(edge_array, ring) -> Column:
-    """Whether a shape lies within a ring: its first corner does and no edge meets one of the ring's."""
+    """Whether a shape lies within a ring: its first corner does and no edge meets one of the ring's.
+
+    Edges without length, as between a closing corner and the first, meet nothing.
+    """
+    some = lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"])
     turn = lambda ax, ay, bx, by, x, y: F.signum((bx - ax) * (y - ay) - (by - ay) * (x - ax))
 
     def meet(e, f):
         a, b = turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]), turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
         c, d = turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]), turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
-        return (a * b <= 0) & (c * d <= 0)
+        return some(e) & some(f) & (a * b <= 0) & (c * d <= 0)
 
     r = _c(ring)
     first = F.element_at(r, 1)

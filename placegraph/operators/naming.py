@@ -132,7 +132,8 @@ def _taken(names: DataFrame, series: DataFrame, spare: bool) -> DataFrame:
     """The ``series, n`` slots that names stand for, of the series given (``series``).
 
     A room's own name is number 1 of its series and ``-2`` to ``-99`` follow; a
-    counted name is its series and the digits after it.
+    counted name is its series and the digits after it. Numbers of more than 18 digits
+    stand for no slot: none is ever handed out, as slots are counted up from 1.
     """
     if spare:
         digits = F.regexp_extract("name", r"([0-9]+)$", 1)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from placegraph.functions import geo, text
 from placegraph.functions.outside import area_outside
-from placegraph.operators import spatial
+from placegraph.operators import pyramid, spatial
 from placegraph.operators.common import first_by
 
 SHEET = ["building", "floor"]
@@ -253,12 +253,13 @@ def attach_labels(labels: DataFrame, regions: DataFrame, reach: float = 60.0) ->
 
 
 def nearest_owner(items: DataFrame, owners: DataFrame, keys: list[str]) -> DataFrame:
-    """The owner with the nearest centre for each item; owners per key are few.
+    """The owner with the nearest centre for each item, the lowest on a tie, by tiles of each key's owners.
 
-    ``items``: ``keys, ord, x, y``; ``owners``: ``keys, owner, ox, oy``.
+    ``items``: ``keys, ord, x, y`` (ord unique); ``owners``: ``keys, owner, ox, oy``.
     """
     d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    return items.join(owners, keys).groupBy(*keys, "ord").agg(F.min(F.struct(d.alias("d"), "owner")).alias("m")).select(*keys, "ord", F.col("m.owner").alias("owner"))
+    got = pyramid.nearest_by_tiles(items.select(*keys, "ord", "x", "y"), owners, "ord", [F.col("x"), F.col("y")], [F.col("ox"), F.col("oy")], d, ["owner"], on=keys)
+    return got.select(*keys, "ord", "owner")
 
 
 def absorb_regions(regions: DataFrame, touching: DataFrame) -> DataFrame:

@@ -201,15 +201,24 @@ def refine(samples: DataFrame, fits: DataFrame, footprints: DataFrame, keys: Seq
 
 
 def scale_candidates(raw: Column) -> Column:
-    """Drawing scales a title block's digits could mean, best first."""
-    tail = F.regexp_extract(F.upper(raw), r"(?s)SCALE(.{0,18})", 1)
-    tail = F.translate(F.when(tail == "", F.upper(raw)).otherwise(tail), "OLI", "011")
-    digits = F.regexp_replace(tail, "[^0-9]", "")
-    known = F.array(*[F.lit(s) for s in PLAUSIBLE_SCALES])
-    cut = lambda run, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i: F.substr(run, i, F.lit(n)).try_cast("int"))
-    rest = F.when(F.startswith(digits, F.lit("1")), F.substr(digits, F.lit(2))).otherwise(F.lit(""))
-    every = F.concat(cut(rest, 3), cut(rest, 2), cut(digits, 3), cut(digits, 2))
-    return F.array_distinct(F.filter(every, lambda v: v.isNotNull() & F.array_contains(known, v)))
+    """Drawing scales that a title block could mean, best first.
+
+    A plausible scale is a candidate where its digits stand after the word SCALE (anywhere, if the
+    word is missing), letters that look like digits read as such. Scales met after
+    a leading 1, the colon of 1:n being lost, come first, then longer numbers, then earlier ones.
+    """
+    block = F.upper(raw)
+    after = F.substr(block, F.instr(block, "SCALE") + 5, F.lit(18))
+    digits = F.regexp_replace(F.translate(F.when(F.contains(block, F.lit("SCALE")), after).otherwise(block), "OLI", "011"), "[^0-9]", "")
+    behind_one = F.when(F.startswith(digits, F.lit("1")), F.substr(digits, F.lit(2))).otherwise(F.lit(""))
+
+    def met(scale: int) -> Column:
+        said = str(scale)
+        place = lambda run, late: F.when(F.instr(run, said) > 0, F.struct(F.lit(late).alias("late"), F.lit(-len(said)).alias("short"), F.instr(run, said).alias("at"), F.lit(scale).alias("scale")))
+        return F.coalesce(place(behind_one, 0), place(digits, 1))
+
+    found = F.array_sort(F.array_compact(F.array(*[met(s) for s in PLAUSIBLE_SCALES])))
+    return F.transform(found, lambda m: m["scale"])
 
 
 def approximate_fit(plans: DataFrame, grid_angle: float, keys: Sequence[str]) -> DataFrame:

@@ -7,12 +7,14 @@ No side is broadcast by hand and no pair is formed that does not share a cell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegraph.functions import geo
+from placegraph.operators import pyramid
 from placegraph.operators.common import top_k
 from placegraph.session import materialise
 
@@ -157,42 +159,39 @@ def seen_from(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, order: str, start_m: float = 100.0,
-            radius: float = geo.ROUTE_RADIUS_M, x: str = "lng", y: str = "lat") -> DataFrame:
+            radius: float = geo.ROUTE_RADIUS_M, x: str = "lng", y: str = "lat", reach_m: float | None = None) -> DataFrame:
     """The nearest target of each point and its distance; ties go to the lowest ``order``.
 
-    A point looks at the 3 by 3 cells around it and keeps an answer no farther
-    than one cell, which nothing outside can beat. Only points without an answer
-    go on to cells four times as wide. Targets on one spot are reduced to their
-    first beforehand, so a crowded spot costs one row.
-    Returns ``key, target_key, metres``.
+    A point first looks at the 3 by 3 cells around it and keeps an answer no farther
+    than one cell, which nothing outside can beat. Points without one go down a pyramid
+    of tiles (:mod:`placegraph.operators.pyramid`). Targets on one spot are reduced to
+    their first beforehand, so a crowded spot costs one row. With ``reach_m`` only
+    targets so near count. Returns ``key, target_key, metres``.
     """
     deg = geo.metres_per_degree(radius)
+    start_m = min(start_m, reach_m) if reach_m else start_m
     spots = targets.groupBy(F.col(x).alias("_tx"), F.col(y).alias("_ty")).agg(
         F.min(F.struct(F.col(order).alias("o"), F.col(target_key).alias("k"))).alias("_t"))
     spots, seen = materialise(spots, rows=F.count(F.lit(1)))
     todo = points.select(F.col(key), F.col(x).alias("_px"), F.col(y).alias("_py")).where(
         F.col("_px").isNotNull() & F.col("_py").isNotNull() & ~F.isnan("_px") & ~F.isnan("_py"))
-    answer, size_m = None, start_m
-    while seen["rows"]:
-        size = size_m / deg
-        cand = look_around(todo, "_px", "_py", size).join(seen_from(spots, "_tx", "_ty", size), list(GLOBE))
-        metres = geo.haversine_m("_px", "_py", "_tx", "_ty", radius)
-        best = cand.groupBy(key).agg(F.min(F.struct(metres.alias("d"), F.col("_t.o").alias("o"), F.col("_t.k").alias("k"))).alias("_m"))
-        tried = todo.join(best, key, "left")
-        whole = size >= 180.0  # by now a point has met every target
-        done = F.col("_m").isNotNull() & ((F.col("_m.d") <= size_m) | F.lit(whole))
-        tried, n = materialise(tried.withColumn("_done", F.coalesce(done, F.lit(False))),
-                               left=F.count_if(~F.coalesce(done, F.lit(False))))
-        got = tried.where("_done").select(key, F.col("_m.k").alias(target_key), F.col("_m.d").alias("metres"))
-        answer = got if answer is None else answer.unionByName(got)
-        if not n["left"] or whole:
-            break
-        todo = tried.where(~F.col("_done")).select(key, "_px", "_py")
-        size_m *= 4
-    if answer is None:
-        answer = todo.where(F.lit(False)).select(
+    metres = geo.haversine_m("_px", "_py", "_tx", "_ty", radius)
+    if not seen["rows"]:
+        return todo.where(F.lit(False)).select(
             key, F.lit(None).cast(targets.schema[target_key].dataType).alias(target_key), F.lit(0.0).alias("metres"))
-    return answer
+    size = start_m / deg
+    cand = look_around(todo, "_px", "_py", size).join(seen_from(spots, "_tx", "_ty", size), list(GLOBE))
+    best = cand.groupBy(key).agg(F.min(F.struct(metres.alias("d"), F.col("_t.o").alias("o"), F.col("_t.k").alias("k"))).alias("_m"))
+    done = F.coalesce(F.col("_m.d") <= start_m, F.lit(False))
+    tried, n = materialise(todo.join(best, key, "left").withColumn("_done", done), left=F.count_if(~done))
+    got = tried.where("_done").select(key, F.col("_m.k").alias(target_key), F.col("_m.d").alias("metres"))
+    if not n["left"] or (reach_m is not None and reach_m <= start_m):
+        return got
+    rest = tried.where(~F.col("_done")).select(key, "_px", "_py")
+    straight = None if reach_m is None else 2.0 * math.sin(min(reach_m / radius, math.pi) / 2)  # the chord of an arc
+    far = pyramid.nearest_by_tiles(rest, spots.select("_tx", "_ty", F.col("_t.o").alias("_o"), F.col("_t.k").alias("_k")), key, pyramid.on_sphere("_px", "_py"),
+                                   pyramid.on_sphere("_tx", "_ty"), metres, ["_o", "_k"], leaf=max(start_m, 100.0) / radius, reach=straight)
+    return got.unionByName(far.select(key, F.col("_k").alias(target_key), F.col("d").alias("metres")))
 
 
 def within_reach(points: DataFrame, targets: DataFrame, reach: float, on: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:

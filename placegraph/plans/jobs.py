@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placegraph.functions import geo
-from placegraph.operators import coverage, graph, naming, network, quality, raster, registration, routes
+from placegraph.operators import coverage, graph, naming, network, quality, raster, registration, routes, search
 from placegraph.session import materialise
 from placegraph.sources import sinks
 
@@ -56,6 +56,28 @@ def batch_directions(requests: DataFrame, nodes: DataFrame, edges: DataFrame, ce
     return {"answers": answers, "points": points, "sheets": routes.floor_per_building(points).orderBy("query_id", "at"), "legs": legs, "steps": routes.directions(legs)}
 
 
+def typed_directions(asks: DataFrame, codes: DataFrame, names: DataFrame, nodes: DataFrame, edges: DataFrame, centres: DataFrame) -> dict[str, DataFrame]:
+    """The directions form for a whole table: typed From and To to references, walks and steps in words.
+
+    ``asks``: ``query_id, from_text, to_text`` and, where the asker's spot is known,
+    ``lng, lat``; ``codes`` and ``names`` as in :func:`search.direction_ends`. An ask
+    without From starts at the spot. Tables as of :func:`batch_directions`; the answers also
+    hold asks that were not walked, with what is missing as their ``status``.
+    """
+    at = lambda c: (F.col(c) if c in asks.columns else F.lit(None)).cast("double")
+    ends = search.direction_ends(asks.select("query_id", "from_text", "to_text"), codes, names)
+    ends, _ = materialise(ends.join(asks.select("query_id", at("lng").alias("lng"), at("lat").alias("lat")), "query_id"))
+    here = (F.col("status") == "from_here") & F.col("lng").isNotNull()
+    known = ends.where((F.col("status") == "ok") | here)
+    spot = lambda c: F.when(here, F.col(c)).alias(f"start_{c}")
+    requests = known.select("query_id", F.coalesce(F.nullif("fallback", F.lit("")), F.regexp_extract("goal_ref", r"^([^-]*)", 1)).alias("building"),
+                            F.when(~here, F.col("start_ref")).alias("start_ref"), spot("lng"), spot("lat"), "goal_ref")
+    out = batch_directions(requests, nodes, edges, centres)
+    refused = ends.join(known.select("query_id"), "query_id", "left_anti").select("query_id", "status")
+    out["answers"] = out["answers"].unionByName(refused, allowMissingColumns=True)
+    return out
+
+
 def clean_labels(reads: DataFrame, shapes: DataFrame) -> DataFrame:
     """Label reads to graded rooms with shapes, overlaps that cannot be rooms left out.
 

@@ -87,14 +87,19 @@ def write_graph(nodes: DataFrame, edges: DataFrame, places: DataFrame, unreachab
     write_version(unreachable, f"{root}/unreachable", version)
 
 
+def _salted(df: DataFrame, keys: list[str], spread: int = 8) -> DataFrame:
+    """Rows of a key dealt to a few tasks by a hash of the row, so that a large key is not one task's; its folder holds as many files."""
+    return df.repartition(*keys, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(spread)))
+
+
 def write_rooms(rooms: DataFrame, path: str) -> None:
     """Room index split by building, so one building's rooms are one folder."""
-    rooms.repartition("building").write.mode("overwrite").partitionBy("building").parquet(path)
+    _salted(rooms, ["building"]).write.mode("overwrite").partitionBy("building").parquet(path)
 
 
 def write_sheets(spaces: DataFrame, path: str) -> None:
     """Spaces partitioned by building and floor, for reads of one sheet."""
-    spaces.repartition("building", "floor").write.mode("overwrite").partitionBy("building", "floor").parquet(path)
+    _salted(spaces, ["building", "floor"]).write.mode("overwrite").partitionBy("building", "floor").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
