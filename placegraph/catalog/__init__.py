@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits", "checks", "sqlsurface")
+MODULES = ("network", "spatial", "rollups", "lookups", "documents", "routing", "audits", "checks", "sqlsurface", "storage")
 
 
 def _load():

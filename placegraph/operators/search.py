@@ -2,67 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegraph.functions import text
 from placegraph.operators.common import top_k
 
+#: Longest text whose answers are ranked beforehand, and the length of the pieces that longer ones are looked up by.
 GRAM = 3
 
 
-def _grams(x: Column) -> Column:
-    """Every distinct piece of 1 to 3 characters."""
+def _pieces(x: Column, least: int, most: int = GRAM) -> Column:
+    """Every distinct piece of ``least`` to ``most`` characters."""
     n = F.length(x)
     piece = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substr(x, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[piece(k) for k in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(*[piece(k) for k in range(least, most + 1)]))
+
+
+def _containing(texts: DataFrame, said: str, entries: DataFrame, value: str) -> DataFrame:
+    """Texts with the entries whose ``value`` contains them, for texts longer than ``GRAM``.
+
+    A text is looked up by its rarest piece alone: how many entries hold each piece is
+    counted first, and a text with a piece that no entry holds meets none.
+    """
+    index = entries.withColumn("_g", F.explode(_pieces(F.col(value), GRAM)))
+    held = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    long = texts.where(F.length(said) > GRAM)
+    asked = long.select(said).distinct().withColumn("_g", F.explode(_pieces(F.col(said), GRAM))).join(held, "_g", "left")
+    rarest = asked.groupBy(said).agg(F.min_by("_g", "_df").alias("_g"), F.count_if(F.col("_df").isNull()).alias("_none")).where("_none = 0").drop("_none")
+    return long.join(rarest, said).join(index, "_g").where(F.contains(value, F.col(said))).drop("_g")
 
 
-def _heads(x: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length(x), F.lit(GRAM))), lambda k: F.substr(x, F.lit(1), k)))
+def _short(texts: DataFrame, said: str, entries: DataFrame, values: Sequence[str], score: Callable[[Column], Column], order: Sequence[Column], k: int) -> DataFrame:
+    """Best ``k`` entries of every text of at most ``GRAM`` characters: ranked for each piece before any text is met."""
+    every = F.array_distinct(F.concat(*[_pieces(F.col(v), 1) for v in values]))
+    ranked = top_k(entries.withColumn("_g", F.explode(every)).withColumn("score", score(F.col("_g"))), ["_g"], order, k)
+    return texts.where(F.length(said) <= GRAM).join(ranked.withColumnRenamed("_g", said), said)
 
 
 def suggest(queries: DataFrame, rooms: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
     """Best k rooms and buildings per typed text.
 
-    A text meets only entries that share its first three characters somewhere,
-    then the exact rule decides; nothing is cut before ranking. Equal texts are
-    answered once. ``places``: ``name, display, kind``, one row per name.
-    Returns ``query_id, rank, score, label, building, room``.
+    Nothing is cut before ranking. Texts of up to three characters find answers that
+    are ranked beforehand; longer ones meet the entries that share their rarest piece
+    of three characters, then the exact rule decides. Equal texts are answered once.
+    ``places``: ``name, display, kind``, one row per name. Returns ``query_id, rank, score, label, building, room``.
     """
     words = F.upper(F.trim("text"))
     asked = queries.select("query_id", words.alias("words"), F.regexp_replace(words, r"\s+", "").alias("q")).where("q <> ''")
     texts = asked.select("words", "q").distinct()
-    keyed = texts.withColumn("by_q", F.substring("q", 1, GRAM)).withColumn("by_w", F.substring("words", 1, GRAM))
     r = rooms.where(text.is_destination("type") & text.filled("building") & text.filled("room")).select(
         "building", "room", "label", F.upper(F.concat_ws("-", "building", "room")).alias("ul"), F.upper("room").alias("ur"), F.upper(F.coalesce("name", F.lit(""))).alias("un"))
-    pairs = keyed.join(r.withColumn("by_q", F.explode(_grams(F.col("ul")))), "by_q").where(F.contains("ul", F.col("q"))).select("words", "q", *r.columns)
-    named = keyed.join(r.where("un <> ''").withColumn("by_w", F.explode(_grams(F.col("un")))), "by_w").where(
-        F.contains("un", F.col("words")) & ~F.contains("ul", F.col("q"))).select("words", "q", *r.columns)
-    score = (F.when((F.col("ur") == F.col("q")) | (F.col("ul") == F.col("q")), 0.0).when(F.startswith("ur", F.col("q")), 1.0)
-             .when(F.startswith("ul", F.col("q")) | ((F.col("un") != "") & F.startswith("un", F.col("words"))), 2.0).otherwise(3.0))
-    room_hits = pairs.unionByName(named).select("words", score.alias("score"), "label", "building", "room")
+    score = lambda q, w: (F.when((F.col("ur") == q) | (F.col("ul") == q), 0.0).when(F.startswith("ur", q), 1.0)
+                          .when(F.startswith("ul", q) | ((F.col("un") != "") & F.startswith("un", w)), 2.0).otherwise(3.0))
+    order = [F.col("score"), text.natural_key("room"), F.col("label")]
+    # A short text without a space inside is one of the pieces; with one, its two forms differ and it goes the long way.
+    plain = texts.where(F.col("q") == F.col("words"))
+    spaced = texts.where((F.col("q") != F.col("words")) & (F.length("q") <= GRAM))
+    short = _short(plain, "q", r, ["ul", "un"], lambda g: score(g, g), order, k).select("words", "score", "label", "building", "room")
+    by_code = _containing(texts, "q", r, "ul").unionByName(
+        spaced.join(r.withColumn("q", F.explode(_pieces(F.col("ul"), 1))), "q").select("words", "q", *r.columns))
+    by_name = _containing(texts.where((F.length("q") > GRAM) | (F.col("q") != F.col("words"))), "words", r.where("un <> ''"), "un").unionByName(
+        spaced.where(F.length("words") <= GRAM).join(r.withColumn("words", F.explode(_pieces(F.col("un"), 1))), "words").select("words", "q", *r.columns))
+    by_name = by_name.where(~F.contains("ul", F.col("q")))
+    long = by_code.unionByName(by_name).select("words", score(F.col("q"), F.col("words")).alias("score"), "label", "building", "room")
     b = places.select(F.col("name").alias("building"), F.upper("name").alias("ul")).distinct()
-    code_hits = keyed.join(b.withColumn("by_q", F.explode(_heads(F.col("ul")))), "by_q").where(F.startswith("ul", F.col("q"))).select(
+    starts = b.withColumn("q", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("ul"), F.lit(1))), lambda n: F.substr(F.col("ul"), F.lit(1), n))))
+    code_hits = texts.join(starts, "q").select(
         "words", F.when(F.col("ul") == F.col("q"), -1.0).otherwise(1.5).alias("score"), F.col("building").alias("label"), "building", F.lit("").alias("room"))
-    best = top_k(room_hits.unionByName(code_hits), ["words"], [F.col("score"), text.natural_key("room"), F.col("label")], k)
+    best = top_k(short.unionByName(long).unionByName(code_hits), ["words"], order, k)
     return asked.join(best, "words").select("query_id", "rank", "score", "label", "building", "room")
 
 
 def suggest_sections(queries: DataFrame, rooms: DataFrame, places: DataFrame, per_section: int = 6) -> DataFrame:
     """Buildings (starts before contains, then title) and rooms (file order), a few of each per text."""
     asked = queries.select("query_id", F.lower(F.trim("text")).alias("q")).where("q <> ''")
-    keyed = asked.select("q").distinct().withColumn("by", F.substring("q", 1, GRAM))
+    texts = asked.select("q").distinct()
     b = places.select(F.col("name").alias("code"), F.coalesce(text.blank_to_null("display"), "name").alias("title"))
     b = b.withColumn("lc", F.lower("code")).withColumn("lt", F.lower("title"))
-    both = F.array_union(_grams(F.col("lc")), _grams(F.col("lt")))
-    hit = keyed.join(b.withColumn("by", F.explode(both)), "by").where(F.contains("lc", F.col("q")) | F.contains("lt", F.col("q")))
-    score = F.when(F.startswith("lc", F.col("q")) | F.startswith("lt", F.col("q")), 0).otherwise(1)
-    top_b = top_k(hit.withColumn("score", score), ["q"], [F.col("score"), F.col("title"), F.col("code")], per_section).select(
-        "q", F.lit("Buildings").alias("section"), "rank", "title")
-    r = rooms.withColumn("ll", F.lower("label"))
-    hit_r = keyed.join(r.withColumn("by", F.explode(_grams(F.col("ll")))), "by").where(F.contains("ll", F.col("q")))
-    top_r = top_k(hit_r, ["q"], [F.col("source"), F.col("ord")], per_section).select("q", F.lit("Rooms").alias("section"), "rank", F.col("label").alias("title"))
+    score = lambda q: F.when(F.startswith("lc", q) | F.startswith("lt", q), 0).otherwise(1)
+    order_b = [F.col("score"), F.col("title"), F.col("code")]
+    short_b = _short(texts, "q", b, ["lc", "lt"], score, order_b, per_section).select("q", "score", "title", "code")
+    long_b = _containing(texts, "q", b, "lc").unionByName(_containing(texts, "q", b, "lt").where(~F.contains("lc", F.col("q")))).select(
+        "q", score(F.col("q")).alias("score"), "title", "code")
+    top_b = top_k(short_b.unionByName(long_b), ["q"], order_b, per_section).select("q", F.lit("Buildings").alias("section"), "rank", "title")
+    r = rooms.withColumn("ll", F.lower("label")).select("label", "ll", "source", "ord")
+    order_r = [F.col("source"), F.col("ord")]
+    short_r = _short(texts, "q", r, ["ll"], lambda g: F.lit(0), order_r, per_section).select("q", "source", "ord", "label")
+    top_r = top_k(short_r.unionByName(_containing(texts, "q", r, "ll").select("q", "source", "ord", "label")), ["q"], order_r, per_section).select(
+        "q", F.lit("Rooms").alias("section"), "rank", F.col("label").alias("title"))
     return asked.join(top_b.unionByName(top_r), "q").select("query_id", "section", "rank", "title")
 
 
