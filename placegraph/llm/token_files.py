@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from placegraph.llm.common import shuffle_width, slices
 from placegraph.llm.tokens import encoder, vocabulary
-from placegraph.session import checkpoint_root, materialise
+from placegraph.session import materialise, run_folder
 
 END = 0
 PARTS = "part int, path string, width int, n_docs bigint, n_null bigint, n_tokens bigint"
@@ -36,10 +36,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end: int
     Documents are range-partitioned and sorted by ``doc_id`` (null first; equal ids
     by a hash of the text). Null and empty texts hold ``end`` alone. A part is
     written under a temporary name and renamed, so a task run twice leaves one
-    whole file. ``folder`` is by default a new one under ``spark.checkpoint.dir``.
+    whole file. ``folder`` is by default a new one in the application's run folder.
     """
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_root(spark).rstrip('/')}/placegraph/tokens-{uuid.uuid4().hex}"
+    folder = folder or f"{run_folder(spark)}/tokens-{uuid.uuid4().hex}"
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):

@@ -2,7 +2,8 @@
 
 Neither vocabulary merges across the cuts made here, so the ids of a text are the
 ids of its pieces put together. Pieces repeat far more often than texts do; each
-Python worker remembers the ids of pieces it has met, up to a bound in bytes.
+Python worker remembers the ids of pieces it has met, up to a bound in bytes. Pieces
+not met before are encoded many at a time, as one text with separators between them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import numpy as np
 REMEMBER = 200_000_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 200
+#: New pieces encoded as one text.
+AT_ONCE = 1024
 
 #: A word with the space before it, else a run of white space short of that space.
 _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -58,15 +61,23 @@ class _Known(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, special strings read as plain text."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, as the library gives them.
 
-    def __init__(self, path: str):
+    With ``specials_as_text`` special strings in a text are plain text; without, they
+    are their own ids, which is what the library does.
+    """
+
+    def __init__(self, path: str, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        self.specials = [] if specials_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = self._ids("a b") != self._ids("a  b")
+        #: What stands between pieces encoded at once, and its only id.
+        self.mark, self.between, self.before = (b"\n", "\n", " ") if self.keeps_space else (b"|", " | ", "")
+        self.mark_id = int.from_bytes(self._ids(self.mark.decode()), "little")
         self.forget()
 
     def forget(self) -> None:
@@ -84,19 +95,50 @@ class Encoder:
             return self._ids(piece[1:].decode())
         return self._ids(piece.decode() if piece[:1] == b"\n" else " " + piece.decode())
 
-    def _one(self, text: str) -> bytes:
+    def _cut(self, text: str) -> tuple[bytes, list[bytes]] | None:
+        """A text's first piece, where it has no space before it, and the pieces after; None where it is to be cut with care."""
         raw = text.encode()
-        get = self.known.__getitem__
-        if b"\0" in raw:
-            return self._ids(text)
+        if b"\0" in raw or any(x in raw for x in self.specials):
+            return None
         if not self.keeps_space:
             if b"\xcc" not in raw and b"\xcd" not in raw:  # no combining marks: lower case first changes nothing
                 raw = raw.lower()
-            return b"".join(map(get, raw.split()))
-        if raw[0] in _SPACES or raw[-1] in _SPACES or any(x in raw for x in _UNEVEN) or any(x in raw for x in _MAYBE_SPACE):
-            return self._ids(text) if _OTHER_SPACE.search(text) else b"".join(map(self._piece, _SPACED.findall(text)))
+            return b"", raw.split()
+        if raw[0] in _SPACES or raw[-1] in _SPACES or any(x in raw for x in _UNEVEN) or (not raw.isascii() and any(x in raw for x in _MAYBE_SPACE)):
+            return None
         pieces = raw.replace(b"\n", b" \n").split(b" ")
-        return get(b"\n" + pieces[0])[len(self.line_end) :] + b"".join(map(get, pieces[1:]))
+        return b"\n" + pieces[0], pieces[1:]
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Encode pieces not met before, many as one text."""
+        new = set()
+        for p in pieces:
+            if p not in self.known:
+                if p[-1] in b".,":
+                    base = p.rstrip(b".,")
+                    if base[-1:].isalpha() and p.isascii():
+                        p = base
+                if len(p) <= LONGEST and self.mark not in p and p not in self.known:
+                    new.add(p)
+        ordered = sorted(new)
+        for at in range(0, len(ordered), AT_ONCE):
+            some = ordered[at : at + AT_ONCE]
+            raw = self._ids(self.between.join([self.before + p.decode() for p in some]))
+            ends = [*(np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id) * 4).tolist(), len(raw)]
+            if len(ends) != len(some):
+                continue  # a piece brought the mark itself: each is encoded alone when asked for
+            start = 0
+            for p, end in zip(some, ends):
+                self.known[p] = raw[start:end]
+                self.known.held += 150 + len(p) + end - start
+                start = end + 4
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that is cut with care or not at all."""
+        raw = text.encode()
+        if b"\0" in raw or any(x in raw for x in self.specials) or _OTHER_SPACE.search(text):
+            return self._ids(text)
+        return b"".join(map(self._piece, _SPACED.findall(text)))
 
     @property
     def line_end(self) -> bytes:
@@ -112,11 +154,20 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; null and empty texts have none."""
-        out = []
-        for text in texts:
-            out.append(self._one(text) if text else b"")
-            if self.known.held > REMEMBER:
+        if self.known.held > REMEMBER:
+            self.forget()
+        cuts = [self._cut(t) if t else (b"", []) for t in texts]
+        self._learn(set().union(*[c[1] for c in cuts if c is not None]))
+        get, skip, out = self.known.__getitem__, len(self.line_end), []
+        for text, cut in zip(texts, cuts):
+            if cut is None:
+                out.append(self._whole(text))
+            else:
+                first, rest = cut
+                out.append((get(first)[skip:] if first else b"") + b"".join(map(get, rest)))
+            if self.known.held > 2 * REMEMBER:
                 self.forget()
+                get = self.known.__getitem__
         return out
 
 
