@@ -375,19 +375,20 @@ def test_rebuild_promote_and_labels(spark, tmp_path):
 
 def test_typed_directions_equal_the_routes_of_their_references(spark):
     from placegraph.catalog import base as B
-    from placegraph.catalog import lookups, routing
+    from placegraph.catalog import lookups
     from placegraph.catalog.network import graph_inputs
-    n, e, _ = graph_inputs(spark, SF)
+    from placegraph.operators import routes
+    n, e, comps = graph_inputs(spark, SF)
     centres = coverage.place_centres(B.outlines(spark, SF))
-    asked = D.view(spark, SF, "route_requests").where("start_ref RLIKE '^B[0-9]+-[0-9]+$' AND goal_ref RLIKE '^B[0-9]+-[0-9]+$'")
-    asks = asked.select("query_id", F.lower("start_ref").alias("from_text"), F.regexp_replace("goal_ref", "-", "  ").alias("to_text"))
-    asks = asks.unionByName(spark.createDataFrame([(-1, "b1-1000", " "), (-2, "", "99999"), (-3, None, None)], "query_id long, from_text string, to_text string"))
+    rooms = [(r.building, r.room) for r in B.nodes(spark, SF).where("building IS NOT NULL AND room IS NOT NULL").orderBy("ord").limit(16).collect()]
+    pairs = [(i, *rooms[i], *rooms[-1 - i]) for i in range(8)]
+    asked = spark.createDataFrame([(i, b, f"{b}-{r}", f"{c}-{t}") for i, b, r, c, t in pairs], "query_id long, building string, start_ref string, goal_ref string")
+    asks = [(i, f" {b.lower()}  {r}", f"{c}-{t}") for i, b, r, c, t in pairs] + [(-1, "b1-1000", " "), (-2, "", "99999"), (-3, None, None)]
     codes = D.view(spark, SF, "places").select(F.col("name").alias("code"), "kind")
     names = coverage.rooms_by_name(lookups.index(spark, SF))
-    out = jobs.typed_directions(asks, codes, names, n, e, centres)
+    out = jobs.typed_directions(spark.createDataFrame(asks, "query_id long, from_text string, to_text string"), codes, names, n, e, centres)
     got = {r.query_id: (r.status, r.cost) for r in out["answers"].collect()}
-    want = {r.query_id: (r.status, r.cost) for r in routing.routed(spark, SF)[0].join(asked, "query_id", "left_semi").collect()}
+    want = {r.query_id: (r.status, r.cost) for r in routes.find_routes(asked, n, e, comps, centres)[0].collect()}
     assert {q: v for q, v in got.items() if q >= 0} == want and "ok" in {s for s, _ in want.values()}
     assert got[-1][0] == "no_goal" and got[-2][0] in ("needs_building", "from_here") and got[-3][0] == "no_goal"
-    walked = {q for q, (s, _) in want.items() if s == "ok"}
-    assert walked == {r.query_id for r in out["steps"].where("text LIKE 'Arrive%'").collect()}
+    assert {q for q, (s, _) in want.items() if s == "ok"} == {r.query_id for r in out["steps"].where("text LIKE 'Arrive%'").collect()}
