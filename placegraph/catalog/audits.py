@@ -132,6 +132,24 @@ def overlap_audit(spark, sf):
     return a.select("building", "floor", "n_rooms", "overlap_pairs", r6("worst_overlap_frac").alias("worst_overlap_frac"), r6("total_overlap_area_frac").alias("total_overlap_area_frac"))
 
 
+@query("worst_overlaps", """
+WITH r AS (SELECT ord, building, floor, x0, y0, x1, y1, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM spaces),
+p AS (SELECT a.building, a.floor, CAST((LEAST(a.x1, b.x1) - GREATEST(a.x0, b.x0)) * (LEAST(a.y1, b.y1) - GREATEST(a.y0, b.y0)) AS DOUBLE) / LEAST(a.area, b.area) AS frac
+  FROM r a JOIN r b ON a.building = b.building AND a.floor = b.floor AND a.ord < b.ord AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
+SELECT building, floor, ROUND(MAX(frac), 6) AS worst FROM p GROUP BY 1, 2 HAVING MAX(frac) >= 0.25""", ("spaces",))
+def worst_overlaps(spark, sf):
+    """Floors with an overlap of a quarter of the smaller space, worst first."""
+    a = Q.overlap_audit(B.plan_spaces(spark, sf).select("building", "floor", "ord", "ring"))
+    return Q.worst_first(a, "worst_overlap_frac", 0.25).select("building", "floor", r6("worst_overlap_frac").alias("worst"))
+
+
+@query("cell_centres", "SELECT building, floor, CAST(SUM(100.0 + c * 2.5 + 1.25) AS DOUBLE) AS x, CAST(SUM(900.0 - r * 2.5 - 1.25) AS DOUBLE) AS y FROM cells GROUP BY 1, 2", ("cells",))
+def cell_centres(spark, sf):
+    """Centres of all cells of a floor, in plan units."""
+    at = R.cell_centre(F.col("r"), F.col("c"), F.lit(100.0), F.lit(900.0), F.lit(2.5))
+    return cells(spark, sf).select("building", "floor", at.alias("p")).groupBy("building", "floor").agg(F.sum("p.x").alias("x"), F.sum("p.y").alias("y"))
+
+
 LX, LY = "RADIANS({x} - o.x0) * COS(RADIANS(o.y0)) * 6378137.0", "RADIANS({y} - o.y0) * 6378137.0"
 
 

@@ -223,8 +223,26 @@ SELECT EPOCH_US(DATE_TRUNC('day', ts)) AS day_us, CAST(2 + CAST(FLOOR(value * 10
 def status_windows(spark, sf):
     e = D.table(spark, sf, "events")
     e = e.withColumn("status", (F.lit(2) + F.floor(F.col("value") * 100) % 4) * 100)
-    day = (F.floor(clock.micros("ts") / F.lit(86_400_000_000)) * 86_400_000_000).alias("day_us")
-    return e.groupBy(day, F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx")).alias("class")).agg(F.count(F.lit(1)).alias("requests"))
+    e = e.withColumn("day_us", F.floor(clock.micros("ts") / F.lit(86_400_000_000)) * 86_400_000_000)
+    return A.status_counts(e, by=["day_us"])
+
+
+@query("status_classes", """
+SELECT CAST(2 + CAST(FLOOR(value * 100) AS BIGINT) % 4 AS STRING) || 'xx' AS class, COUNT(*) AS requests FROM events GROUP BY 1""", ())
+def status_classes(spark, sf):
+    e = D.table(spark, sf, "events")
+    return A.status_counts(e.withColumn("status", (F.lit(2) + F.floor(F.col("value") * 100) % 4) * 100))
+
+
+@query("critical_log_lines", """
+SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'Auth failed for ' || user_id ELSE 'FIREBASE quota at ' || event_type END AS message FROM events WHERE event_type = 'error' AND user_id % 3 < 2""", ())
+def critical_log_lines(spark, sf):
+    """Log lines that need attention, of lines made up of each event; a third of the errors and all other events do not."""
+    e = D.table(spark, sf, "events")
+    user = F.col("user_id").cast("string")
+    line = (F.when(F.col("event_type") != "error", F.concat(F.lit("ok "), user)).when(F.col("user_id") % 3 == 0, F.concat(F.lit("Auth failed for "), user))
+            .when(F.col("user_id") % 3 == 1, F.concat(F.lit("FIREBASE quota at "), "event_type")).otherwise("timeout"))
+    return e.select("event_id", line.alias("message")).where(A.is_critical(F.col("message")))
 
 
 @query("critical_events", """SELECT doc_id FROM documents WHERE LOWER(text) LIKE '%firebase%' OR LOWER(text) LIKE '%auth%'""", ())

@@ -63,6 +63,13 @@ def symmetrise(spark, sf):
     return N.symmetrise(l.select(F.col("a").alias("nid"), F.col("b").alias("neighbour")), B.nodes(spark, sf))
 
 
+@query("listed_neighbours", "SELECT a AS nid, b AS neighbour, COUNT(*) AS times FROM links GROUP BY 1, 2", ("links",))
+def listed_neighbours(spark, sf):
+    """Neighbours told by a comma-separated column, which is put together from the links first."""
+    told = B.links(spark, sf).groupBy(F.col("a").alias("nid")).agg(F.array_join(F.collect_list("b"), " ,").alias("connections"))
+    return N.neighbours_of(told).groupBy("nid", "neighbour").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("node_degrees", """
 WITH pairs AS (SELECT DISTINCT LEAST(a, b) AS a, GREATEST(a, b) AS b FROM links WHERE a <> b),
 ends AS (SELECT a AS nid FROM pairs UNION ALL SELECT b FROM pairs)

@@ -6,6 +6,8 @@ user's raw events in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,9 +135,9 @@ def expired(sessions_table: DataFrame, now: Column, column: str = "expires") ->
     return sessions_table.where(F.col(column) < now)
 
 
-def status_counts(log: DataFrame, status: str = "status") -> DataFrame:
-    """Requests per status class: 2xx, 3xx, 4xx, 5xx."""
-    return log.groupBy(F.concat(F.floor(F.col(status) / 100).cast("string"), F.lit("xx")).alias("class")).agg(F.count(F.lit(1)).alias("requests"))
+def status_counts(log: DataFrame, status: str = "status", by: Sequence[str] = ()) -> DataFrame:
+    """Requests per status class: 2xx, 3xx, 4xx, 5xx, and per the columns ``by``."""
+    return log.groupBy(*by, F.concat(F.floor(F.col(status) / 100).cast("string"), F.lit("xx")).alias("class")).agg(F.count(F.lit(1)).alias("requests"))
 
 
 def is_critical(message: Column) -> Column:
