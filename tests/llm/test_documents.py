@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -72,6 +73,19 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(agree) - same / (2 * n - same)) < 0.07
 
 
+def test_no_text_is_lost_where_an_id_stands_for_several(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("t%d" % rng.randrange(10**6) for _ in range(60))
+    a, b, c, near = text(), text(), text(), None
+    near = " ".join(c.split()[:-1] + ["other"])  # a near copy of c
+    drop = lambda rows: sorted((r.doc_id, r.text) for r in minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert drop([(1, a), (2, a), (2, b), (3, b)]) == [(1, a), (2, b)]
+    assert drop([(5, a), (5, b)]) == sorted([(5, a), (5, b)])
+    assert drop([(5, a), (5, a), (5, b), (4, b), (7, "")]) == sorted([(4, b), (5, a), (7, "")])
+    left = drop([(5, c), (5, near), (6, c), (9, near), (9, a)])
+    assert len(left) == 2 and left[0][0] == 5 and left[0][1] in (c, near) and left[1] == (9, a)
+
+
 def test_near_duplicates_on_messy_rows(messy, clashing):
     got = minhash.near_duplicates(clashing, width=2).collect()
     assert len(got) == messy.count()
@@ -252,6 +266,47 @@ def test_classifier(docs, labels, messy, clashing, spark, sf):
     assert quality.score_documents(messy.limit(0), labels).count() == 0
 
 
+def plain_score(text, row, bias):
+    """A score from the words and characters of a text, one feature at a time, in whole numbers of 64 bits."""
+    low = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & low
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & low
+        return x ^ x >> 31
+
+    def hashed(chars):
+        h = 0
+        for c in chars:
+            h = (h + ord(c) + 1) * quality._BASE & low
+        return h
+
+    at = lambda h: float(row[(mixed(h) >> 40) % (quality.BUCKETS - 2) + 2])
+    words = brute.WORD.findall(text or "")
+    if not words:
+        return 1 / (1 + np.exp(-bias))
+    ids = [hashed(w) for w in words]
+    pairs = [(mixed(a) * 3 + b) & low for a, b in zip(ids, ids[1:])]
+    runs = [(mixed(p) + c) & low for p, c in zip(pairs, ids[2:])]
+    z = bias + sum(map(at, ids)) / len(ids)
+    if pairs:
+        z += sum(map(at, pairs)) / len(pairs)
+        z += (float(row[0]) * sum(a == b for a, b in zip(ids, ids[1:])) + float(row[1]) * (len(runs) - len(set(runs)))) / len(ids)
+    spaced = re.sub(r"[\x20\x09-\x0D]", " ", f" {text} ")
+    for n in quality.GRAMS:
+        grams = [spaced[i : i + n] for i in range(len(spaced) - n + 1)]
+        grams = [at((hashed(g) + n) & low) for g in grams if " " not in g[1:-1]]
+        z += sum(grams) / (len(quality.GRAMS) * max(1, len(grams)))
+    return 1 / (1 + np.exp(-min(max(z, -40), 40)))
+
+
+def test_scores_of_a_table_by_a_plain_scorer(docs, messy, labels):
+    model = quality.fit(docs, labels)
+    texts = [t for _, t in texts_of(docs)[:60]] + [t for _, t in texts_of(messy) if len(t or "") < 20_000]
+    for t in texts:
+        assert model.score(t) == pytest.approx(plain_score(t, model.row, model.bias), abs=1e-4), (t or "")[:50]
+
+
 def test_classifier_reads_nothing_held_out(spark):
     rows = [(i, "good text here" if zlib.crc32(str(i).encode()) % 4 == 2 else "plain words") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -318,6 +373,13 @@ def test_license_scan(spark, messy, clashing):
     assert licenses.scan_licenses(clashing).count() == 0 and licenses.scan_licenses(messy.limit(0)).count() == 0
 
 
+def test_two_and_three_clauses_are_told_apart(spark):
+    texts = {n: t for n, _, t in licenses.TEMPLATES}
+    rows = [(2, "Copyright 2020 Us\n" + texts["BSD-2-Clause license"]), (3, "Copyright 2020 Us\n" + texts["BSD-3-Clause license"] + "\nmore " * 40)]
+    got = [(r.doc_id, r.license, r.coverage) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(2, "BSD-2-Clause license", 1.0), (3, "BSD-3-Clause license", 1.0)]
+
+
 def test_license_scan_of_the_table(spark, sf):
     """Every notice the table holds, by plain search."""
     want = Counter()
