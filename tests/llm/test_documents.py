@@ -183,6 +183,26 @@ def test_pieces_equal_the_library_as_unigram_model(docs, tmp_path):
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == library.encode(texts)
 
 
+def test_registered_digests_of_whole_texts(spark, sf, docs, tmp_path):
+    """``n_pieces`` and ``ids_crc32`` of every whole text by the library, 40 words at a time, since it adds in single precision."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(open(vocabulary("piece_bpe_32k.model"), "rb").read())
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        p.score = max(p.score, -40000.0)
+    (tmp_path / "m").write_bytes(m.SerializeToString())
+    library, want = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m")), {}
+    for d, t in texts_of(docs):
+        words = (t or "").split(" ")
+        ids = [i for at in range(0, len(words), 40) for i in library.encode(" ".join(words[at : at + 40]))]
+        want[d] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    got = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in queries.QUERIES["op2_sentencepiece_viterbi"](spark, sf).collect()}
+    assert got == want
+
+
 def test_pieces_round_trip(messy, clashing):
     rows = pieces.piece_digests(clashing).collect()
     assert len(rows) == messy.count() and all(r.round_trip for r in rows)
