@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from placegraph.llm.common import WordHashes, components, mix, shingle_hashes, slices, smallest_reachable, words_of
+from placegraph.llm.common import SLICE, WordHashes, components, mix, shingle_hashes, slices, smallest_reachable, words_of
 from placegraph.session import materialise
 
 #: A pair at similarity 0.8 misses all bands with chance (1 - 0.8**6)**40 = 5e-6.
@@ -32,8 +33,10 @@ BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 SHINGLE, SIMILARITY = 5, 80
 #: Share of agreeing bins below which a pair is taken to be under the threshold: seven
-#: standard deviations of the estimate under it.
+#: standard deviations of a count of independent bins under it (5.8 of those measured on short sets).
 SLACK = 7.0
+#: Shares that the rows of a bucket of several blocks are dealt to before they are copied to their blocks.
+SALT = 32
 #: Classes, and shingles of their sets, in a block; larger blocks copy the classes of a bucket to fewer tasks.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bytes of each shingle hash in a full set.
@@ -174,7 +177,10 @@ def _rest(active: DataFrame, classes: DataFrame, sets: DataFrame, similarity: in
     j = similarity / 100
     least = (j - SLACK * (j * (1 - j) / BINS) ** 0.5) * BINS
     sizes = active.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    dealt = active.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    # Only buckets of several blocks are looked up, each share of their rows apart, so that none is in one task.
+    large = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = active.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)).cast("int")).join(large, ["key", "salt"], "left").drop("salt")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     load = classes.select("cid", "sketch", "bands").join(sets, "cid")
     task = dealt.select("cid", "root", "n", "own", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(load, "cid")
@@ -211,16 +217,8 @@ def _rest(active: DataFrame, classes: DataFrame, sets: DataFrame, similarity: in
     return task.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """Component and kept document of every row: ``doc_id, n_shingles, component_id, kept``.
-
-    A text's set holds its distinct runs of ``width`` words (the whole sequence if it
-    has fewer), A-Z lower-cased. Documents link at ``similarity`` per cent of Jaccard
-    or more; ``component_id`` is the smallest ``doc_id`` reachable and that document is
-    kept. Texts without words link with nothing and are kept. Rows with a null id
-    link with nothing, have a null component and are kept. Repeated rows are one
-    document and each come back. Columns other than ``doc_id`` and ``text`` are not read.
-    """
+def _resolve(docs: DataFrame, width: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles, cid`` of each row, and ``cid, rep, component, root`` of each class: its smallest id, the smallest reachable, and what its component is called."""
     sig, _ = materialise(signatures(docs, width))
     lead = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("l")
     classes, _ = materialise(sig.where("cid IS NOT NULL").groupBy("cid").agg(lead).select(
@@ -253,21 +251,68 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
                 active, left = materialise(now.join(open_, "key"))
                 if not left["rows"]:
                     break
-    own = smallest_reachable(classes.select("cid", "rep"), roots)
-    out = sig.select("doc_id", "n_shingles", "cid").join(own, "cid", "left")
+    own = smallest_reachable(classes.select("cid", "rep"), roots).join(classes.select("cid", "rep"), "cid")
+    if roots is None:
+        own = own.withColumn("root", F.col("cid"))
+    else:
+        own = own.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    own, _ = materialise(own)
+    return sig.select("doc_id", "n_shingles", "cid"), own
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """Component and kept document of every row: ``doc_id, n_shingles, component_id, kept``.
+
+    A text's set holds its distinct runs of ``width`` words (the whole sequence if it
+    has fewer), A-Z lower-cased. Documents link at ``similarity`` per cent of Jaccard
+    or more; ``component_id`` is the smallest ``doc_id`` reachable and that document is
+    kept. Texts without words link with nothing and are kept. Rows with a null id
+    link with nothing, have a null component and are kept. Repeated rows are one
+    document and each come back. Columns other than ``doc_id`` and ``text`` are not read.
+    """
+    sig, own = _resolve(docs, width, similarity)
+    out = sig.join(own.select("cid", "component"), "cid", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def with_class(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """``docs`` with the name of each text's shingle set in a new last column; null for texts without words."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                found = [shingle_set(hashes, t, width) for t in part.column(at).to_pylist()]
+                cid = pa.array([_class_id(s) if len(s) else None for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, cid], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component; repeated rows of one id come once."""
-    gone = near_duplicates(docs, width, similarity).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each component, columns unchanged.
+
+    It is the one of the smallest id; where several texts of a component have that id,
+    the one whose shingle set has the smallest name. An id may stand for several texts: each
+    is judged by itself, and only rows equal in id and text are merged. Rows with a
+    null id and texts without words stay.
+    """
+    sig, own = _resolve(docs, width, similarity)
+    stay = own.where("rep = component").groupBy("root", F.col("component").alias("doc_id")).agg(F.min("cid").alias("cid")).drop("root")
+    gone = sig.where("cid IS NOT NULL").select("doc_id", "cid").join(stay, ["doc_id", "cid"], "left_anti").select("doc_id").distinct()
     twice, n = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if not n["rows"]:
         return left
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    name = "_".join(["", *docs.columns])  # no column of the table has it
+    rows = with_class(docs.join(twice, "doc_id", "left_semi").select(docs.columns), width, name)
+    stay = stay.select(F.col("doc_id").alias(name + "d"), F.col("cid").alias(name + "c"))
+    kept = rows.join(stay, (F.col("doc_id") == F.col(name + "d")) & (F.col(name) == F.col(name + "c")), "left")
+    kept = kept.where(F.col(name).isNull() | F.col(name + "c").isNotNull()).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.select(docs.columns))
 
 
 #: The two-word case in SQL, by counting the shingles that documents share.
