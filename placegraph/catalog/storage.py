@@ -112,7 +112,7 @@ def graph_tables(spark, sf):
 
 @query("room_files", f"WITH {INDEX_CTE} SELECT building, COUNT(*) AS rooms, COUNT(DISTINCT label) AS labels FROM idx GROUP BY 1", ("spaces",))
 def room_files(spark, sf):
-    """The room index in a folder for each building, read back whole."""
+    """The room index in folders by building, read back whole."""
     path = _folder(spark)
     sinks.write_rooms(index(spark, sf), path)
     return R.read_table(spark, path).groupBy(F.col("building").cast("string").alias("building")).agg(F.count(F.lit(1)).alias("rooms"), F.count_distinct("label").alias("labels"))
@@ -120,7 +120,7 @@ def room_files(spark, sf):
 
 @query("sheet_files", "SELECT building, floor, COUNT(*) AS spaces, CAST(SUM(ord) AS BIGINT) AS ords FROM spaces GROUP BY 1, 2", ("spaces",))
 def sheet_files(spark, sf):
-    """Spaces in a folder for each sheet, read back whole."""
+    """Spaces in folders by sheet, read back whole."""
     path = _folder(spark)
     sinks.write_sheets(D.view(spark, sf, "spaces").select("building", "floor", "ord"), path)
     return R.read_table(spark, path).groupBy(F.col("building").cast("string").alias("building"), F.col("floor").cast("string").alias("floor")).agg(F.count(F.lit(1)).alias("spaces"), F.sum("ord").alias("ords"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placegraph.functions import geo, text
+from placegraph.sources.sinks import part_of
 
 ROOT = "type string, version bigint, features array<string>, geometries array<string>, links array<string>, arcs string, coordinates string, geometry string"
 FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
@@ -152,13 +153,15 @@ def sheet_catalogue(docs: DataFrame, traced: DataFrame) -> DataFrame:
 
 
 def read_sheet_table(spark: SparkSession, path: str, building: str, floor: str) -> DataFrame:
-    """One sheet of a table partitioned by building and floor: only its files are read; a missing sheet is empty."""
-    return spark.read.parquet(path).where((F.col("building") == building) & (F.col("floor") == floor))
+    """One sheet of a table split by building and floor: only its folder is read; a missing sheet is empty."""
+    here = (F.col("key_part") == part_of(F.lit(building), F.lit(floor))) & (F.col("building") == building) & (F.col("floor") == floor)
+    return spark.read.parquet(path).where(here).drop("key_part")
 
 
 def read_table(spark: SparkSession, path: str, key: str | None = None, value: str | None = None) -> DataFrame:
+    """A table split by a key, whole or the rows of one value."""
     t = spark.read.parquet(path)
-    return t if key is None else t.where(F.col(key) == value)
+    return (t if key is None else t.where(F.col(key) == value)).drop("key_part")
 
 
 def areas(spaces: DataFrame) -> DataFrame:
