@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from placegraph.functions import geo, text
 from placegraph.functions.outside import area_outside
 from placegraph.operators import pyramid, spatial
 from placegraph.operators.common import first_by
+from placegraph.session import materialise
 
 SHEET = ["building", "floor"]
 VERTICAL_TYPES = ("stairs", "elevator", "shaft")
@@ -148,31 +150,56 @@ KEYWORDS = {
 }
 
 
+#: Likeness of a word to a keyword, of 1, that makes it one.
+LIKE = 0.7
+#: Characters of the longest word that can be so like a keyword: all of the keyword's would have to be in it.
+LONGEST = int(max(map(len, KEYWORDS)) * (2 / LIKE - 1))
+
+
+def _letters(words: pd.Series) -> np.ndarray:
+    """How often each letter of the keywords is in each word."""
+    return np.stack([words.str.count(re.escape(c)).to_numpy(dtype=np.int64) for c in sorted(set("".join(KEYWORDS)))], axis=1)
+
+
 @F.pandas_udf(StringType())
 def _fuzzy_kind(words: pd.Series) -> pd.Series:
-    """Type of a word by similarity of at least 0.7 to a keyword."""
-    def kind(word):
-        return next((v for k, v in KEYWORDS.items() if difflib.SequenceMatcher(None, word, k).ratio() >= 0.7), None)
+    """Type of a word by similarity of at least 0.7 to a keyword.
+
+    Letters in common bound the similarity from above, so only words that share enough of
+    a keyword's letters are compared in order.
+    """
+    out = np.full(len(words), None, dtype=object)
+    if not len(words):
+        return pd.Series(out)
+    have, need, sizes = _letters(words), _letters(pd.Series(list(KEYWORDS))), words.str.len().to_numpy(dtype=np.int64)
+    for (k, v), n in zip(KEYWORDS.items(), need):
+        near = 2.0 * np.minimum(have, n).sum(axis=1) / (sizes + len(k)) >= LIKE
+        for i in np.flatnonzero(near & (out == None)):  # noqa: E711
+            if difflib.SequenceMatcher(None, words.iloc[i], k).ratio() >= LIKE:
+                out[i] = v
+    return pd.Series(out)
+
 
-    return words.map(kind)
+_fuzzy_kind = _fuzzy_kind.asNondeterministic()  # else the test of its answer moves below the distinct, and every word of every label is compared
 
 
 def classify_labels(reads: DataFrame, raw: str = "raw", name: str = "kind", key: str | None = None) -> DataFrame:
     """Type of each label: a keyword inside it, else a word much like one, else a room.
 
-    Only distinct words of labels without a keyword reach Python. Answers are joined
-    back by ``key``, which tells labels apart; without one by the label itself.
+    Only distinct words of labels without a keyword reach Python, and of these only such
+    as are short enough to be like one; the few that are like one are written, so that the
+    words of labels meet a small table. Answers are joined back by ``key``, which tells
+    labels apart; without one by the label itself.
     """
     exact = None
     for word, kind in KEYWORDS.items():
         hit = F.contains(F.col(raw), F.lit(word))
         exact = F.when(hit, kind) if exact is None else exact.when(hit, kind)
     r = reads.withColumn("_exact", exact).withColumn("_id", F.col(key or raw))
-    loose = r.where(F.col("_exact").isNull()).select(
-        "_id", F.posexplode(F.regexp_extract_all(raw, F.lit(r"([A-Z][A-Z\-]{2,})"), F.lit(1))).alias("i", "word"))
-    first = loose.groupBy("_id", "word").agg(F.min("i").alias("i"))
-    words = first.select("word").distinct().withColumn("k", _fuzzy_kind("word")).where("k IS NOT NULL")
-    near = first.join(words, "word").groupBy("_id").agg(F.min_by("k", "i").alias("_near"))
+    found = F.regexp_extract_all(raw, F.lit(r"([A-Z][A-Z\-]{2,})"), F.lit(1))
+    loose = r.where(F.col("_exact").isNull()).select("_id", F.posexplode(found).alias("i", "word")).where(F.length("word") <= LONGEST)
+    words, _ = materialise(loose.select("word").distinct().withColumn("k", _fuzzy_kind("word")).where("k IS NOT NULL"))
+    near = loose.join(words, "word").groupBy("_id").agg(F.min_by("k", "i").alias("_near"))
     return r.join(near, "_id", "left").withColumn(name, F.coalesce("_exact", "_near", F.lit("room"))).select(*reads.columns, name)
 
 

@@ -392,3 +392,34 @@ def test_typed_directions_equal_the_routes_of_their_references(spark):
     assert {q: v for q, v in got.items() if q >= 0} == want and "ok" in {s for s, _ in want.values()}
     assert got[-1][0] == "no_goal" and got[-2][0] in ("needs_building", "from_here") and got[-3][0] == "no_goal"
     assert {q for q, (s, _) in want.items() if s == "ok"} == {r.query_id for r in out["steps"].where("text LIKE 'Arrive%'").collect()}
+
+
+def test_likeness_is_asked_once_a_word(spark, monkeypatch):
+    import difflib
+
+    import pandas as pd
+
+    words = ["SSIAIR", "AHAFT", "LOBY", "X" * 5000, "WASHRN", "OFICE", "JANITR", "ELVE", "STARI", *("".join(random.Random(i).choices("QXZUWY", k=6)) for i in range(300))]
+    want = [next((v for k, v in quality.KEYWORDS.items() if difflib.SequenceMatcher(None, w, k).ratio() >= 0.7), None) for w in words]
+    real, asked = difflib.SequenceMatcher, []
+    monkeypatch.setattr(quality.difflib, "SequenceMatcher", lambda *a: asked.append(a) or real(*a))
+    assert quality._fuzzy_kind.func(pd.Series(words)).tolist() == want and len(asked) < 100
+    reads = spark.range(50).selectExpr("CAST(id AS STRING) AS id", "concat('ZZZ AHAFT LOBBZ ', repeat('Y', 40)) AS raw")
+    got = quality.classify_labels(reads, key="id")
+    assert got.groupBy("kind").count().collect()[0].asDict() == {"kind": "shaft", "count": 50}
+    # A test of the answer must not move below the distinct.
+    plan = spark.range(9).selectExpr("CAST(id AS STRING) AS word").distinct().withColumn("k", quality._fuzzy_kind("word")).where("k IS NOT NULL")
+    told = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert told.index("_fuzzy_kind") < told.index("Aggregate")
+    assert told.count("_fuzzy_kind(") == 1
+
+
+def test_split_tables_have_few_folders_and_give_keys_back(spark, tmp_path):
+    s = spark.range(600).selectExpr("IF(id % 100 = 0, '', concat('00', id)) AS building", "CAST(id % 4 AS STRING) AS floor", "id AS ord").unionByName(
+        spark.range(600, 603).selectExpr("CAST(NULL AS STRING) AS building", "'1' AS floor", "id AS ord"))
+    for write in (sinks.write_sheets, sinks.write_rooms):
+        path = f"{tmp_path}/{write.__name__}"
+        write(s, path)
+        assert len([p for p in __import__("os").listdir(path) if "=" in p]) <= sinks.PARTS
+        assert rows(R.read_table(spark, path).select("building", "floor", "ord"), "ord") == rows(s, "ord")
+    assert [r.ord for r in R.read_sheet_table(spark, f"{tmp_path}/write_sheets", "007", "3").collect()] == [7]
