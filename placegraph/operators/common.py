@@ -73,6 +73,33 @@ def number_rows(df: DataFrame, keys: Sequence[str], seq: str, name: str = "n", t
     return running(df, keys, seq, sums={name: F.lit(1)}, tie=tie, chunk=chunk)
 
 
+def long_keys(df: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame | None:
+    """Keys with more than ``most`` rows (by default ``CHUNK``), written; None where there is none.
+
+    Keys are counted in groups by hash first, which are few at any size; only those of a
+    large group are counted one by one.
+    """
+    most = most or CHUNK
+    group = F.pmod(F.xxhash64(*keys), F.lit(65_536)).alias("_g")
+    groups, n = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_g"))
+    if not n["rows"]:
+        return None
+    some = df.select(*keys, group).join(groups, "_g", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found, n = materialise(some.where(F.col("_n") > most).select(*keys))
+    return found if n["rows"] else None
+
+
+def split_long(df: DataFrame, keys: Sequence[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys that a task holds with ease, and rows of the others, if there are any."""
+    found = long_keys(df, keys, most)
+    if found is None:
+        return df, None
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(found[k])
+    return df.join(F.broadcast(found), same, "left_anti"), df.join(F.broadcast(found), same, "left_semi")
+
+
 def number_ranges(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Gapless numbers from 0 in the order of columns, for tables of any size.
 

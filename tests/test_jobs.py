@@ -423,3 +423,30 @@ def test_split_tables_have_few_folders_and_give_keys_back(spark, tmp_path):
         assert len([p for p in __import__("os").listdir(path) if "=" in p]) <= sinks.PARTS
         assert rows(R.read_table(spark, path).select("building", "floor", "ord"), "ord") == rows(s, "ord")
     assert [r.ord for r in R.read_sheet_table(spark, f"{tmp_path}/write_sheets", "007", "3").collect()] == [7]
+
+
+def test_short_routes_share_one_shuffle_and_long_ones_are_cut(spark, monkeypatch):
+    from placegraph.operators import common, routes
+
+    r = random.Random(5)
+    pts = [(q, i, r.choice(["node", "node", "anchor"]), r.choice(["B1", "B2", None]), r.choice(["1", "2", None]), r.choice(["100", None]), r.choice(["N", None]),
+            r.choice(["stairs", "hallway", "elevator", None]), r.random() / 100, r.random() / 100) for q, n in ((1, 3), (2, 40), (3, 1), (4, 6), (None, 9), (5, 30)) for i in range(n)]
+    points = spark.createDataFrame(pts, "query_id int, step bigint, kind string, building string, floor string, room string, name string, space string, lng double, lat double")
+
+    def told():
+        legs = routes.legs(points)
+        round3 = lambda df: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in row) for row in df.collect()), key=repr)
+        att = routes.attribute_distances(legs)
+        return [round3(df.select(*sorted(df.columns))) for df in (
+            legs, att, routes.directions(att), routes.path_lengths(points), routes.drawn_runs(points),
+            routes.visits(points).drop("first", "last"))]
+
+    whole = told()
+    wrote = []
+    monkeypatch.setattr(routes, "materialise", lambda df, **m: wrote.append(df) or common.materialise(df, **m))
+    plan = routes.legs(points)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not wrote
+    monkeypatch.setattr(common, "CHUNK", 7)
+    assert [k.query_id for k in common.long_keys(points, ["query_id"]).orderBy("query_id").collect()] == [None, 2, 5]
+    keyed = [[x for x in part] for part in told()]
+    assert keyed == whole
