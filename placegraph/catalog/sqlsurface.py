@@ -8,7 +8,9 @@ from placegraph.catalog.base import query
 def _over(spark, sf, view: str, sql: str):
     """``sql`` over one derived view, with the library's SQL functions in the session."""
     sqlfunctions.register(spark)
-    return spark.sql(sql, v=D.view(spark, sf, view))
+    rows = D.view(spark, sf, view)
+    # A row is small and costs much: a file of few splits would leave most cores idle, and sizes would draw tasks together again.
+    return spark.sql(sql, v=rows.repartition(4 * spark.sparkContext.defaultParallelism, "ord"))
 
 
 RECT = "CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1"

@@ -450,3 +450,10 @@ def test_short_routes_share_one_shuffle_and_long_ones_are_cut(spark, monkeypatch
     assert [k.query_id for k in common.long_keys(points, ["query_id"]).orderBy("query_id").collect()] == [None, 2, 5]
     keyed = [[x for x in part] for part in told()]
     assert keyed == whole
+
+
+def test_sql_functions_are_spread_over_tasks(spark):
+    from placegraph.catalog import sqlsurface
+
+    got = sqlsurface.sql_ring_functions(spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
