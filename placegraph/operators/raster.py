@@ -101,7 +101,7 @@ def snap_to_free(states: DataFrame, cells: DataFrame, key: str = "query_id", sta
     """
     free, _ = materialise(cells.where(~F.col("blocked")).select(*CELL))
     extent = cells.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
-    todo = states.select(key, *CELL)
+    todo, _ = materialise(states.select(key, *CELL))
     largest = 2 * max(extent.r or 0, extent.c or 0) + 2
     answer, size = None, start
     off = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -110,7 +110,8 @@ def snap_to_free(states: DataFrame, cells: DataFrame, key: str = "query_id", sta
             "_c", F.explode(F.transform(off, lambda d: F.floor(F.col("c") / size) + d)))
         right = free.select("building", "floor", F.col("r").alias("fr"), F.col("c").alias("fc"), F.floor(F.col("r") / size).alias("_r"), F.floor(F.col("c") / size).alias("_c"))
         d = (F.abs(F.col("r") - F.col("fr")) + F.abs(F.col("c") - F.col("fc"))).alias("d")
-        best = left.join(right, ["building", "floor", "_r", "_c"]).groupBy(key).agg(F.min(F.struct(d, "fr", "fc")).alias("m"))
+        # Sizes of files tell nothing of nine rows a state, so neither side may be sent whole to every task.
+        best = left.hint("merge").join(right, ["building", "floor", "_r", "_c"]).groupBy(key).agg(F.min(F.struct(d, "fr", "fc")).alias("m"))
         last = size >= largest
         ok = F.coalesce(F.lit(last) | (F.col("m.d") <= size), F.lit(last))
         tried, n = materialise(todo.join(best, key, "left").withColumn("ok", ok), left=F.count_if(~ok))
