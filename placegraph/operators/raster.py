@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegraph.operators import walks
-from placegraph.operators.common import running, with_previous
+from placegraph.operators.common import number_ranges, running, with_previous
 from placegraph.session import materialise
 
 CELL = ("building", "floor", "r", "c")
@@ -71,12 +71,20 @@ def arcs(cells: DataFrame, stairs: DataFrame, portals: DataFrame, entrances: Dat
     return both.select("a", "b", "w", F.lit(0.0).alias("entry"), F.lit(None).cast("string").alias("b_room"))
 
 
+#: Cells of a block of floors, about those of a tile of a large one.
+BLOCK = 2_048
+
+
 def tile_blocks(moves: DataFrame, tile: int = 45) -> DataFrame:
-    """``nid, block`` of the ends of moves: square tiles of a floor; a hub goes with its first cell."""
+    """``nid, block`` of the ends of moves: runs of ``BLOCK`` cells in the order of building, floor and square tiles; a hub goes with its first cell.
+
+    A large floor is cut in about its tiles; small floors of a building, and small buildings, share a block.
+    """
     cells = moves.select(F.col("a").alias("nid")).unionByName(moves.select(F.col("b").alias("nid"))).distinct().where(~F.startswith("nid", F.lit("stairs|")))
     part = F.split("nid", r"\|")
-    of = lambda k: F.floor(F.element_at(part, k).cast("bigint") / tile).cast("string")
-    tiles = cells.select("nid", F.concat_ws("|", F.concat_ws("|", F.slice(part, 1, F.size(part) - 2)), of(-2), of(-1)).alias("block"))
+    of = lambda k: F.floor(F.element_at(part, k).cast("bigint") / tile)
+    tiled = cells.select("nid", F.concat_ws("|", F.slice(part, 1, F.size(part) - 2)).alias("at"), of(-2).alias("tr"), of(-1).alias("tc"))
+    tiles, _ = materialise(number_ranges(tiled, ["at", "tr", "tc", "nid"], "_n").select("nid", F.floor(F.col("_n") / BLOCK).cast("bigint").alias("block")))
     hubs = moves.where(F.startswith("b", F.lit("stairs|"))).groupBy(F.col("b").alias("nid")).agg(F.min("a").alias("a"))
     return tiles.unionByName(hubs.join(tiles.select(F.col("nid").alias("a"), "block"), "a").select("nid", "block"))
 
@@ -85,7 +93,7 @@ def shortest_paths(moves: DataFrame, starts: DataFrame, goals: DataFrame) -> tup
     """Fewest steps for a table of queries, and the cells walked: ``query_id, step, cell``."""
     moves, _ = materialise(moves)
     cells = moves.select(F.col("a").alias("nid")).unionByName(moves.select(F.col("b").alias("nid"))).distinct()
-    alone = starts.select("nid").distinct().join(cells, "nid", "left_anti").select("nid", F.concat(F.lit("alone|"), F.col("nid")).alias("block"))
+    alone = starts.select("nid").distinct().join(cells, "nid", "left_anti").select("nid", (-1 - F.pmod(F.xxhash64("nid"), F.lit(65_536))).alias("block"))  # no move is in these
     answers, path = walks.shortest_walks(moves, starts, goals, blocks=tile_blocks(moves).unionByName(alone))
     path, _ = materialise(path.withColumn("hub", F.startswith("nid", F.lit("stairs|"))))
     hubs = running(path, ["query_id"], "step", sums={"hubs": F.col("hub").cast("int")})

@@ -457,3 +457,17 @@ def test_sql_functions_are_spread_over_tasks(spark):
 
     got = sqlsurface.sql_ring_functions(spark, "/root/testdata/sf0.001")
     assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_snapping_sends_no_side_whole_and_small_floors_share_a_block(spark, monkeypatch):
+    from placegraph.operators import raster
+
+    cells = spark.range(3000).selectExpr("concat('R', id div 100) AS building", "CAST(1 AS INT) AS floor", "CAST(id % 100 div 10 AS INT) AS r", "CAST(id % 10 AS INT) AS c", "id % 3 = 0 AS blocked")
+    states = cells.where("r = 0 AND c = 0").selectExpr("building AS key", "building", "floor", "r", "c")
+    plans, real = [], raster.materialise
+    monkeypatch.setattr(raster, "materialise", lambda df, **m: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, **m))
+    assert raster.snap_to_free(states, cells, key="key").count() == 30
+    assert any("strategy=merge" in p for p in plans)
+    side = cells.where("c < 9").selectExpr("concat_ws('|', building, floor, r, c) AS a", "concat_ws('|', building, floor, r, c + 1) AS b")
+    blocks = raster.tile_blocks(side)
+    assert blocks.count() == blocks.select("nid").distinct().count() == 3000 and blocks.select("block").distinct().count() == 2
