@@ -8,14 +8,19 @@ is known are the next round's entries, so rounds follow the blocks a walk crosse
 its nodes. Queries at one block are dealt to slices, so that a block that many start
 from is many tasks.
 
-Walks are put together afterwards: ways in lead back to the start, and each stretch
-between two is walked once more inside its block.
+Walks are put together afterwards: ways in lead back to the start. The last stretch comes
+with the goal; each one before it is walked once more inside its block.
+
+Nodes go by numbers in the order of block and name, so a block is a range of numbers. Its
+arcs are packed once, as flat arrays, since every slice of its queries is sent all of them.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +29,12 @@ from placegraph.operators.common import number_ranges, running
 from placegraph.operators.graph import walk_back
 from placegraph.session import materialise
 
-#: Nodes of a block: as many as a task holds with ease, since few crossings mean few rounds.
-BLOCK = 16_384
-#: Queries that meet a block in one task.
-SLICE = 32
+#: Nodes of a block: as many as a task holds with ease (some 40 bytes an arc), since few crossings mean few rounds.
+BLOCK = 524_288
+#: Queries that meet a block in one task, and arcs sent for each of them: a large block meets more at a time.
+SLICE, LOAD = 32, 4_000
+#: Nodes whose arcs are packed into one row.
+PACK = 8_192
 #: Tables of known distances that are looked up before they are merged into one.
 PARTS = 6
 
@@ -50,30 +57,56 @@ def _runs(nodes: DataFrame, order: list[str], size: int | None) -> DataFrame:
     return number_ranges(nodes, order, "_n").select("nid", F.floor(F.col("_n") / (size or BLOCK)).cast("bigint").alias("block"))
 
 
+#: Columns of packed arcs: node entered from, by its place in the block; node entered (-1: other blocks lead to the first); metres, toll and room of the second.
+_PACKED = {"a": np.int32, "b": np.int64, "w": np.float64, "entry": np.float64, "room": np.int32}
+_ARCS = "block {b}, base bigint, nodes bigint, arcs bigint, a binary, b binary, w binary, entry binary, room binary"
+
+
+def _packs(arcs: pd.DataFrame) -> pd.DataFrame:
+    """Arcs of one part of a block as one row."""
+    one = arcs.iloc[0]
+    flat = [arcs[c].to_numpy().astype(t).tobytes() for c, t in _PACKED.items()]
+    return pd.DataFrame([(one["block"], one["base"], one["nodes"], len(arcs), *flat)], columns=["block", "base", "nodes", "arcs", *_PACKED])
+
+
+def _flat(code: str, values: np.ndarray) -> array:
+    out = array(code)
+    out.frombytes(np.ascontiguousarray(values).tobytes())
+    return out
+
+
 class _Block:
-    """Arcs of one block, by small numbers in the order of the nodes' names."""
-
-    def __init__(self, arcs: pd.DataFrame):
-        marks = arcs["b"].isna()
-        names = sorted(set(arcs["a"]).union(arcs.loc[~marks & (arcs["block"] == arcs["to_block"]), "b"]))
-        self.names, self.at = names, {n: i for i, n in enumerate(names)}
-        self.inside = [[] for _ in names]
-        self.outside = [[] for _ in names]
-        self.border = {self.at[n] for n in arcs.loc[marks, "a"]}
-        for a, b, block, to, w, entry in arcs.loc[~marks, ["a", "b", "block", "to_block", "w", "entry"]].itertuples(index=False):
-            if block == to:
-                self.inside[self.at[a]].append((self.at[b], w, entry))
-            else:
-                self.outside[self.at[a]].append((b, to, w, entry))
-
-    def search(self, entries: list[tuple[str, float]], bound: float, goals: set[str], free: set[str]):
+    """Arcs of one block, by the places of its nodes in the order of their names."""
+
+    def __init__(self, packs: pd.DataFrame):
+        a, b, w, entry, room = (np.concatenate([np.frombuffer(p, t) for p in packs[c]]) for c, t in _PACKED.items())
+        self.base, size = int(packs["base"].iloc[0]), int(packs["nodes"].iloc[0])
+        mark, to = b < 0, b - self.base
+        inside = ~mark & (to >= 0) & (to < size)
+        here = np.zeros(size, np.int8)
+        here[a] = 1
+        here[to[inside]] = 1
+        self.here = bytearray(here.tobytes())
+        self.border = set(a[mark].tolist())
+        self.outside: dict = {}
+        out = ~mark & ~inside
+        for i, *arc in zip(*(c[out].tolist() for c in (a, b, w, entry, room))):
+            self.outside.setdefault(i, []).append(arc)
+        at = np.flatnonzero(inside)
+        at = at[np.lexsort((to[at], a[at]))]
+        self.first = _flat("q", np.concatenate([[0], np.cumsum(np.bincount(a[at], minlength=size))]).astype(np.int64))
+        self.to, self.w, self.entry, self.room = _flat("i", to[at].astype(np.int32)), _flat("d", w[at]), _flat("d", entry[at]), _flat("i", room[at])
+
+    def places(self, nodes) -> list[int]:
+        """Places of those nodes that have arcs here."""
+        return [n - self.base for n in nodes if self.here[n - self.base]]
+
+    def search(self, entries: list[tuple[int, float]], bound: float, goals: set[int], free: set[int]):
         """Distances, previous nodes and first entries of what is nearer than ``bound`` and the nearest goal, and that goal."""
-        goals = {self.at[g] for g in goals if g in self.at}
-        free_here = {self.at[n] for n in free if n in self.at}
         dist, prev, source, heap, goal = {}, {}, {}, [], None
-        for node, d in entries:
-            i = self.at[node]
-            if d < dist.get(i, float("inf")):
+        first, to, ws, entry, room, none = self.first, self.to, self.w, self.entry, self.room, float("inf")
+        for i, d in entries:
+            if d < dist.get(i, none):
                 dist[i], prev[i], source[i] = d, None, i
                 heapq.heappush(heap, (d, i))
         done = {}
@@ -87,84 +120,112 @@ class _Block:
             if i in goals:
                 bound, goal = d, i
                 continue
-            for j, w, entry in self.inside[i]:
-                far = d + w + (0.0 if j in free_here else entry)
-                if far < dist.get(j, float("inf")):
-                    dist[j], prev[j], source[j] = far, i, source[i]
+            p, q, src = first[i], first[i + 1], source[i]
+            for j, w, e, r in zip(to[p:q], ws[p:q], entry[p:q], room[p:q]):
+                far = d + w
+                if e and r not in free:
+                    far += e
+                if far < bound and far < dist.get(j, none):
+                    dist[j], prev[j], source[j] = far, i, src
                     heapq.heappush(heap, (far, j))
         return done, prev, source, goal, bound
 
+    def path(self, prev: dict, i: int) -> list[int]:
+        """Nodes from an entry to a place."""
+        path = []
+        while i is not None:
+            path.append(i + self.base)
+            i = prev[i]
+        return path[::-1]
+
+
+_FOUND = "query_id {q}, kind string, node bigint, dist double, via bigint, source bigint, path array<bigint>"
+_STEPS = "query_id {q}, leg bigint, i bigint, node bigint"
 
-_FOUND = "query_id {q}, kind string, node string, block {b}, dist double, via string, source string"
-_STEPS = "query_id {q}, leg bigint, i bigint, nid string"
 
+def _set(values) -> set[int]:
+    return set() if values is None else set(values)
 
-def _walked(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+
+def _walked(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """One round in one block: goals met, ways out and border distances of each query."""
     rows = []
-    if len(asked) and len(arcs):
-        block = _Block(arcs)
+    if len(asked) and len(packs):
+        block = _Block(packs)
+        base = block.base
         for q, entries, bound, goals, free in asked[["query_id", "entries", "bound", "goals", "free"]].itertuples(index=False):
-            free = set(free) if free is not None else set()
-            entries = [(e["node"], e["dist"]) for e in entries if e["node"] in block.at]
-            done, _, source, goal, bound = block.search(entries, float("inf") if pd.isna(bound) else bound, set(goals) if goals is not None else set(), free)
+            free = _set(free)
+            entries = [(e["node"] - base, e["dist"]) for e in entries if block.here[e["node"] - base]]
+            done, prev, source, goal, bound = block.search(entries, float("inf") if pd.isna(bound) else bound, set(block.places(_set(goals))), free)
             if goal is not None:
-                rows.append((q, "goal", block.names[goal], None, done[goal], None, block.names[source[goal]]))
+                rows.append((q, "goal", goal + base, done[goal], None, source[goal] + base, block.path(prev, goal)))
+            if not block.border and not block.outside:
+                continue
             best: dict = {}
             for i, d in done.items():
                 if i in block.border and i != goal:
-                    rows.append((q, "border", block.names[i], None, d, None, None))
-                for b, to, w, entry in block.outside[i] if i != goal else ():
-                    far = d + w + (0.0 if b in free else entry)
-                    if far < bound and (b not in best or (far, block.names[i]) < best[b][:2]):
-                        best[b] = (far, block.names[i], block.names[source[i]], to)
-            rows += [(q, "way", b, to, d, via, src) for b, (d, via, src, to) in best.items()]
-    return pd.DataFrame(rows, columns=["query_id", "kind", "node", "block", "dist", "via", "source"])
+                    rows.append((q, "border", i + base, d, None, None, None))
+                for b, w, entry, room in block.outside.get(i, ()) if i != goal else ():
+                    far = d + w + (0.0 if room in free else entry)
+                    if far < bound and (b not in best or (far, i) < best[b][:2]):
+                        best[b] = (far, i, source[i])
+            rows += [(q, "way", b, d, via + base, src + base, None) for b, (d, via, src) in best.items()]
+    return pd.DataFrame(rows, columns=["query_id", "kind", "node", "dist", "via", "source", "path"], dtype=object)
 
 
-def _stretches(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _stretches(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The nodes between two ends inside one block."""
     rows = []
     if len(asked):
-        block = _Block(arcs) if len(arcs) else None
+        block = _Block(packs) if len(packs) else None
         for q, leg, first, last, free in asked[["query_id", "leg", "first", "last", "free"]].itertuples(index=False):
             path = [last]
             if first != last:
-                _, prev, _, goal, _ = block.search([(first, 0.0)], float("inf"), {last}, set(free) if free is not None else set())
-                while prev[goal] is not None:
-                    goal = prev[goal]
-                    path.append(block.names[goal])
-            rows += [(q, leg, i, n) for i, n in enumerate(reversed(path))]
-    return pd.DataFrame(rows, columns=["query_id", "leg", "i", "nid"])
+                _, prev, _, goal, _ = block.search([(first - block.base, 0.0)], float("inf"), {last - block.base}, _set(free))
+                path = block.path(prev, goal)
+            rows += [(q, leg, i, n) for i, n in enumerate(path)]
+    return pd.DataFrame(rows, columns=["query_id", "leg", "i", "node"])
 
 
 class _Search:
     def __init__(self, arcs: DataFrame, open_rooms: DataFrame | None, blocks: DataFrame):
-        own, _ = materialise(blocks.select("nid", "block"))
-        self.own = own
-        at = lambda n, b: own.select(F.col("nid").alias(n), F.col("block").alias(b))
-        known = arcs.join(at("a", "block"), "a").join(at("b", "to_block"), "b").select("block", "a", "b", "to_block", "w", "entry", "b_room")
-        marks = known.where("block <> to_block").select(F.col("to_block").alias("block"), F.col("b").alias("a")).distinct()
-        self.arcs, _ = materialise(known.unionByName(marks, allowMissingColumns=True))
-        self.open_rooms = open_rooms
+        self.own, _ = materialise(number_ranges(blocks.select("nid", "block"), ["block", "nid"], "node"))
+        self.block = self.own.schema["block"].dataType.simpleString()
+        spans, _ = materialise(self.own.groupBy("block").agg(F.min("node").alias("base"), F.count(F.lit(1)).alias("nodes")))
+        at = lambda n, b: self.own.select(F.col("nid").alias(n), F.col("node").alias(f"_{n}"), F.col("block").alias(b))
+        known = arcs.join(at("a", "block"), "a").join(at("b", "to_block"), "b")
+        self.open_rooms, room = None, F.lit(-1)
         if open_rooms is not None:
-            self.open_rooms, _ = materialise(open_rooms.select("query_id", "room").distinct())
-            self.doors, _ = materialise(self.arcs.where("entry > 0 AND b_room IS NOT NULL").select("block", F.col("b_room").alias("room"), "b").distinct())
+            rooms, _ = materialise(number_ranges(open_rooms.select("room").distinct(), ["room"], "room_no"))
+            self.open_rooms, _ = materialise(open_rooms.join(rooms, "room").groupBy("query_id").agg(F.collect_set("room_no").alias("free")))
+            known, room = known.join(rooms.withColumnRenamed("room", "b_room"), "b_room", "left"), F.coalesce("room_no", F.lit(-1))
+        known, _ = materialise(known.select("block", F.col("_a").alias("a"), F.col("_b").alias("b"), "to_block", "w", "entry", room.cast("int").alias("room")))
+        marks = known.where("block <> to_block").select(F.col("to_block").alias("block"), F.col("b").alias("a")).distinct().select(
+            "block", "a", F.lit(-1).cast("bigint").alias("b"), F.lit(0.0).alias("w"), F.lit(0.0).alias("entry"), F.lit(-1).alias("room"))
+        rows = known.drop("to_block").unionByName(marks).join(spans, "block").withColumn("a", (F.col("a") - F.col("base")).cast("int"))
+        packs = rows.withColumn("part", F.floor(F.col("a") / PACK)).groupBy("block", "part").applyInPandas(_packs, _ARCS.format(b=self.block))
+        self.packs, _ = materialise(packs)
+        self.load, _ = materialise(self.packs.groupBy("block").agg(F.sum("arcs").alias("load")))
 
     def types(self, schema: str, queries: DataFrame) -> str:
-        return schema.format(q=queries.schema["query_id"].dataType.simpleString(), b=self.own.schema["block"].dataType.simpleString())
+        return schema.format(q=queries.schema["query_id"].dataType.simpleString())
+
+    def names(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the name of a numbered node instead of its number."""
+        return df.join(self.own.select(F.col("node").alias(column), F.col("nid").alias("_nid")), column).drop(column).withColumnRenamed("_nid", name)
 
     def meet(self, asked: DataFrame, walk, schema: str) -> DataFrame:
-        """``asked`` (``query_id, block, ...``) with the nodes it enters free of charge, beside the arcs of its blocks."""
-        asked = asked.withColumn("free", F.lit(None).cast("array<string>"))
+        """``asked`` (``query_id, block, ...``) with the rooms it enters free of charge, beside the arcs of its blocks."""
         if self.open_rooms is not None:
-            here = asked.select("query_id", "block").distinct()
-            free = here.join(self.open_rooms, "query_id").join(self.doors, ["block", "room"]).groupBy("query_id", "block").agg(F.collect_set("b").alias("free"))
-            asked = asked.drop("free").join(free, ["query_id", "block"], "left")
-        slices = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("slices"))
+            asked = asked.join(self.open_rooms, "query_id", "left")
+        else:
+            asked = asked.withColumn("free", F.lit(None).cast("array<bigint>"))
+        counts = asked.groupBy("block").agg(F.count(F.lit(1)).alias("asked")).join(self.load, "block", "left")
+        at_once = F.greatest(F.lit(SLICE), F.floor(F.coalesce("load", F.lit(0)) / LOAD))
+        slices, _ = materialise(counts.select("block", F.ceil(F.col("asked") / at_once).cast("int").alias("slices")))
         asked = asked.join(slices, "block").withColumn("slice", F.pmod(F.hash("query_id"), F.col("slices"))).drop("slices")
-        arcs = self.arcs.drop("b_room").join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-        return arcs.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInPandas(walk, self.types(schema, asked))
+        packs = self.packs.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        return packs.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInPandas(walk, self.types(schema, asked))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -188,10 +249,10 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
         names = arcs.select(F.col("a").alias("nid")).unionByName(arcs.select(F.col("b").alias("nid"))).unionByName(starts.select("nid")).distinct()
         blocks = _runs(names, ["nid"], None)
     search = _Search(arcs, open_rooms, blocks)
-    targets, _ = materialise(goals.select("query_id", "nid").distinct().join(search.own, "nid").groupBy("query_id", "block").agg(F.collect_list("nid").alias("goals")))
-    text = lambda: F.lit(None).cast("string")
+    targets, _ = materialise(goals.select("query_id", "nid").distinct().join(search.own, "nid").groupBy("query_id", "block").agg(F.collect_list("node").alias("goals")))
+    unknown = lambda: F.lit(None).cast("bigint")
     entries, seen = materialise(starts.select("query_id", "nid").distinct().join(search.own, "nid").select(
-        "query_id", F.col("nid").alias("node"), "block", F.lit(0.0).alias("dist"), text().alias("via"), text().alias("source")))
+        "query_id", "node", "block", F.lit(0.0).alias("dist"), unknown().alias("via"), unknown().alias("source")))
     ways, found, known = [entries], [], [entries.select("query_id", "node", "dist")]
     while seen["rows"]:
         grouped = entries.groupBy("query_id", "block").agg(F.collect_list(F.struct("node", "dist")).alias("entries"))
@@ -204,7 +265,7 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
             report.append({"entries": seen["rows"], "written": wrote["rows"]})
         if not wrote["ways"]:
             break
-        fresh = out.where("kind = 'way'").groupBy("query_id", "node", "block").agg(F.min(F.struct("dist", "via", "source")).alias("m"))
+        fresh = out.where("kind = 'way'").groupBy("query_id", "node").agg(F.min(F.struct("dist", "via", "source")).alias("m")).join(search.own.select("node", "block"), "node")
         known.append(out.where("kind = 'border'").select("query_id", "node", "dist"))
         least = _union(known).groupBy("query_id", "node").agg(F.min("dist").alias("dist"))
         if len(known) > PARTS:
@@ -217,10 +278,11 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
         ways.append(entries)
         known.append(entries.select("query_id", "node", "dist"))
     if not found:
-        none = entries.select("query_id", F.col("node").alias("goal"), F.col("dist").alias("cost"))
-        return none, entries.select("query_id", F.lit(0).cast("bigint").alias("step"), F.col("node").alias("nid"))
-    met = _union(found).where("kind = 'goal'").groupBy("query_id").agg(F.min(F.struct("dist", "node", "source")).alias("m"))
-    met, _ = materialise(met.select("query_id", F.col("m.node").alias("goal"), F.col("m.dist").alias("cost"), F.col("m.source").alias("entry")))
+        none = search.names(entries, "node", "nid")
+        return none.select("query_id", F.col("nid").alias("goal"), F.col("dist").alias("cost")), none.select("query_id", F.lit(0).cast("bigint").alias("step"), "nid")
+    met = _union(found).where("kind = 'goal'").groupBy("query_id").agg(F.min(F.struct("dist", "node", "source", "path")).alias("m"))
+    met = search.names(met.select("query_id", F.col("m.node").alias("_goal"), F.col("m.dist").alias("cost"), F.col("m.source").alias("entry"), F.col("m.path").alias("path")), "_goal", "goal")
+    met, _ = materialise(met)
     return met.select("query_id", "goal", "cost"), _walks(search, met, _union(ways))
 
 
@@ -231,9 +293,14 @@ def _walks(search: _Search, met: DataFrame, ways: DataFrame) -> DataFrame:
     chain, _ = materialise(walk_back(met.select("query_id", F.col("entry").alias("goal"), "cost"), led.select("query_id", "node", "dist", "prev")))
     legs = chain.select("query_id", F.col("step").alias("leg"), F.col("nid").alias("node")).join(led.select("query_id", "node", "block", "via"), ["query_id", "node"])
     ends = legs.select("query_id", (F.col("leg") - 1).alias("leg"), F.col("via").alias("last"))
-    legs = legs.join(ends, ["query_id", "leg"], "left").join(met.select("query_id", "goal"), "query_id")
-    asked = legs.select("query_id", "leg", "block", F.col("node").alias("first"), F.coalesce("last", "goal").alias("last"))
-    steps, _ = materialise(search.meet(asked, _stretches, _STEPS))
+    legs, _ = materialise(legs.join(ends, ["query_id", "leg"], "left"))
+    steps = legs.where("last IS NULL").join(met.select("query_id", "path"), "query_id").select("query_id", "leg", F.posexplode("path").alias("i", "node"))
+    steps = steps.withColumn("i", F.col("i").cast("bigint"))
+    asked, more = materialise(legs.where("last IS NOT NULL").select("query_id", "leg", "block", F.col("node").alias("first"), "last"))
+    if more["rows"]:
+        steps = steps.unionByName(search.meet(asked, _stretches, _STEPS))
+    steps, _ = materialise(steps)
     sizes = steps.groupBy("query_id", "leg").agg(F.count(F.lit(1)).alias("n"))
     before = running(sizes, ["query_id"], "leg", sums={"upto": F.col("n")}).select("query_id", "leg", (F.col("upto") - F.col("n")).alias("base"))
-    return steps.join(before, ["query_id", "leg"]).select("query_id", (F.col("base") + F.col("i")).alias("step"), "nid")
+    out = steps.join(before, ["query_id", "leg"]).select("query_id", (F.col("base") + F.col("i")).alias("step"), "node")
+    return search.names(out, "node", "nid").select("query_id", "step", "nid")
