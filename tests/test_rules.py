@@ -423,6 +423,17 @@ def test_route_request_rules(spark):
     assert kinds[0] == ("anchor", "Yard K") and [k for k, _ in kinds[1:]] == ["node"] * 3
 
 
+def test_a_walk_inside_one_block_is_searched_once(spark, monkeypatch):
+    def again(packs, asked):
+        raise AssertionError("searched again")
+
+    monkeypatch.setattr(walk_blocks, "_stretches", again)
+    arcs = spark.createDataFrame([(f"n{i}", f"n{j}", 1.0, 0.0, None) for i in range(6) for j in (i - 1, i + 1) if 0 <= j < 6], "a string, b string, w double, entry double, b_room string")
+    ends = lambda *rows: spark.createDataFrame(rows, "query_id int, nid string")
+    _, path = walk_blocks.shortest_walks(arcs, ends((1, "n0"), (2, "n5")), ends((1, "n4"), (2, "n3")))
+    assert [(r.query_id, r.nid) for r in path.orderBy("query_id", "step").collect()] == [(1, f"n{i}") for i in range(5)] + [(2, "n5"), (2, "n4"), (2, "n3")]
+
+
 def test_only_pieces_of_requests_are_dealt_to_blocks(spark, monkeypatch):
     nodes = [(f"n{i}", i, f"B{i // 3}", "1", str(100 + i), "hallway", -123.0 + i / 1e3, 49.0) for i in range(9)]
     n = spark.createDataFrame(nodes, NODE).withColumn("name", F.lit(None).cast("string"))
