@@ -23,8 +23,10 @@ res AS (SELECT LEAST(l.a, l.b) AS a, GREATEST(l.a, l.b) AS b,
 edges AS (SELECT a, b, ROUND(MIN(metres), 2) AS metres FROM res GROUP BY a, b)"""
 
 
-def edges(spark, sf):
-    e = N.least_edges(N.resolve_links(B.links(spark, sf), B.nodes(spark, sf)))
+def edges(spark, sf, nodes=None):
+    # Written first: in one plan with joins, the view's expressions make methods that the JVM does not compile.
+    links, _ = materialise(B.links(spark, sf).select("a", "b", "metres"))
+    e = N.weighted_edges(links, B.nodes(spark, sf) if nodes is None else nodes)
     return e.select("a", "b", F.round("metres", 2).alias("metres"))
 
 
@@ -213,6 +215,6 @@ def carried_outlines(spark, sf):
 def graph_inputs(spark, sf):
     """Nodes, rounded edges and the main component's nodes, written once for a search."""
     n, _ = materialise(B.nodes(spark, sf))
-    e, _ = materialise(edges(spark, sf))
+    e, _ = materialise(edges(spark, sf, n))
     comps, _ = materialise(G.components(n, e))
     return n, e, comps

@@ -77,6 +77,16 @@ def least_edges(links: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("metres").alias("metres"))
 
 
+def weighted_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The least of :func:`resolve_links` for each pair, as :func:`least_edges` gives it; links of a pair look up their ends once."""
+    told = F.when(F.col("metres") > 0, F.col("metres"))
+    pairs = links.where(F.col("a") != F.col("b")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.min(told).alias("_told"), F.bool_or(told.isNull()).alias("_flight"))
+    at = lambda n: nodes.select(F.col("nid").alias(n), F.col("lng").alias(f"_{n}x"), F.col("lat").alias(f"_{n}y"))
+    flight = F.when(F.col("_flight"), geo.haversine_m("_ax", "_ay", "_bx", "_by", geo.WEIGHT_RADIUS_M))
+    return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("_told", flight).alias("metres"))
+
+
 def closest_pairs(left: DataFrame, right: DataFrame, group: list[str], start_m: float = 50.0) -> DataFrame:
     """The closest (left, right) pair of each group that has both.
 

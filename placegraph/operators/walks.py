@@ -8,6 +8,10 @@ is known are the next round's entries, so rounds follow the blocks a walk crosse
 its nodes. Queries at one block are dealt to slices, so that a block that many start
 from is many tasks.
 
+Inside a block a walk is searched from both ends; then it goes on from the start through what a
+cheapest walk can still use. A block is left only where the way back into a block with goals
+(its least is the query's tail) can still be cheap enough.
+
 Walks are put together afterwards: ways in lead back to the start. The last stretch comes
 with the goal; each one before it is walked once more inside its block.
 
@@ -37,6 +41,10 @@ SLICE, LOAD = 32, 4_000
 PACK = 8_192
 #: Tables of known distances that are looked up before they are merged into one.
 PARTS = 6
+#: Nodes looked at for a tail; where none was found by then, the distance reached is a bound as good.
+LOOK = 16_384
+#: Sums from the two ends of a walk differ in their last digits: what is as good as the best up to this part of it is kept.
+SLACK = 1e-9
 
 
 def _spread(v: Column) -> Column:
@@ -57,7 +65,7 @@ def _runs(nodes: DataFrame, order: list[str], size: int | None) -> DataFrame:
     return number_ranges(nodes, order, "_n").select("nid", F.floor(F.col("_n") / (size or BLOCK)).cast("bigint").alias("block"))
 
 
-#: Columns of packed arcs: node entered from, by its place in the block; node entered (-1: other blocks lead to the first); metres, toll and room of the second.
+#: Columns of packed arcs: node entered from, by its place in the block; node entered (-1: the first is entered from other blocks); metres, toll and room of the node entered.
 _PACKED = {"a": np.int32, "b": np.int64, "w": np.float64, "entry": np.float64, "room": np.int32}
 _ARCS = "block {b}, base bigint, nodes bigint, arcs bigint, a binary, b binary, w binary, entry binary, room binary"
 
@@ -87,49 +95,114 @@ class _Block:
         here[a] = 1
         here[to[inside]] = 1
         self.here = bytearray(here.tobytes())
-        self.border = set(a[mark].tolist())
+        self.border: dict = {}
+        for i, *arc in zip(*(c[mark].tolist() for c in (a, w, entry, room))):
+            self.border.setdefault(i, []).append(arc)
         self.outside: dict = {}
         out = ~mark & ~inside
         for i, *arc in zip(*(c[out].tolist() for c in (a, b, w, entry, room))):
             self.outside.setdefault(i, []).append(arc)
-        at = np.flatnonzero(inside)
-        at = at[np.lexsort((to[at], a[at]))]
-        self.first = _flat("q", np.concatenate([[0], np.cumsum(np.bincount(a[at], minlength=size))]).astype(np.int64))
-        self.to, self.w, self.entry, self.room = _flat("i", to[at].astype(np.int32)), _flat("d", w[at]), _flat("d", entry[at]), _flat("i", room[at])
+        a, to, w, entry, room = (c[inside] for c in (a, to, w, entry, room))
+
+        def arcs(near, far):
+            at = np.lexsort((far, near))
+            first = _flat("q", np.concatenate([[0], np.cumsum(np.bincount(near, minlength=size))]).astype(np.int64))
+            return first, _flat("i", far[at].astype(np.int32)), _flat("d", w[at]), _flat("d", entry[at]), _flat("i", room[at])
+
+        self.ahead, self.back = arcs(a, to), arcs(to, a)
 
     def places(self, nodes) -> list[int]:
         """Places of those nodes that have arcs here."""
         return [n - self.base for n in nodes if self.here[n - self.base]]
 
-    def search(self, entries: list[tuple[int, float]], bound: float, goals: set[int], free: set[int]):
-        """Distances, previous nodes and first entries of what is nearer than ``bound`` and the nearest goal, and that goal."""
-        dist, prev, source, heap, goal = {}, {}, {}, [], None
-        first, to, ws, entry, room, none = self.first, self.to, self.w, self.entry, self.room, float("inf")
+    def search(self, entries: list[tuple[int, float]], bound: float, goals: set[int], free: set[int], tail: float = float("inf")):
+        """Distances, previous nodes and first entries of what is nearer than ``bound`` and the nearest goal, and that goal.
+
+        Told are all nodes that a cheapest walk may use, in the block or on a way out of it; a walk
+        that leaves the block costs at least ``tail`` from there.
+        """
+        none = float("inf")
+        dist, prev, source, done, heap, goal = {}, {}, {}, {}, [], None
+        first, to, ws, entry, room = self.ahead
+        best = bound
         for i, d in entries:
             if d < dist.get(i, none):
                 dist[i], prev[i], source[i] = d, None, i
                 heapq.heappush(heap, (d, i))
-        done = {}
+                if i in goals:
+                    best = min(best, d)
+        left, left_done, left_heap = dict.fromkeys(goals, 0.0), {}, [(0.0, i) for i in sorted(goals)]
+        back_first, back_to, back_ws, back_entry, back_room = self.back
+        most = best if best == none else best * (1 + SLACK)
+        both = True
         while heap:
+            if both and (not left_heap or heap[0][0] + left_heap[0][0] > most):
+                both = False  # whatever a cheapest walk still needs is settled from the goals
+            if both and len(left_heap) <= len(heap):
+                d, i = heapq.heappop(left_heap)
+                if i in left_done:
+                    continue
+                left_done[i] = d
+                p, q = back_first[i], back_first[i + 1]
+                for j, w, e, r in zip(back_to[p:q], back_ws[p:q], back_entry[p:q], back_room[p:q]):
+                    far = d + w
+                    if e and r not in free:
+                        far += e
+                    if far <= most and far < left.get(j, none):
+                        left[j] = far
+                        heapq.heappush(left_heap, (far, j))
+                        if j in dist and far + dist[j] < best:
+                            best = far + dist[j]
+                            most = best * (1 + SLACK)
+                continue
             d, i = heapq.heappop(heap)
             if i in done or d > dist[i]:
                 continue
             if d >= bound:
                 break
+            if not both and d + tail > most and d + left_done.get(i, none) > most:
+                continue
             done[i] = d
             if i in goals:
                 bound, goal = d, i
-                continue
+                break
             p, q, src = first[i], first[i + 1], source[i]
             for j, w, e, r in zip(to[p:q], ws[p:q], entry[p:q], room[p:q]):
                 far = d + w
                 if e and r not in free:
                     far += e
-                if far < bound and far < dist.get(j, none):
+                if far < bound and far <= most and far < dist.get(j, none):
                     dist[j], prev[j], source[j] = far, i, src
                     heapq.heappush(heap, (far, j))
+                    if j in left and far + left[j] < best:
+                        best = far + left[j]
+                        most = best * (1 + SLACK)
         return done, prev, source, goal, bound
 
+    def tail(self, goals: set[int], free: set[int]) -> float:
+        """At least what it costs to come to a goal from outside the block, the arc into the block included."""
+        none = float("inf")
+        first, to, ws, entry, room = self.back
+        left, done, heap, best = dict.fromkeys(goals, 0.0), set(), [(0.0, i) for i in sorted(goals)], none
+        while heap:
+            d, i = heapq.heappop(heap)
+            if d >= best or len(done) >= LOOK:
+                return min(d, best)
+            if i in done:
+                continue
+            done.add(i)
+            for w, e, r in self.border.get(i, ()):
+                best = min(best, d + w + (0.0 if r in free else e))
+            p, q = first[i], first[i + 1]
+            for j, w, e, r in zip(to[p:q], ws[p:q], entry[p:q], room[p:q]):
+                far = d + w
+                if e and r not in free:
+                    far += e
+                if far < best and far < left.get(j, none):
+                    left[j] = far
+                    heapq.heappush(heap, (far, j))
+        return best
+
     def path(self, prev: dict, i: int) -> list[int]:
         """Nodes from an entry to a place."""
         path = []
@@ -140,6 +213,7 @@ class _Block:
 
 
 _FOUND = "query_id {q}, kind string, node bigint, dist double, via bigint, source bigint, path array<bigint>"
+_TAILS = "query_id {q}, tail double"
 _STEPS = "query_id {q}, leg bigint, i bigint, node bigint"
 
 
@@ -153,10 +227,10 @@ def _walked(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     if len(asked) and len(packs):
         block = _Block(packs)
         base = block.base
-        for q, entries, bound, goals, free in asked[["query_id", "entries", "bound", "goals", "free"]].itertuples(index=False):
-            free = _set(free)
+        for q, entries, bound, goals, free, tail in asked[["query_id", "entries", "bound", "goals", "free", "tail"]].itertuples(index=False):
+            free, tail = _set(free), float("inf") if pd.isna(tail) else tail
             entries = [(e["node"] - base, e["dist"]) for e in entries if block.here[e["node"] - base]]
-            done, prev, source, goal, bound = block.search(entries, float("inf") if pd.isna(bound) else bound, set(block.places(_set(goals))), free)
+            done, prev, source, goal, bound = block.search(entries, float("inf") if pd.isna(bound) else bound, set(block.places(_set(goals))), free, tail)
             if goal is not None:
                 rows.append((q, "goal", goal + base, done[goal], None, source[goal] + base, block.path(prev, goal)))
             if not block.border and not block.outside:
@@ -167,12 +241,21 @@ def _walked(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
                     rows.append((q, "border", i + base, d, None, None, None))
                 for b, w, entry, room in block.outside.get(i, ()) if i != goal else ():
                     far = d + w + (0.0 if room in free else entry)
-                    if far < bound and (b not in best or (far, i) < best[b][:2]):
+                    if far < bound and d + tail <= bound * (1 + SLACK) and (b not in best or (far, i) < best[b][:2]):
                         best[b] = (far, i, source[i])
             rows += [(q, "way", b, d, via + base, src + base, None) for b, (d, via, src) in best.items()]
     return pd.DataFrame(rows, columns=["query_id", "kind", "node", "dist", "via", "source", "path"], dtype=object)
 
 
+def _tails(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """What it costs at least to come to the goals of each query in one block from outside."""
+    rows = []
+    if len(asked) and len(packs):
+        block = _Block(packs)
+        rows = [(q, block.tail(set(block.places(_set(goals))), _set(free))) for q, goals, free in asked[["query_id", "goals", "free"]].itertuples(index=False)]
+    return pd.DataFrame(rows, columns=["query_id", "tail"])
+
+
 def _stretches(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The nodes between two ends inside one block."""
     rows = []
@@ -191,7 +274,7 @@ class _Search:
     def __init__(self, arcs: DataFrame, open_rooms: DataFrame | None, blocks: DataFrame):
         self.own, _ = materialise(number_ranges(blocks.select("nid", "block"), ["block", "nid"], "node"))
         self.block = self.own.schema["block"].dataType.simpleString()
-        spans, _ = materialise(self.own.groupBy("block").agg(F.min("node").alias("base"), F.count(F.lit(1)).alias("nodes")))
+        spans, self.spans = materialise(self.own.groupBy("block").agg(F.min("node").alias("base"), F.count(F.lit(1)).alias("nodes")))
         at = lambda n, b: self.own.select(F.col("nid").alias(n), F.col("node").alias(f"_{n}"), F.col("block").alias(b))
         known = arcs.join(at("a", "block"), "a").join(at("b", "to_block"), "b")
         self.open_rooms, room = None, F.lit(-1)
@@ -200,8 +283,8 @@ class _Search:
             self.open_rooms, _ = materialise(open_rooms.join(rooms, "room").groupBy("query_id").agg(F.collect_set("room_no").alias("free")))
             known, room = known.join(rooms.withColumnRenamed("room", "b_room"), "b_room", "left"), F.coalesce("room_no", F.lit(-1))
         known, _ = materialise(known.select("block", F.col("_a").alias("a"), F.col("_b").alias("b"), "to_block", "w", "entry", room.cast("int").alias("room")))
-        marks = known.where("block <> to_block").select(F.col("to_block").alias("block"), F.col("b").alias("a")).distinct().select(
-            "block", "a", F.lit(-1).cast("bigint").alias("b"), F.lit(0.0).alias("w"), F.lit(0.0).alias("entry"), F.lit(-1).alias("room"))
+        marks = known.where("block <> to_block").groupBy(F.col("to_block").alias("block"), F.col("b").alias("a"), "entry", "room").agg(F.min("w").alias("w")).select(
+            "block", "a", F.lit(-1).cast("bigint").alias("b"), "w", "entry", "room")
         rows = known.drop("to_block").unionByName(marks).join(spans, "block").withColumn("a", (F.col("a") - F.col("base")).cast("int"))
         packs = rows.withColumn("part", F.floor(F.col("a") / PACK)).groupBy("block", "part").applyInPandas(_packs, _ARCS.format(b=self.block))
         self.packs, _ = materialise(packs)
@@ -250,6 +333,9 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
         blocks = _runs(names, ["nid"], None)
     search = _Search(arcs, open_rooms, blocks)
     targets, _ = materialise(goals.select("query_id", "nid").distinct().join(search.own, "nid").groupBy("query_id", "block").agg(F.collect_list("node").alias("goals")))
+    tails = None
+    if search.spans["rows"] > 1:
+        tails, _ = materialise(search.meet(targets, _tails, _TAILS).groupBy("query_id").agg(F.min("tail").alias("tail")))
     unknown = lambda: F.lit(None).cast("bigint")
     entries, seen = materialise(starts.select("query_id", "nid").distinct().join(search.own, "nid").select(
         "query_id", "node", "block", F.lit(0.0).alias("dist"), unknown().alias("via"), unknown().alias("source")))
@@ -259,6 +345,7 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
         asked = grouped.join(targets, ["query_id", "block"], "left")
         best = _union(found).where("kind = 'goal'").groupBy("query_id").agg(F.min("dist").alias("bound")) if found else None
         asked = asked.join(best, "query_id", "left") if found else asked.withColumn("bound", F.lit(None).cast("double"))
+        asked = asked.join(tails, "query_id", "left") if tails is not None else asked.withColumn("tail", F.lit(None).cast("double"))
         out, wrote = materialise(search.meet(asked, _walked, _FOUND), rows=F.count(F.lit(1)), ways=F.count_if(F.col("kind") == "way"))
         found.append(out)
         if report is not None:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,6 +435,67 @@ def test_a_walk_inside_one_block_is_searched_once(spark, monkeypatch):
     assert [(r.query_id, r.nid) for r in path.orderBy("query_id", "step").collect()] == [(1, f"n{i}") for i in range(5)] + [(2, "n5"), (2, "n4"), (2, "n3")]
 
 
+def _one_block(arcs, nodes):
+    """A block of places 0 to ``nodes``; arcs (a, b, w, entry, room), b from ``nodes`` on being elsewhere."""
+    rows = [(0, 0, nodes, *arc) for arc in arcs]
+    return walk_blocks._Block(walk_blocks._packs(pd.DataFrame(rows, columns=["block", "base", "nodes", "a", "b", "w", "entry", "room"])))
+
+
+def test_a_walk_to_a_goal_behind_a_closed_room_looks_at_few_nodes():
+    line = [(i, j, 0.1, 0.0, -1) for i in range(3000) for j in (i - 1, i + 1) if 0 <= j < 3000]
+    block = _one_block([*line, (3, 3000, 1.0, 1000.0, 5), (3000, 3001, 1.0, 0.0, -1), (2999, 3002, 1.0, 0.0, -1), (3000, -1, 5.0, 1000.0, 5)], 3002)
+    done, prev, source, goal, bound = block.search([(0, 0.0)], math.inf, {3001}, set())
+    assert (goal, round(bound, 6), block.path(prev, goal)) == (3001, 1002.3, [0, 1, 2, 3, 3000, 3001]) and len(done) < 100
+    assert block.tail({3001}, set()) == 1006.0 and block.tail({3001}, {5}) == 6.0
+    # A way out of the block is followed as long as the way back may still be cheaper.
+    assert len(block.search([(0, 0.0)], math.inf, {3001}, set(), tail=1006.0)[0]) < 100
+    far, _, _, goal, _ = block.search([(0, 0.0)], math.inf, {3001}, set(), tail=6.0)
+    assert goal == 3001 and len(far) == 3002
+
+
+@pytest.mark.parametrize("tail", [0.0, 9.0, math.inf])
+@pytest.mark.parametrize("seed", range(20))
+def test_a_search_from_both_ends_walks_as_a_search_from_the_start(seed, tail):
+    rng = random.Random(seed)
+    arcs = {(rng.randrange(60), rng.randrange(60)): (float(rng.randint(0, 4)), rng.choice([0.0, 0.0, 10.0]), rng.randrange(4)) for _ in range(200)}
+    block = _one_block([(a, b, *rest) for (a, b), rest in arcs.items() if a != b], 60)
+    for _ in range(10):
+        entries, goals, free = [(rng.randrange(60), float(rng.randint(0, 3))) for _ in range(2)], set(rng.sample(range(60), 2)), {rng.randrange(4)}
+        limit = rng.choice([8.0, 30.0, math.inf])
+        dist, prev, source, settled, bound, goal = {}, {}, {}, set(), limit, None
+        for i, d in entries:
+            if d < dist.get(i, math.inf):
+                dist[i], prev[i], source[i] = d, None, i
+        while goal is None and set(dist) - settled:
+            d, i = min((dist[i], i) for i in set(dist) - settled)
+            if d >= bound:
+                break
+            settled.add(i)
+            if i in goals:
+                bound, goal = d, i
+                continue
+            for (a, b), (w, e, r) in arcs.items():
+                far = d + w + (e if r not in free else 0.0)
+                if a == i and b != i and far < bound and far < dist.get(b, math.inf):
+                    dist[b], prev[b], source[b] = far, i, source[i]
+        done, got_prev, got_source, got_goal, got_bound = block.search(entries, limit, goals, free, tail)
+        assert (got_goal, got_bound) == (goal, bound)
+        if goal is not None:
+            assert (block.path(got_prev, goal), got_source[goal]) == (block.path(prev, goal), source[goal])
+        # Whatever a way out of the block can still start from is settled, at the same distance, by the same way.
+        need = {i for i in settled if dist[i] + tail <= bound}
+        assert need <= set(done) <= settled and all((done[i], got_source[i]) == (dist[i], source[i]) for i in need)
+
+
+def test_least_lengths_of_pairs_look_up_their_ends_once(spark):
+    nodes = spark.createDataFrame([("a", 0.0, 49.0), ("b", 0.001, 49.0), ("c", 0.0, 49.002)], "nid string, lng double, lat double")
+    links = spark.createDataFrame(
+        [("a", "b", 90.0), ("b", "a", None), ("a", "b", 50.0), ("c", "a", 0.0), ("a", "c", -1.0), ("b", "c", 7.0), ("a", "a", 1.0), ("a", "x", 1.0), (None, "b", 1.0)],
+        "a string, b string, metres double")
+    got = rows(network.weighted_edges(links, nodes), "a", "b", "metres")
+    assert got == rows(network.least_edges(network.resolve_links(links, nodes)), "a", "b", "metres") and len(got) == 3
+
+
 def test_only_pieces_of_requests_are_dealt_to_blocks(spark, monkeypatch):
     nodes = [(f"n{i}", i, f"B{i // 3}", "1", str(100 + i), "hallway", -123.0 + i / 1e3, 49.0) for i in range(9)]
     n = spark.createDataFrame(nodes, NODE).withColumn("name", F.lit(None).cast("string"))
