@@ -24,7 +24,7 @@ edges AS (SELECT a, b, ROUND(MIN(metres), 2) AS metres FROM res GROUP BY a, b)""
 
 
 def edges(spark, sf, nodes=None):
-    # Written first: in one plan with joins, the view's expressions make methods that the JVM does not compile.
+    # Written first: in one plan with joins, the view's expressions run many times slower (most likely methods too long for the JVM to compile).
     links, _ = materialise(B.links(spark, sf).select("a", "b", "metres"))
     e = N.weighted_edges(links, B.nodes(spark, sf) if nodes is None else nodes)
     return e.select("a", "b", F.round("metres", 2).alias("metres"))
