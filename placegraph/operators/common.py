@@ -12,6 +12,8 @@ from placegraph.session import materialise
 
 #: Width of the pieces of a sequence that are windowed in one task.
 CHUNK = 65_536
+#: Most rows of a growing table that a join may send whole to every task. Sizes of files do not tell them: a cell is a bit of a file and 150 bytes of memory.
+SENT = 100_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
@@ -67,6 +69,11 @@ def running(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, Column
                       *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_t_{n}")).alias(n) for n in lasts])
 
 
+def apart(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join whose smaller side has up to ``rows`` rows: above ``SENT`` both are sorted, and neither passes through the driver."""
+    return df.hint("merge") if rows > SENT else df
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], seq: str, name: str = "n", tie: Sequence[str] = (),
                 chunk: int | None = None) -> DataFrame:
     """1-based position of each row within its key, ordered by an integer column."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegraph.operators import walks
-from placegraph.operators.common import number_ranges, running, with_previous
+from placegraph.operators.common import apart, number_ranges, running, with_previous
 from placegraph.session import materialise
 
 CELL = ("building", "floor", "r", "c")
@@ -54,11 +54,14 @@ def arcs(cells: DataFrame, stairs: DataFrame, portals: DataFrame, entrances: Dat
     label, r, c, ord``. A stairwell of n floors is joined through one hub at half
     a step each way, so it adds 2n rows and every floor change costs one step.
     """
-    free = cells.where(~F.col("blocked")).select(*CELL)
-    side = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-    near = cells.select(cell_id().alias("a"), "building", "floor", F.explode(side).alias("d"), "r", "c").select(
-        "a", "building", "floor", (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"))
-    walk = near.join(free, list(CELL)).select("a", cell_id().alias("b"), F.lit(1.0).alias("w"))
+    grid = cells.select(*CELL, (~F.col("blocked")).alias("free"))
+    side = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((1, 0), (0, 1))])
+    near = grid.select("building", "floor", F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("free").alias("free1"), F.explode(side).alias("d")).select(
+        "building", "floor", "r1", "c1", "free1", (F.col("r1") + F.col("d.dr")).alias("r"), (F.col("c1") + F.col("d.dc")).alias("c"))
+    # Each pair of neighbours meets once. Cells grow with the floors, so no side may be sent whole to every task.
+    pair = near.hint("merge").join(grid, list(CELL)).select(cell_id(r="r1", c="c1").alias("p"), "free1", cell_id().alias("q"), "free")
+    ways = F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b"), F.col("free").alias("into")), F.struct(F.col("q").alias("a"), F.col("p").alias("b"), F.col("free1").alias("into")))
+    walk = pair.select(F.explode(F.filter(ways, lambda x: x["into"])).alias("x")).select("x.a", "x.b", F.lit(1.0).alias("w"))
     at = stairs.groupBy("building", "name", "floor").agg(F.max(F.struct("r", "c")).alias("p")).select(
         cell_id(r="p.r", c="p.c").alias("cell"), F.concat_ws("|", F.lit("stairs"), "building", "name").alias("hub"))
     up = at.select(F.col("cell").alias("a"), F.col("hub").alias("b"), F.lit(0.5).alias("w")).unionByName(
@@ -66,7 +69,7 @@ def arcs(cells: DataFrame, stairs: DataFrame, portals: DataFrame, entrances: Dat
     first = entrances.groupBy("building", "floor", "label").agg(F.min_by(F.struct("r", "c"), "ord").alias("p"))
     there = first.select(F.col("building").alias("to_building"), F.col("floor").alias("to_floor"), F.col("label").alias("to_entrance"), cell_id(r="p.r", c="p.c").alias("b"))
     here = entrances.select("building", "floor", F.col("label").alias("entrance"), cell_id().alias("a"))
-    cross = portals.join(here, ["building", "floor", "entrance"]).join(there, ["to_building", "to_floor", "to_entrance"]).select("a", "b", F.lit(1.0).alias("w"))
+    cross = portals.hint("merge").join(here, ["building", "floor", "entrance"]).join(there.hint("merge"), ["to_building", "to_floor", "to_entrance"]).select("a", "b", F.lit(1.0).alias("w"))
     both = walk.unionByName(up).unionByName(cross)
     return both.select("a", "b", "w", F.lit(0.0).alias("entry"), F.lit(None).cast("string").alias("b_room"))
 
@@ -86,14 +89,14 @@ def tile_blocks(moves: DataFrame, tile: int = 45) -> DataFrame:
     tiled = cells.select("nid", F.concat_ws("|", F.slice(part, 1, F.size(part) - 2)).alias("at"), of(-2).alias("tr"), of(-1).alias("tc"))
     tiles, _ = materialise(number_ranges(tiled, ["at", "tr", "tc", "nid"], "_n").select("nid", F.floor(F.col("_n") / BLOCK).cast("bigint").alias("block")))
     hubs = moves.where(F.startswith("b", F.lit("stairs|"))).groupBy(F.col("b").alias("nid")).agg(F.min("a").alias("a"))
-    return tiles.unionByName(hubs.join(tiles.select(F.col("nid").alias("a"), "block"), "a").select("nid", "block"))
+    return tiles.unionByName(hubs.hint("merge").join(tiles.select(F.col("nid").alias("a"), "block"), "a").select("nid", "block"))
 
 
 def shortest_paths(moves: DataFrame, starts: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fewest steps for a table of queries, and the cells walked: ``query_id, step, cell``."""
     moves, _ = materialise(moves)
     cells = moves.select(F.col("a").alias("nid")).unionByName(moves.select(F.col("b").alias("nid"))).distinct()
-    alone = starts.select("nid").distinct().join(cells, "nid", "left_anti").select("nid", (-1 - F.pmod(F.xxhash64("nid"), F.lit(65_536))).alias("block"))  # no move is in these
+    alone = starts.select("nid").distinct().join(cells.hint("merge"), "nid", "left_anti").select("nid", (-1 - F.pmod(F.xxhash64("nid"), F.lit(65_536))).alias("block"))  # no move is in these
     answers, path = walks.shortest_walks(moves, starts, goals, blocks=tile_blocks(moves).unionByName(alone))
     path, _ = materialise(path.withColumn("hub", F.startswith("nid", F.lit("stairs|"))))
     hubs = running(path, ["query_id"], "step", sums={"hubs": F.col("hub").cast("int")})
@@ -183,22 +186,23 @@ def smooth_paths(path: DataFrame, cells: DataFrame, window: int = 64) -> DataFra
     point at once by looking ahead in growing stretches, and the kept points are
     the chain of pointers from the start, followed by doubling. Returns the kept rows.
     """
-    path, _ = materialise(path)
-    walls, _ = materialise(cells.where("blocked").select(*CELL))
+    path, points = materialise(path)
+    walls, blocked = materialise(cells.where("blocked").select(*CELL))
+    points, walls = points["rows"], apart(walls, blocked["rows"])
     last = path.groupBy("query_id").agg(F.max("step").alias("last"))
-    todo, n = materialise(path.join(last, "query_id").where(F.col("step") < F.col("last")).withColumn("seen", F.col("step") + 1))
+    todo, n = materialise(path.join(apart(last, points), "query_id").where(F.col("step") < F.col("last")).withColumn("seen", F.col("step") + 1))
     found, span = None, window
     target = path.select("query_id", F.col("step").alias("ahead"), F.col("building").alias("tb"), F.col("floor").alias("tf"), F.col("r").alias("tr"), F.col("c").alias("tc"))
     while n["rows"]:
         look = todo.withColumn("ahead", F.explode(F.when(F.col("seen") < F.col("last"), F.sequence(F.col("seen") + 1, F.least(F.col("seen") + span, F.col("last")))).otherwise(F.array(F.col("last") + 1))))
-        pair = look.join(target, ["query_id", "ahead"], "left")
+        pair = look.join(apart(target, points), ["query_id", "ahead"], "left")
         other = F.col("tb").isNull() | (F.col("tb") != F.col("building")) | (F.col("tf") != F.col("floor"))
         close = F.abs(F.col("r") - F.col("tr")) + F.abs(F.col("c") - F.col("tc")) <= 1
         cut = pair.where(other).select("query_id", "step", "ahead")
         sight = pair.where(~other & ~close).select("query_id", "step", "ahead", "building", "floor", F.explode(sight_cells("r", "c", "tr", "tc")).alias("s")).select(
             "query_id", "step", "ahead", "building", "floor", "s.r", "s.c").join(walls, list(CELL), "left_semi").select("query_id", "step", "ahead")
         fail = cut.unionByName(sight).groupBy("query_id", "step").agg((F.min("ahead") - 1).alias("next"))
-        tried, m = materialise(todo.join(fail, ["query_id", "step"], "left"), rows=F.count_if(F.col("next").isNull()))
+        tried, m = materialise(todo.join(apart(fail, points), ["query_id", "step"], "left"), rows=F.count_if(F.col("next").isNull()))
         got = tried.where("next IS NOT NULL").select("query_id", "step", F.least("next", "last").alias("next"))
         found = got if found is None else found.unionByName(got)
         todo, n = tried.where("next IS NULL").withColumn("seen", F.least(F.col("seen") + span, F.col("last"))).drop("next"), m
@@ -207,13 +211,13 @@ def smooth_paths(path: DataFrame, cells: DataFrame, window: int = 64) -> DataFra
     if found is not None:
         hop, n = materialise(found)
         while n["rows"]:
-            more = kept.join(hop, ["query_id", "step"]).select("query_id", F.col("next").alias("step"))
+            more = kept.join(apart(hop, points), ["query_id", "step"]).select("query_id", F.col("next").alias("step"))
             kept, k = materialise(kept.withColumn("_n", F.lit(0)).unionByName(more.withColumn("_n", F.lit(1))).groupBy("query_id", "step").agg(F.min("_n").alias("_n")), new=F.sum("_n"))
             kept = kept.drop("_n")
             if not k["new"]:
                 break
-            hop, n = materialise(hop.join(hop.select("query_id", F.col("step").alias("next"), F.col("next").alias("far")), ["query_id", "next"]).select("query_id", "step", F.col("far").alias("next")))
-    return path.join(kept, ["query_id", "step"], "left_semi")
+            hop, n = materialise(hop.join(apart(hop.select("query_id", F.col("step").alias("next"), F.col("next").alias("far")), points), ["query_id", "next"]).select("query_id", "step", F.col("far").alias("next")))
+    return path.join(apart(kept, points), ["query_id", "step"], "left_semi")
 
 
 # -- line work ----------------------------------------------------------------

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegraph.operators.common import number_ranges, running
+from placegraph.operators.common import apart, number_ranges, running
 from placegraph.operators.graph import walk_back
 from placegraph.session import materialise
 
@@ -272,10 +272,10 @@ def _stretches(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
 
 class _Search:
     def __init__(self, arcs: DataFrame, open_rooms: DataFrame | None, blocks: DataFrame):
-        self.own, _ = materialise(number_ranges(blocks.select("nid", "block"), ["block", "nid"], "node"))
+        self.own, size = materialise(number_ranges(blocks.select("nid", "block"), ["block", "nid"], "node"))
         self.block = self.own.schema["block"].dataType.simpleString()
         spans, self.spans = materialise(self.own.groupBy("block").agg(F.min("node").alias("base"), F.count(F.lit(1)).alias("nodes")))
-        at = lambda n, b: self.own.select(F.col("nid").alias(n), F.col("node").alias(f"_{n}"), F.col("block").alias(b))
+        at = lambda n, b: apart(self.own.select(F.col("nid").alias(n), F.col("node").alias(f"_{n}"), F.col("block").alias(b)), size["rows"])
         known = arcs.join(at("a", "block"), "a").join(at("b", "to_block"), "b")
         self.open_rooms, room = None, F.lit(-1)
         if open_rooms is not None:
@@ -293,9 +293,9 @@ class _Search:
     def types(self, schema: str, queries: DataFrame) -> str:
         return schema.format(q=queries.schema["query_id"].dataType.simpleString())
 
-    def names(self, df: DataFrame, column: str, name: str) -> DataFrame:
-        """``df`` with the name of a numbered node instead of its number."""
-        return df.join(self.own.select(F.col("node").alias(column), F.col("nid").alias("_nid")), column).drop(column).withColumnRenamed("_nid", name)
+    def names(self, df: DataFrame, column: str, name: str, rows: int) -> DataFrame:
+        """``df`` (up to ``rows`` rows) with the name of a numbered node instead of its number."""
+        return df.join(apart(self.own.select(F.col("node").alias(column), F.col("nid").alias("_nid")), rows), column).drop(column).withColumnRenamed("_nid", name)
 
     def meet(self, asked: DataFrame, walk, schema: str) -> DataFrame:
         """``asked`` (``query_id, block, ...``) with the rooms it enters free of charge, beside the arcs of its blocks."""
@@ -332,43 +332,43 @@ def shortest_walks(arcs: DataFrame, starts: DataFrame, goals: DataFrame, open_ro
         names = arcs.select(F.col("a").alias("nid")).unionByName(arcs.select(F.col("b").alias("nid"))).unionByName(starts.select("nid")).distinct()
         blocks = _runs(names, ["nid"], None)
     search = _Search(arcs, open_rooms, blocks)
-    targets, _ = materialise(goals.select("query_id", "nid").distinct().join(search.own, "nid").groupBy("query_id", "block").agg(F.collect_list("node").alias("goals")))
-    tails = None
+    targets, asked_for = materialise(goals.select("query_id", "nid").distinct().join(search.own, "nid").groupBy("query_id", "block").agg(F.collect_list("node").alias("goals")))
+    asked_for, tails = asked_for["rows"], None
     if search.spans["rows"] > 1:
         tails, _ = materialise(search.meet(targets, _tails, _TAILS).groupBy("query_id").agg(F.min("tail").alias("tail")))
     unknown = lambda: F.lit(None).cast("bigint")
     entries, seen = materialise(starts.select("query_id", "nid").distinct().join(search.own, "nid").select(
         "query_id", "node", "block", F.lit(0.0).alias("dist"), unknown().alias("via"), unknown().alias("source")))
-    ways, found, known = [entries], [], [entries.select("query_id", "node", "dist")]
+    ways, found, known, told = [entries], [], [entries.select("query_id", "node", "dist")], seen["rows"]
     while seen["rows"]:
         grouped = entries.groupBy("query_id", "block").agg(F.collect_list(F.struct("node", "dist")).alias("entries"))
-        asked = grouped.join(targets, ["query_id", "block"], "left")
+        asked = grouped.join(apart(targets, asked_for), ["query_id", "block"], "left")
         best = _union(found).where("kind = 'goal'").groupBy("query_id").agg(F.min("dist").alias("bound")) if found else None
-        asked = asked.join(best, "query_id", "left") if found else asked.withColumn("bound", F.lit(None).cast("double"))
-        asked = asked.join(tails, "query_id", "left") if tails is not None else asked.withColumn("tail", F.lit(None).cast("double"))
+        asked = asked.join(apart(best, asked_for), "query_id", "left") if found else asked.withColumn("bound", F.lit(None).cast("double"))
+        asked = asked.join(apart(tails, asked_for), "query_id", "left") if tails is not None else asked.withColumn("tail", F.lit(None).cast("double"))
         out, wrote = materialise(search.meet(asked, _walked, _FOUND), rows=F.count(F.lit(1)), ways=F.count_if(F.col("kind") == "way"))
         found.append(out)
         if report is not None:
             report.append({"entries": seen["rows"], "written": wrote["rows"]})
         if not wrote["ways"]:
             break
-        fresh = out.where("kind = 'way'").groupBy("query_id", "node").agg(F.min(F.struct("dist", "via", "source")).alias("m")).join(search.own.select("node", "block"), "node")
+        fresh = out.where("kind = 'way'").groupBy("query_id", "node").agg(F.min(F.struct("dist", "via", "source")).alias("m")).join(apart(search.own.select("node", "block"), wrote["ways"]), "node")
         known.append(out.where("kind = 'border'").select("query_id", "node", "dist"))
-        least = _union(known).groupBy("query_id", "node").agg(F.min("dist").alias("dist"))
+        least, told = _union(known).groupBy("query_id", "node").agg(F.min("dist").alias("dist")), told + wrote["rows"]
         if len(known) > PARTS:
             least, _ = materialise(least)
             known = [least]
         best = _union(found).where("kind = 'goal'").groupBy("query_id").agg(F.min("dist").alias("bound"))
-        better = fresh.join(least.withColumnRenamed("dist", "known"), ["query_id", "node"], "left").join(best, "query_id", "left").where(
+        better = fresh.join(apart(least.withColumnRenamed("dist", "known"), told), ["query_id", "node"], "left").join(apart(best, asked_for), "query_id", "left").where(
             (F.col("known").isNull() | (F.col("m.dist") < F.col("known"))) & (F.col("bound").isNull() | (F.col("m.dist") < F.col("bound"))))
         entries, seen = materialise(better.select("query_id", "node", "block", "m.dist", "m.via", "m.source"))
         ways.append(entries)
         known.append(entries.select("query_id", "node", "dist"))
     if not found:
-        none = search.names(entries, "node", "nid")
+        none = search.names(entries, "node", "nid", 0)
         return none.select("query_id", F.col("nid").alias("goal"), F.col("dist").alias("cost")), none.select("query_id", F.lit(0).cast("bigint").alias("step"), "nid")
     met = _union(found).where("kind = 'goal'").groupBy("query_id").agg(F.min(F.struct("dist", "node", "source", "path")).alias("m"))
-    met = search.names(met.select("query_id", F.col("m.node").alias("_goal"), F.col("m.dist").alias("cost"), F.col("m.source").alias("entry"), F.col("m.path").alias("path")), "_goal", "goal")
+    met = search.names(met.select("query_id", F.col("m.node").alias("_goal"), F.col("m.dist").alias("cost"), F.col("m.source").alias("entry"), F.col("m.path").alias("path")), "_goal", "goal", asked_for)
     met, _ = materialise(met)
     return met.select("query_id", "goal", "cost"), _walks(search, met, _union(ways))
 
@@ -386,8 +386,8 @@ def _walks(search: _Search, met: DataFrame, ways: DataFrame) -> DataFrame:
     asked, more = materialise(legs.where("last IS NOT NULL").select("query_id", "leg", "block", F.col("node").alias("first"), "last"))
     if more["rows"]:
         steps = steps.unionByName(search.meet(asked, _stretches, _STEPS))
-    steps, _ = materialise(steps)
+    steps, n = materialise(steps)
     sizes = steps.groupBy("query_id", "leg").agg(F.count(F.lit(1)).alias("n"))
     before = running(sizes, ["query_id"], "leg", sums={"upto": F.col("n")}).select("query_id", "leg", (F.col("upto") - F.col("n")).alias("base"))
-    out = steps.join(before, ["query_id", "leg"]).select("query_id", (F.col("base") + F.col("i")).alias("step"), "node")
-    return search.names(out, "node", "nid").select("query_id", "step", "nid")
+    out = steps.join(apart(before, n["rows"]), ["query_id", "leg"]).select("query_id", (F.col("base") + F.col("i")).alias("step"), "node")
+    return search.names(out, "node", "nid", n["rows"]).select("query_id", "step", "nid")

@@ -268,6 +268,44 @@ def test_smoothing_equals_the_sequential_rule(spark):
     assert {q: dedupe(p) for q, p in got.items()} == {q: dedupe(smooth(p)) for q, p in paths.items()}
 
 
+def test_growing_tables_of_raster_walks_are_not_sent_whole(spark, monkeypatch):
+    from placegraph.operators import common, walks
+
+    plans, wrote = [], raster.materialise
+
+    def seen(df, **metrics):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return wrote(df, **metrics)
+
+    for m in (raster, walks, common):
+        monkeypatch.setattr(m, "materialise", seen)
+    monkeypatch.setattr(common, "SENT", 3)  # of more rows than this nothing is sent
+    wall = {(r, c) for r in range(12) for c in range(12) if r % 4 == 1 and c != 11 * (r // 4 % 2)}
+    cells = spark.createDataFrame([("R", 1, r, c, (r, c) in wall) for r in range(12) for c in range(12)], "building string, floor int, r int, c int, blocked boolean")
+    cells, _ = wrote(cells)
+    none = cells.where("r < 0")
+    entrances = none.select("building", "floor", F.lit("x").alias("label"), "r", "c", F.lit(0).alias("ord"))
+    portals = none.select("building", "floor", F.lit("x").alias("entrance"), F.col("building").alias("to_building"), F.col("floor").alias("to_floor"), F.lit("x").alias("to_entrance"))
+    moves = raster.arcs(cells, none.select("building", F.lit("A").alias("name"), "floor", "r", "c"), portals, entrances)
+    plans.append(moves._jdf.queryExecution().executedPlan().toString())
+    want = {(f"R|1|{r}|{c}", f"R|1|{y}|{x}") for r in range(12) for c in range(12) for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1))
+            if 0 <= y < 12 and 0 <= x < 12 and (y, x) not in wall}
+    got = [tuple(x) for x in moves.select("a", "b").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert plans and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    ends = lambda r, c: spark.createDataFrame([(q, f"R|1|{r}|{c}") for q in range(8)], "query_id int, nid string")
+    answers, path = raster.shortest_paths(moves, ends(0, 0), ends(11, 11))
+    assert {x.cost for x in answers.collect()} == {2 * 11 + 11.0 + 11}
+    plans.clear()
+    part = F.split("cell", r"\|")
+    path = path.select("query_id", "step", part[0].alias("building"), *[part[i + 1].cast("int").alias(n) for i, n in enumerate(("floor", "r", "c"))])
+    kept = raster.smooth_paths(path, cells)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert kept.where("query_id = 0").count() > 2
+    assert not any("Broadcast" in p for p in plans[1:])  # the first reads the names of the path's nodes
+
+
 def test_labels_portals_and_pairs(spark):
     meta = spark.createDataFrame([("R", 1, 0.0, 10.0, 2.0)], "building string, floor int, min_x double, max_y double, cell_size double")
     lab = spark.createDataFrame([("R", 1, " Stairs NW ", 3.0, 9.0), ("R", 1, "EntranceEast", 0.5, 0.5), ("R", 1, "1 02", 5.0, 5.0), ("R", 1, "lobby", 1.0, 1.0)], "building string, floor int, label string, x double, y double")
